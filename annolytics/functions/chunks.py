@@ -39,10 +39,19 @@ def fixed_chunks(text: str | Column, size: int = 512, overlap: int = 50) -> Colu
 
 
 def split_sentences(text: str | Column, separators: Sequence[str] = SENTENCE_SEPARATORS) -> Column:
-    """Sentences with their separators, blank ones dropped; together they are the text without blanks."""
+    """Sentences with their separators, blank ones dropped; together they are the text without blanks.
+
+    A mark is put behind every separator and the text split there. A control character that is already
+    in the text is escaped first, so it can never be taken for the mark.
+    """
     either = "|".join(re.escape(s) for s in separators)
-    pattern = rf"(?s)(?:(?!{either}).)*(?:{either})|(?:(?!{either}).)+$"
-    return F.filter(F.regexp_extract_all(col(text), F.lit(pattern), 0), lambda s: ~_is_blank(s))
+    esc, mark = "\u0001\u0002", "\u0001\u0003"
+    t = col(text)
+    odd = t.contains("\u0001")
+    safe = F.when(odd, F.replace(t, F.lit("\u0001"), F.lit(esc))).otherwise(t)
+    parts = F.split(F.regexp_replace(safe, f"({either})", f"$1{mark}"), mark)
+    restored = F.when(odd, F.transform(parts, lambda p: F.replace(p, F.lit(esc), F.lit("\u0001")))).otherwise(parts)
+    return F.filter(restored, lambda s: ~_is_blank(s))
 
 
 def pack_sentences(sentences: str | Column, size: int = 512, overlap: int = 1) -> Column:

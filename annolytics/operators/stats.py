@@ -57,13 +57,12 @@ def run_report(df: DataFrame, trajectory: str = "trajectory", type_col: str = "t
     ok = F.col(trajectory).isNotNull()
     name = F.concat_ws("-", type_col, subtype_col)
     counts = df.groupBy(ok.alias("ok"), name.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.select(
-        F.explode(F.array(
-            F.struct(F.lit("status").alias("section"), F.lit("total").alias("name"), F.col("n")),
-            F.struct(F.lit("status"), F.when(F.col("ok"), "success").otherwise("failed"), F.col("n")),
-            F.struct(F.lit("type"), F.when(F.col("ok"), F.col("kind")), F.col("n")),
-        )).alias("r")
-    ).select("r.*").where("name is not null")
+    def line(section: str, name: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), name.alias("name"), F.col("n").alias("n"))
+
+    outcome = F.when(F.col("ok"), "success").otherwise("failed")
+    lines = F.array(line("status", F.lit("total")), line("status", outcome), line("type", F.when(F.col("ok"), F.col("kind"))))
+    parts = counts.select(F.explode(lines).alias("r")).select("r.*").where("name is not null")
     sums = parts.groupBy("section", "name").agg(F.sum("n").alias("n"))
     base = counts.agg(F.sum("n").alias("__total"), F.sum(F.when(F.col("ok"), F.col("n"))).alias("__ok"))
     joined = attach_row(sums, base)
@@ -132,6 +131,18 @@ def histogram(
     return grid.join(counts, [*by, "bin"], "left").select(*by, "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def histogram_pair(
+    df: DataFrame, value: str, is_healthy: Column, by: Sequence[str], bins: int = 258, lo: float = -1.0, hi: float = 257.0
+) -> DataFrame:
+    """Both classes' histograms side by side: (by, bin, healthy, diseased), empty bins present."""
+    flagged = df.withColumn("__h", is_healthy)
+    h = histogram(flagged, value, [*by, "__h"], bins, lo, hi)
+    return h.groupBy(*by, "bin").agg(
+        F.sum(F.when(F.col("__h"), F.col("n")).otherwise(0)).alias("healthy"),
+        F.sum(F.when(~F.col("__h"), F.col("n")).otherwise(0)).alias("diseased"),
+    )
+
+
 def ks_binned(hist: DataFrame, by: Sequence[str], healthy: str = "healthy", diseased: str = "diseased", bins: int = 258) -> DataFrame:
     """Largest distance of the two cumulative shares over the inner bins.
 
