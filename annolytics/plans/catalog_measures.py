@@ -118,7 +118,7 @@ def g16(t: Tables) -> DataFrame:
     return S.batch_status(t.events.select(F.col("user_id").alias("dataset"), kind.alias("status"), "ts", "event_id"), order=["ts", "event_id"])
 
 
-METHOD_SQL = """ml AS (SELECT l_returnflag || l_linestatus AS method, month(l_shipdate) AS lesion, l_quantity AS red, l_discount AS green, l_tax AS blue FROM lineitem)"""
+METHOD_SQL = """ml AS (SELECT l_returnflag || l_linestatus AS method, CAST(month(l_shipdate) AS INTEGER) AS lesion, l_quantity AS red, l_discount AS green, l_tax AS blue FROM lineitem)"""
 
 
 def methods(t: Tables) -> DataFrame:

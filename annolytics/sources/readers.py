@@ -12,7 +12,7 @@ from ..functions.text import py_strip
 
 # The record shape. ``image`` may hold a string or, as JSON text, a list.
 RECORD_SCHEMA = (
-    "id string, image string, image_path string, Image string, img_path string, image_file string, "
+    "id string, image string, image_path string, img_path string, image_file string, "
     "conversations array<struct<`from`:string,value:string>>, modality string, "
     "question string, q string, ground_truth_answer string, correct_answer string, answer string, gt_answer string, a string"
 )
@@ -20,16 +20,36 @@ PLURAL_QUESTION = "What conditions are present in this fundus image?"
 SINGULAR_QUESTION = "What is shown in this fundus image?"
 
 
+CAPITALIZED = {"image": "Image", "question": "Question", "answer": "Answer"}
+
+
 def _parsed(lines: DataFrame, schema: str) -> DataFrame:
+    """Non-blank JSON texts in ``value`` with their record ``r`` (``r._bad`` is set when malformed)."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     return lines.where(py_strip(F.col("value")) != "").withColumn(
         "r", F.from_json("value", f"{schema}, _bad string", options)
     )
 
 
+def _records(parsed: DataFrame, *keep: str) -> DataFrame:
+    """Well-formed records. Spark names ignore case, so the capitalized spellings are read by path and
+    fill the lower-case column they rank right after."""
+    good = parsed.where("r is not null and r._bad is null")
+    fields = [f for f in parsed.schema["r"].dataType.fieldNames() if f != "_bad"]
+    columns = []
+    for f in fields:
+        value = F.col(f"r.{f}")
+        if f in CAPITALIZED:
+            name = CAPITALIZED[f]
+            other = F.when(F.contains("value", F.lit(f'"{name}"')), F.get_json_object("value", f"$.{name}"))
+            value = F.coalesce(F.nullif(value, F.lit("")), other)
+        columns.append(value.alias(f))
+    return good.select(*keep, *columns)
+
+
 def read_examples_jsonl(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
     """One record per line; blank and malformed lines are skipped (see ``count_malformed``)."""
-    return _parsed(spark.read.text(path), schema).where("r is not null and r._bad is null").select("r.*").drop("_bad")
+    return _records(_parsed(spark.read.text(path), schema))
 
 
 def count_malformed(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
@@ -48,7 +68,7 @@ def read_examples_json(spark: SparkSession, path: str, schema: str = RECORD_SCHE
     wrapped = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ("data", "examples", "items")])
     items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), wrapped, F.array("v"))
     rows = v.where("v is not null").select(F.explode(items).alias("i"))
-    return rows.select(F.from_json(F.to_json("i"), schema).alias("r")).where("r is not null").select("r.*")
+    return _records(_parsed(rows.select(F.to_json("i").alias("value")), schema))
 
 
 def read_examples_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -78,7 +98,7 @@ def read_dataset_dir(spark: SparkSession, directory: str, pattern: str | None =
     )
     visible = lines.where(F.col("f").endswith(".jsonl") & ~F.col("f").startswith("."))
     name = F.regexp_replace("f", r"\.jsonl$", "")
-    return _parsed(visible, schema).where("r is not null and r._bad is null").select(name.alias("dataset"), "r.*").drop("_bad")
+    return _records(_parsed(visible, schema).withColumn("dataset", name), "dataset")
 
 
 def read_corpus(spark: SparkSession, directory: str, recursive: bool = True, pattern: str = "*") -> DataFrame:
