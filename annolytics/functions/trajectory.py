@@ -64,18 +64,18 @@ def check_format(t: str | Column) -> Column:
     return _verdict(chain.when(~py_strip(text).startswith("<think>"), ISSUE_START))
 
 
-def check_tool_match(t: str | Column, log: str | Column) -> Column:
+def check_tool_match(t: str | Column, log: str | Column, observations: Column | None = None) -> Column:
     """At least half of the log entries have their status text in some observation; an empty log passes."""
     entries = F.coalesce(col(log), F.array().cast("array<struct<tool_name:string,status:string>>")) if isinstance(log, str) else log
-    seen = blocks(col(t), "observation")
+    seen = blocks(col(t), "observation") if observations is None else observations
     matched = F.size(F.filter(entries, lambda e: F.exists(seen, lambda o: o.contains(e["status"]))))
     rate = F.try_divide(F.greatest(matched, F.lit(0)), F.size(entries))
     return _verdict(F.when((F.size(entries) > 0) & (rate < MIN_TOOL_RATE), F.format_string(ISSUE_TOOLS, percent_text(rate))))
 
 
-def check_coherence(t: str | Column) -> Column:
+def check_coherence(t: str | Column, thinks: Column | None = None) -> Column:
     text = col(t)
-    thinks = blocks(text, "think")
+    thinks = blocks(text, "think") if thinks is None else thinks
     n = F.size(thinks)
     hollow = F.size(F.filter(thinks, lambda b: F.length(py_strip(b)) < MIN_THINK_CHARS))
     chain = (
@@ -94,11 +94,21 @@ def check_correction(t: str | Column) -> Column:
     return _verdict(chain)
 
 
-def check_answer(t: str | Column, truth: str | Column) -> Column:
+def truth_words(truth: str | Column) -> Column:
+    return F.regexp_extract_all(F.lower(col(truth)), F.lit(r"(?U)\w+"), 0)
+
+
+def last_answer(answers: Column) -> Column:
+    return F.lower(F.try_element_at(answers, F.lit(-1)))
+
+
+def check_answer(
+    t: str | Column, truth: str | Column, answers: Column | None = None, last: Column | None = None, words: Column | None = None
+) -> Column:
     """Words of the truth longer than three characters found in the last answer, over all its words."""
-    answers = blocks(col(t), "answer")
-    last = F.lower(F.try_element_at(answers, F.lit(-1)))
-    words = F.regexp_extract_all(F.lower(col(truth)), F.lit(r"(?U)\w+"), 0)
+    answers = blocks(col(t), "answer") if answers is None else answers
+    last = last_answer(answers) if last is None else last
+    words = truth_words(truth) if words is None else words
     hits = F.size(F.filter(words, lambda w: (F.length(w) >= MIN_WORD_CHARS) & last.contains(w)))
     rate = F.coalesce(F.try_divide(hits, F.size(words)), F.lit(0.0))
     chain = F.when(F.size(answers) == 0, ISSUE_NO_ANSWER).when(

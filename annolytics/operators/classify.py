@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import contains_any, expand_answer, rule_label, rule_number
 from ..plans import rules as R
 from .examples import may_become_correction
-from .ordering import attach_row
+from .ordering import attach_row, once
 
 
 def classify(
@@ -22,21 +22,18 @@ def classify(
 ) -> DataFrame:
     """Adds ``answer_text`` (options expanded, lower case), ``label`` struct or null.
 
-    Lower-casing, rule number and label are separate projections, so each is computed once per row
-    and stays in generated code.
+    Lower-cased texts and the rule number are each computed once per row, also under later filters on
+    the label.
     """
-    lowered = df.withColumn("__q", F.lower(F.col(question))).withColumn(
-        "answer_text", expand_answer(question, answer) if expand else F.lower(F.col(answer))
-    )
-    numbered = lowered.withColumn("__rule", rule_number("__q", "answer_text", rules))
+    text = expand_answer(question, answer) if expand else F.lower(F.col(answer))
+    lowered = once(df, __q=F.lower(F.col(question)), answer_text=text)
+    numbered = once(lowered, __rule=rule_number("__q", "answer_text", rules))
     return numbered.withColumn("label", rule_label("__rule", "__q", "answer_text", rules)).drop("__q", "__rule")
 
 
 def check_corrections(df: DataFrame, question: str = "question", answer_text: str = "answer_text") -> DataFrame:
     """The correction (B) rules on their own, as ``correction`` struct or null."""
-    n = df.withColumn("__q", F.lower(F.col(question))).withColumn(
-        "__rule", rule_number("__q", answer_text, R.CORRECTION_RULES)
-    )
+    n = once(once(df, __q=F.lower(F.col(question))), __rule=rule_number("__q", answer_text, R.CORRECTION_RULES))
     return n.withColumn("correction", rule_label("__rule", "__q", answer_text, R.CORRECTION_RULES)).drop("__q", "__rule")
 
 
@@ -132,7 +129,7 @@ def extract_evidence(df: DataFrame, results: str = "tool_results", name: str = "
     """``results`` is a VARIANT column (use ``parse_json`` on text)."""
     from ..functions.evidence import evidence
 
-    return df.withColumn(name, evidence(results))
+    return once(df, **{name: evidence(results)})
 
 
 def adjust_labels(

@@ -7,7 +7,7 @@ and pointer jumps, with a checkpoint per round.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,20 +21,23 @@ _HALF = ((1, 0), (-1, 1), (0, 1), (1, 1))  # half of the eight neighbours; the r
 _ROW = 1 << 32  # pixel name = y · 2³² + x: names order pixels by row, then column
 
 
-def tile_labels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Smallest pixel name of each pixel's component, for the pixels of one tile."""
-    name = y.astype(np.int64) * _ROW + x.astype(np.int64)
-    order = np.argsort(name)
-    sorted_names = name[order]
+def tile_labels(group: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest pixel name of each pixel's component, for whole tiles numbered by ``group``.
+
+    x and y count inside the tile (below 1,000), so (group, y, x) packs into one sortable number.
+    """
+    place = (group.astype(np.int64) << 20) | ((y.astype(np.int64) + 1) << 10) | (x.astype(np.int64) + 1)
+    order = np.argsort(place, kind="stable")
+    ordered = place[order]
     left, right = [], []
     for dx, dy in _HALF:
-        at = np.searchsorted(sorted_names, sorted_names + dy * _ROW + dx)
-        at = np.minimum(at, len(sorted_names) - 1)
-        hit = sorted_names[at] == sorted_names + dy * _ROW + dx
+        wanted = ordered + (dy << 10) + dx
+        at = np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)
+        hit = ordered[at] == wanted
         left.append(np.flatnonzero(hit))
         right.append(at[hit])
     u, v = np.concatenate(left), np.concatenate(right)
-    lab = np.arange(len(name))
+    lab = np.arange(len(ordered))
     while True:
         low = np.minimum(lab[u], lab[v])
         new = lab.copy()
@@ -45,24 +48,53 @@ def tile_labels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         if np.array_equal(new, lab):
             break
         lab = new
-    out = np.empty(len(name), dtype=np.int64)
-    out[order] = sorted_names[lab]
-    return out
+    first = np.empty(len(ordered), dtype=np.int64)
+    first[order] = order[lab]
+    return first  # position of the component's first pixel
 
 
 def label_components(px: DataFrame, by: Sequence[str] = ("image", "lesion"), tile: int = 256) -> DataFrame:
-    """Adds ``component`` (name of the component's first pixel) to distinct pixels with x, y ≥ 0."""
+    """Adds ``component`` (name of the component's first pixel) to distinct pixels with x, y ≥ 0.
+
+    Tiles are shuffled by (image, tile) and sorted, and each task labels all complete tiles of an Arrow
+    batch at once; it holds one batch and one tile at most.
+    """
+    if tile > 1000:
+        raise ValueError("tile side must be at most 1000")
+    keys = [*by, "__ty", "__tx"]
     pixels = px.select(*by, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct()
     tiled = pixels.withColumns({"__tx": F.floor(F.col("x") / tile), "__ty": F.floor(F.col("y") / tile)})
+    sorted_tiles = tiled.repartition(*keys).sortWithinPartitions(*keys)
     schema = T.StructType([pixels.schema[c] for c in by] + [
         T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), T.StructField("node", T.LongType())
     ])
 
-    def one_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf["node"] = tile_labels(pdf["x"].to_numpy(), pdf["y"].to_numpy())
+    def label(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        first = tile_labels(np.cumsum(starts), x % tile, y % tile)
+        pdf["node"] = y[first] * _ROW + x[first]
         return pdf[[*by, "x", "y", "node"]]
 
-    local = tiled.groupBy(*by, "__tx", "__ty").applyInPandas(one_tile, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for pdf in batches:
+            rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if rows.empty:
+                continue
+            same = np.ones(len(rows), dtype=bool)
+            for k in keys:
+                c = rows[k].to_numpy()
+                same[1:] &= c[1:] == c[:-1]
+            starts = ~same
+            starts[0] = True
+            last = np.flatnonzero(starts)[-1]
+            if last:
+                yield label(rows.iloc[:last].copy(), starts[:last])
+            held = rows.iloc[last:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield label(held, np.zeros(len(held), dtype=bool))
+
+    local = sorted_tiles.mapInPandas(run, schema)
 
     # tile borders
     rim = local.where((F.col("x") % tile).isin(0, tile - 1) | (F.col("y") % tile).isin(0, tile - 1))

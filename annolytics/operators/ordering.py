@@ -35,6 +35,18 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that each is computed once per row, whatever uses them later.
+
+    A plain projection can be copied by the optimizer into every later filter and expression that names
+    it. A generator is not copied: filters on its output stay above it, other filters still move below.
+    """
+    name = "__once"
+    packed = F.struct(*[c.alias(k) for k, c in columns.items()])
+    rows = df.select("*", F.explode(F.array(packed)).alias(name))
+    return rows.select(*df.columns, *[F.col(f"{name}.{k}").alias(k) for k in columns])
+
+
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a single-row frame to every row as a scalar subquery; no join takes place."""
     row = one_row.select(F.struct(*one_row.columns)).scalar()

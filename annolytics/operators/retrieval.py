@@ -163,12 +163,14 @@ def search(
     nprobe = None if index.centroids is None else min(MAX_PROBES, len(index.centroids))
     vec = l2_normalize(qvec) if index.metric == "cosine" else F.transform(qvec, lambda x: x.cast("double"))
     prepared = _checked(queries.select(qid, qvec), qvec, index.dimension).select(qid, vec.alias(qvec))
-    n_blocks = max(1, -(-prepared.count() * (index.dimension * 8 + 64) // block_bytes))
+    per_block = max(1, block_bytes // (index.dimension * 8 + 64))
+    head = prepared.limit(per_block + 1).collect()  # one block and a row: enough to know if one block will do
+    n_blocks = 1 if len(head) <= per_block else -(-prepared.count() // per_block) * 2
     w = Window.partitionBy("__qi").orderBy(F.desc("score"), index.id_col)
     out = None
     for block in range(n_blocks):
-        part = prepared if n_blocks == 1 else prepared.where(F.pmod(F.xxhash64(qid), F.lit(n_blocks)) == block)
-        rows = part.collect()  # one block: about block_bytes
+        part = prepared.where(F.pmod(F.xxhash64(qid), F.lit(n_blocks)) == block)
+        rows = head if n_blocks == 1 else part.collect()  # about half a block on average
         ids = [r[0] for r in rows]
         matrix = np.array([r[1] for r in rows], dtype="float64").reshape(-1, index.dimension)
         hits = _search_block(index, ids, matrix, k, nprobe)

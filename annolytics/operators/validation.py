@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import trajectory as J
+from .ordering import once
 
 CHECKS = ["xml_valid", "tool_results_match", "reasoning_coherent", "correction_demonstrated", "ground_truth_reached"]
 
@@ -25,11 +26,16 @@ def validate(
     The correction check applies to type B only; it is false for others but counts as passed in the score.
     """
     is_b = F.coalesce(F.col(rtype).startswith("B"), F.lit(False))
-    checked = df.withColumns({
-        "__f": J.check_format(trajectory), "__t": J.check_tool_match(trajectory, log),
-        "__c": J.check_coherence(trajectory), "__b": F.when(is_b, J.check_correction(trajectory)),
-        "__a": J.check_answer(trajectory, truth),
-    })
+    parts = once(
+        df, __th=J.blocks(F.col(trajectory), "think"), __ob=J.blocks(F.col(trajectory), "observation"),
+        __an=J.blocks(F.col(trajectory), "answer"), __w=J.truth_words(truth),
+    )
+    checked = once(
+        parts.withColumn("__last", J.last_answer(F.col("__an"))),
+        __f=J.check_format(trajectory), __t=J.check_tool_match(trajectory, log, F.col("__ob")),
+        __c=J.check_coherence(trajectory, F.col("__th")), __b=F.when(is_b, J.check_correction(trajectory)),
+        __a=J.check_answer(trajectory, truth, F.col("__an"), F.col("__last"), F.col("__w")),
+    )
     correction = F.coalesce(F.col("__b.ok"), F.lit(False))
     score = J.quality_score({
         "xml_valid": F.col("__f.ok"), "tool_results_match": F.col("__t.ok"), "reasoning_coherent": F.col("__c.ok"),

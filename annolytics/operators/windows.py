@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .ordering import in_blocks
 
@@ -79,23 +77,21 @@ def call_stats(df: DataFrame, tool: str = "tool_name") -> DataFrame:
 def ewma(df: DataFrame, by: Sequence[str], seq: str, value: str, span: int, name: str = "ewma") -> DataFrame:
     """Exponentially weighted mean, α = 2/(span+1), started at the first value. ``seq`` counts from 0.
 
-    Rows are cut into blocks with a halo long enough that anything older has weight 0 in double
-    precision, so blocks are independent and a long group is never held by one task.
+    Inside a block of m positions and the m before it, the mean is a running sum of scaled values. m is
+    such that anything older weighs less than 1e-100, so blocks are independent, no power overflows, and
+    a long group is never held by one task.
     """
-    keep = 1 - 2 / (span + 1.0)
-    halo = 1 if keep <= 0 else min(int(math.ceil(1075 * math.log(2) / -math.log(keep))), 10_000_000)
-    size = max(8192, halo)
-    blocks = in_blocks(df.select(*by, seq, value), seq, before=halo, size=size)
-    schema = T.StructType(
-        [df.schema[c] for c in by] + [df.schema[seq], T.StructField(value, T.DoubleType()), T.StructField(name, T.DoubleType())]
-    )
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq)
-        pdf[name] = pdf[value].astype("float64").ewm(span=span, adjust=False).mean()
-        return pdf.loc[pdf["__home"], [*by, seq, value, name]]
-
-    return blocks.groupBy(*by, "__block").applyInPandas(fold, schema)
+    alpha = 2 / (span + 1.0)
+    keep = 1 - alpha
+    if keep <= 0:
+        return df.select(*by, seq, value, F.col(value).cast("double").alias(name))
+    m = max(1, math.ceil(230 / -math.log(keep)))
+    blocks = in_blocks(df.select(*by, seq, value), seq, before=m, size=m)
+    at = F.col(seq) - (F.col("__block") - 1) * m  # 0 … 2m-1 inside a block and its halo
+    weight = F.when(F.col(seq) == 0, 1.0).otherwise(alpha)
+    w = Window.partitionBy(*by, "__block").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    scaled = F.sum(F.col(value) * weight * F.pow(F.lit(keep), -at)).over(w)
+    return blocks.withColumn(name, scaled * F.pow(F.lit(keep), at)).where("__home").select(*by, seq, value, name)
 
 
 # Ring radii of the grid in disc diameters, and the divisor that estimates the diameter.

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +23,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
+    @property
+    def texts(self) -> DataFrame:
+        """Documents for work that is heavy per text."""
+        return spread(self.spark.read.parquet(f"{self.directory}/documents.parquet").select("doc_id", "text", "lang", "source"))
+
 
 def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
@@ -97,7 +104,7 @@ CLS_SQL = f"""cls AS (SELECT doc_id, dataset, a AS answer_text, {_r['type']} AS
 def classified_documents(t: Tables) -> DataFrame:
     from ..operators.classify import classify
 
-    docs = t.documents.select(
+    docs = t.texts.select(
         "doc_id", F.col("source").alias("dataset"), F.concat_ws(" ", "lang", "source").alias("question"),
         F.col("text").alias("ground_truth_answer"),
     )

@@ -28,7 +28,7 @@ fc AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start
 
 @query("t1_chunk_fixed", f"WITH {FIXED_SQL} SELECT doc_id, chunk_id, CAST(start_char AS INTEGER) AS start_char, CAST(start_char + 512 AS INTEGER) AS end_char, md5(c) AS digest FROM fc")
 def t1(t: Tables) -> DataFrame:
-    out = K.chunk_fixed(t.documents.select("doc_id", "text"), ["doc_id"])
+    out = K.chunk_fixed(t.texts.select("doc_id", "text"), ["doc_id"])
     return out.select("doc_id", "chunk_id", "start_char", "end_char", F.md5("text").alias("digest"))
 
 
@@ -45,7 +45,7 @@ SENT_SQL = f"""sn AS (SELECT doc_id, list_filter(string_split({mark('text')}, ch
 
 @query("t2_split_sentences", f"WITH {SENT_SQL} SELECT doc_id, CAST(len(s) AS INTEGER) AS n, md5(array_to_string(s, '|')) AS digest FROM sn")
 def t2(t: Tables) -> DataFrame:
-    s = t.documents.select("doc_id", C.split_sentences("text").alias("s"))
+    s = t.texts.select("doc_id", C.split_sentences("text").alias("s"))
     return s.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
@@ -60,25 +60,25 @@ pk AS (SELECT rg.doc_id, CAST(row_number() OVER (PARTITION BY rg.doc_id ORDER BY
 
 @query("t3_chunk_sentences", f"WITH RECURSIVE {PACK_SQL} SELECT doc_id, chunk_id, sentence_count, md5(c) AS digest FROM pk")
 def t3(t: Tables) -> DataFrame:
-    out = K.chunk_sentences(t.documents.select("doc_id", "text"), ["doc_id"])
+    out = K.chunk_sentences(t.texts.select("doc_id", "text"), ["doc_id"])
     return out.select("doc_id", "chunk_id", "sentence_count", F.md5("text").alias("digest"))
 
 
 @query("t4_chunk_recursive")
 def t4(t: Tables) -> DataFrame:
-    return K.chunk_recursive(t.documents.select("doc_id", "text"), ["doc_id"]).select("doc_id", "chunk_id", "text")
+    return K.chunk_recursive(t.texts.select("doc_id", "text"), ["doc_id"]).select("doc_id", "chunk_id", "text")
 
 
 @query("t5_chunk_semantic")
 def t5(t: Tables) -> DataFrame:
-    out = K.chunk_semantic(t.documents.select("doc_id", "text"), ["doc_id"], threshold=0.2)
+    out = K.chunk_semantic(t.texts.select("doc_id", "text"), ["doc_id"], threshold=0.2)
     return out.select("doc_id", "chunk_id", "text", r6("avg_similarity").alias("avg_similarity"))
 
 
 @query("t6_chunk_hybrid", f"""WITH RECURSIVE {FIXED_SQL}, {PACK_SQL} SELECT doc_id, 0 AS hybrid_strategy_index, 'hybrid_fixed_size' AS chunking_strategy, 0.75::DOUBLE AS hybrid_weight, count(*) AS n, CAST(sum(length(c)) AS BIGINT) AS chars FROM fc GROUP BY 1
 UNION ALL SELECT doc_id, 1, 'hybrid_sentence', 0.25, count(*), CAST(sum(length(c)) AS BIGINT) FROM pk GROUP BY 1""")
 def t6(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", "text")
+    docs = t.texts.select("doc_id", "text")
     both = K.chunk_hybrid([K.chunk_fixed(docs, ["doc_id"]), K.chunk_sentences(docs, ["doc_id"])], [3, 1])
     return both.groupBy("doc_id", "hybrid_strategy_index", "chunking_strategy", "hybrid_weight").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
@@ -104,7 +104,7 @@ def t8(t: Tables) -> DataFrame:
 @query("t9_embed", r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS w FROM documents), s AS (SELECT doc_id, CAST('0x' || substring(md5(w), 1, 8) AS BIGINT) % 64 AS slot, count(*) AS n FROM w GROUP BY ALL)
 SELECT d.doc_id, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY u.i) AS vec FROM documents d CROSS JOIN range(64) u(i) LEFT JOIN s ON s.doc_id = d.doc_id AND slot = u.i GROUP BY 1""")
 def t9(t: Tables) -> DataFrame:
-    e = embed(t.documents.select("doc_id", "text"))
+    e = embed(t.texts.select("doc_id", "text"))
     return e.select("doc_id", F.array_join(F.transform("embedding", lambda v: v.cast("long").cast("string")), ",").alias("vec"))
 
 

@@ -43,6 +43,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Round-robin a file scan that has fewer splits than there are cores, before work that is heavy per
+    row. A scan with enough splits is left alone. Pass scans only: counting splits runs no job for them."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so that a lost executor costs no recomputed loop."""
     spark = df.sparkSession
