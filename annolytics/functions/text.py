@@ -130,13 +130,20 @@ def is_correct(predicted: str | Column, truth: str | Column, mode: str = "single
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def is_one_json(text: Column) -> Column:
+    """The whole text is one JSON value. Spark's parsers stop after the first value, so text behind it
+    would pass; as an array element it cannot. Counting elements skips values without building them."""
+    two = lambda before, after: F.json_array_length(F.concat(F.lit(before), text, F.lit(after))) == 2
+    return F.coalesce(two("[", ",0]") & two("[0,", "]"), F.lit(False))
+
+
 def outer_json(c: str | Column) -> Column:
     """Text from the first ``{`` to the last ``}`` when it is valid JSON, else null."""
     t = col(c)
     start = F.instr(t, "{")
     end = F.length(t) - F.instr(F.reverse(t), "}") + 1
     body = F.when((start > 0) & F.contains(t, F.lit("}")) & (end >= start), F.substring(t, start, end - start + 1))
-    return F.when(F.try_parse_json(body).isNotNull(), body)
+    return F.when(is_one_json(body), body)
 
 
 def last_json_object(text: str | None) -> str | None:

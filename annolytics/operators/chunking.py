@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import chunks as C
 from ..functions.text import py_strip
 from .embedding import hashed_words
+from .ordering import once
 
 CHUNK_COLUMNS = ("chunk_id", "text", "start_char", "end_char", "sentence_count", "avg_similarity", "chunking_strategy")
 KINDS = {"chunk_id": "int", "text": "string", "start_char": "int", "end_char": "int", "sentence_count": "int",
@@ -36,8 +37,9 @@ def chunk_sentences(
     df: DataFrame, keep: Sequence[str], size: int = 512, overlap: int = 1,
     separators: Sequence[str] = C.SENTENCE_SEPARATORS, text: str = "text",
 ) -> DataFrame:
-    sentences = df.select(*keep, C.split_sentences(text, separators).alias("__s"))
-    return _rows(sentences, keep, C.pack_sentences("__s", size, overlap), "sentence")
+    split = once(df, __s=C.split_sentences(text, separators))
+    sized = once(split, __l=F.transform("__s", lambda x: F.length(x)))
+    return _rows(sized, keep, C.pack_sentences("__s", "__l", size, overlap), "sentence")
 
 
 def chunk_recursive(
@@ -73,12 +75,10 @@ def chunk_semantic(
                 out.append(np.einsum("ij,ij->i", v[:-1], v[1:]) / (n[:-1] * n[1:]) if len(row) > 1 else np.zeros(0))
         return pd.Series(out)
 
-    sentences = df.select(*keep, F.col(text).alias("__t"), C.split_sentences(text).alias("__s"))
-    scored = sentences.withColumn("__sim", neighbour_similarity("__s"))
-    sims = F.transform("__sim", lambda v: F.when(~F.isnan(v), v))
-    ranges = scored.withColumn("__sim", sims).withColumn(
-        "__r", C.semantic_ranges(F.col("__s"), F.col("__sim"), threshold, min_size, max_size)
-    )
+    split = once(df.select(*keep, F.col(text).alias("__t")), __s=C.split_sentences("__t"))
+    scored = split.withColumn("__raw", neighbour_similarity("__s"))
+    sized = once(scored, __l=F.transform("__s", lambda x: F.length(x)), __sim=F.transform("__raw", lambda v: F.when(~F.isnan(v), v)))
+    ranges = once(sized, __r=C.semantic_ranges(F.col("__l"), F.col("__sim"), threshold, min_size, max_size))
 
     def build(r: Column, i: Column) -> Column:
         # the cut between `last` and the next sentence takes part in the mean

@@ -94,7 +94,7 @@ def label_components(px: DataFrame, by: Sequence[str] = ("image", "lesion"), til
         if held is not None and len(held):
             yield label(held, np.zeros(len(held), dtype=bool))
 
-    local = sorted_tiles.mapInPandas(run, schema)
+    local = materialize(sorted_tiles.mapInPandas(run, schema))  # used three times below
 
     # tile borders
     rim = local.where((F.col("x") % tile).isin(0, tile - 1) | (F.col("y") % tile).isin(0, tile - 1))

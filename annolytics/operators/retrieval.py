@@ -84,7 +84,7 @@ def _with_cell(df: DataFrame, vec_col: str, centroids: np.ndarray) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def build_ivf(index: VectorIndex, nlist: int, seed: int = 42, iterations: int = 20) -> VectorIndex:
+def build_ivf(index: VectorIndex, nlist: int, seed: int = 42, iterations: int = 10) -> VectorIndex:
     """Train ``nlist`` centroids on all vectors and give each vector its cell."""
     features = index.vectors.select(array_to_vector(index.vec_col).alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=iterations, initSteps=2).fit(features)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import py_strip
+from ..functions.text import is_one_json, py_strip
 
 # The record shape. ``image`` may hold a string or, as JSON text, a list.
 RECORD_SCHEMA = (
@@ -26,8 +26,9 @@ CAPITALIZED = {"image": "Image", "question": "Question", "answer": "Answer"}
 def _parsed(lines: DataFrame, schema: str) -> DataFrame:
     """Non-blank JSON texts in ``value`` with their record ``r`` (``r._bad`` is set when malformed)."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    whole = F.when(is_one_json(F.col("value")), F.col("value"))  # null for text behind the record
     return lines.where(py_strip(F.col("value")) != "").withColumn(
-        "r", F.from_json("value", f"{schema}, _bad string", options)
+        "r", F.from_json(whole, f"{schema}, _bad string", options)
     )
 
 
