@@ -23,16 +23,25 @@ def hash_order(seed: int, *keys: str) -> Column:
     return F.concat(F.md5(F.concat(F.lit(f"{seed}|"), text)), F.lit("|"), text)
 
 
+def group_key(keys: Sequence[str], name: str = "__k") -> Column:
+    """Several columns as one struct. Inside a struct null equals null, so the key joins plainly, and a
+    window partitioned by it needs no second shuffle before the join."""
+    return F.struct(*keys).alias(name)
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join on keys with null matching null, keeping the left copy of the keys."""
-    renamed = right.select(
-        *[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
-    )
-    cond = None
-    for k in keys:
-        part = left[k].eqNullSafe(renamed[f"__r_{k}"])
-        cond = part if cond is None else cond & part
-    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+    """Join with null matching null, keeping the left copy of the keys."""
+    r = right.select(group_key(keys), *[c for c in right.columns if c not in keys])
+    return left.withColumn("__k", group_key(keys)).join(r, "__k", how).drop("__k")
+
+
+def small_side(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """A derived side, broadcast if it proves small: it is computed, and at most ``max_rows`` + 1 rows are
+    fetched. When it is larger the frame is returned as it was, for a shuffled join."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -92,7 +101,7 @@ def with_cuts(
     cuts = hash_cuts(df, by, order, take)
     base = df.withColumn("__order", order)
     if by:
-        return _null_safe(base, cuts, by, "left")
+        return _null_safe(base, small_side(cuts), by, "left")
     return attach_row(base, cuts)
 
 
@@ -112,24 +121,25 @@ def with_range_bucket(df: DataFrame, value: Column, name: str = "__b", buckets:
     return bucketed.withColumn(name, F.col(name).cast("int")).drop("__v")
 
 
+def _bucket_offsets(b: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Per (group, bucket): totals of all earlier buckets of the group, under ``__k``."""
+    totals = b.groupBy("__k").agg(*[c.alias(n) for n, c in sums.items()])
+    group = Window.partitionBy(*[F.col("__k")[c] for c in by]) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy(F.col("__k")["__b"]).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("__k", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums])
+
+
 def running_sums(
     df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str], buckets: int | None = None
 ) -> DataFrame:
     """Inclusive prefix sums along a numeric ``order`` (unique within a group)."""
-    b = with_range_bucket(df, F.col(order), buckets=buckets)
-    totals = b.groupBy(*by, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums.values()])
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *by, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__p_{c}") for c in sums.values()]
-    )
-    inside = Window.partitionBy(*by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    b = with_range_bucket(df, F.col(order), buckets=buckets).withColumn("__k", group_key([*by, "__b"]))
+    offsets = _bucket_offsets(b, by, {f"__p_{c}": F.sum(c) for c in sums.values()})
+    inside = Window.partitionBy("__k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = b.select("*", *[F.sum(c).over(inside).alias(f"__s_{c}") for c in sums.values()])
-    joined = _null_safe(local, offsets, [*by, "__b"], "inner")
-    out = joined.select(
+    return local.join(offsets, "__k").select(
         *df.columns, *[(F.col(f"__s_{c}") + F.col(f"__p_{c}")).alias(n) for n, c in sums.items()]
     )
-    return out
 
 
 def dense_rank_in_group(
@@ -141,14 +151,12 @@ def dense_rank_in_group(
     buckets: int | None = None,
 ) -> DataFrame:
     """0-based position inside each group; ``value`` is the numeric form of ``order[0]``."""
-    b = with_range_bucket(df, value, buckets=buckets)
-    counts = b.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__p"))
-    local = b.withColumn("__rn", F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order)))
-    joined = _null_safe(local, offsets, [*by, "__b"], "inner")
-    return joined.select(*df.columns, (F.col("__p") + F.col("__rn") - 1).cast("long").alias(name))
+    b = with_range_bucket(df, value, buckets=buckets).withColumn("__k", group_key([*by, "__b"]))
+    offsets = _bucket_offsets(b, by, {"__p": F.count(F.lit(1))})
+    local = b.withColumn("__rn", F.row_number().over(Window.partitionBy("__k").orderBy(*order)))
+    return local.join(offsets, "__k").select(
+        *df.columns, (F.col("__p") + F.col("__rn") - 1).cast("long").alias(name)
+    )
 
 
 def in_blocks(

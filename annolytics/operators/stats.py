@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordering import attach_row, running_sums
+from .ordering import _null_safe, attach_row, running_sums
 
 
 def classification_stats(df: DataFrame, dataset: str = "dataset", label: str = "label") -> DataFrame:
@@ -174,7 +174,7 @@ def ks_exact(df: DataFrame, value: str, is_a: Column, by: Sequence[str]) -> Data
     )
     sums = running_sums(table, by, "__x", {"ca": "a", "cb": "b"})
     totals = table.groupBy(*by).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    joined = sums.join(totals, list(by)) if by else attach_row(sums, totals)
+    joined = _null_safe(sums, totals, by, "inner") if by else attach_row(sums, totals)
     gap = F.abs(F.try_divide("ca", "na") - F.try_divide("cb", "nb"))
     return joined.groupBy(*by).agg(F.max(gap).alias("ks"))
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import in_blocks
+from .ordering import in_blocks, small_side
 
 
 def top_n(df: DataFrame, by: Sequence[str], method: str, score: str, n: int = 2, keep: str | None = None) -> DataFrame:
@@ -34,15 +34,15 @@ def arg_max_rows(df: DataFrame, by: Sequence[str], score: str, order: Sequence[s
         F.max(score).alias("__m")
     )
     # two combinable passes: the maximum, then the first row among those that reach it
-    tied = df.join(top, list(by)).where(F.col(score) == F.col("__m")).drop("__m")
+    tied = df.join(small_side(top), list(by)).where(F.col(score) == F.col("__m")).drop("__m")
     rest = [c for c in df.columns if c not in by]
     return tied.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*by, "r.*")
 
 
 def scale_by_group_max(df: DataFrame, by: Sequence[str], value: str, name: str = "scaled") -> DataFrame:
-    """Value over its group's maximum: small aggregate joined back, so a big group stays spread out."""
+    """Value over its group's maximum: the aggregate is joined back, so a big group stays spread out."""
     top = df.groupBy(*by).agg(F.max(value).alias("__m"))
-    return df.join(top, list(by)).withColumn(name, F.try_divide(value, "__m")).drop("__m")
+    return df.join(small_side(top), list(by)).withColumn(name, F.try_divide(value, "__m")).drop("__m")
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -335,7 +335,7 @@ def g31h(t: Tables) -> DataFrame:
     return calibre(t, "hubbard")
 
 
-@query("g32_avr", f"""WITH {X.WIDE_SQL} SELECT Name, round(v_F / v_O, 6) AS plain, round(CASE WHEN v_F / v_O < 0 THEN -1 ELSE v_F / v_O END, 6) AS guarded FROM w""")
+@query("g32_avr", f"""WITH {X.WIDE_SQL} SELECT Name, round(v_F / v_O, 6) + 0 AS plain, round(CASE WHEN v_F / v_O < 0 THEN -1 ELSE v_F / v_O END, 6) + 0 AS guarded FROM w""")
 def g32(t: Tables) -> DataFrame:
     f = G.avr(G.avr(X.all_features(t), "v_F", "v_O", guard=False, name="plain"), "v_F", "v_O", name="guarded")
     return f.select("Name", r6("plain").alias("plain"), r6("guarded").alias("guarded"))
