@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,15 +97,22 @@ def argmax_prediction(probs: str | Column, labels: Sequence[str] | None = None)
     return F.struct(idx.alias("class_id"), name.alias("label"), best.alias("confidence"))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once. Inside a lambda an expression is computed again for
+    every element; a lambda variable is not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def exp_normalize(values: Column) -> Column:
     """Turn an array of scores into probabilities."""
-    e = F.transform(values, lambda v: F.exp(v))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / total)
+    def shares(e: Column) -> Column:
+        return bind(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(e, lambda v: v / total))
+
+    return bind(F.transform(values, lambda v: F.exp(v)), shares)
 
 
 def l2_normalize(vec: str | Column) -> Column:
     """Unit vector; the zero vector is returned as it is."""
-    v = F.transform(col(vec), lambda x: x.cast("double"))
+    v = col(vec).cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    return bind(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x)))

@@ -46,7 +46,7 @@ class VectorIndex:
 def build_index(df: DataFrame, dimension: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding") -> VectorIndex:
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    v = l2_normalize(vec_col) if metric == "cosine" else F.transform(vec_col, lambda x: x.cast("double"))
+    v = l2_normalize(vec_col) if metric == "cosine" else F.col(vec_col).cast("array<double>")
     return VectorIndex(_checked(df, vec_col, dimension).withColumn(vec_col, v), dimension, metric, id_col, vec_col)
 
 
@@ -161,7 +161,7 @@ def search(
     """
     spark = index.vectors.sparkSession
     nprobe = None if index.centroids is None else min(MAX_PROBES, len(index.centroids))
-    vec = l2_normalize(qvec) if index.metric == "cosine" else F.transform(qvec, lambda x: x.cast("double"))
+    vec = l2_normalize(qvec) if index.metric == "cosine" else F.col(qvec).cast("array<double>")
     prepared = _checked(queries.select(qid, qvec), qvec, index.dimension).select(qid, vec.alias(qvec))
     per_block = max(1, block_bytes // (index.dimension * 8 + 64))
     head = prepared.limit(per_block + 1).collect()  # one block and a row: enough to know if one block will do

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
+    @property
+    def heavy_events(self) -> DataFrame:
+        """Events for work that is heavy per row."""
+        return spread(self.events)
+
     @property
     def texts(self) -> DataFrame:
         """Documents for work that is heavy per text."""
@@ -222,10 +229,10 @@ q AS (SELECT label AS query_id, list(v ORDER BY i) AS qv FROM qlong GROUP BY lab
 
 
 def label_means(t: Tables) -> DataFrame:
-    """One query per label: its mean vector. One aggregate expression per dimension, combined map-side."""
-    e = t.embeddings
-    means = [F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(64)]
-    return e.groupBy(F.col("label").alias("query_id")).agg(F.array(*means).alias("query_vec"))
+    """One query per label: its mean vector, combined map-side in one buffer per label."""
+    mean = Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))
+    means = t.embeddings.groupBy(F.col("label").alias("query_id")).agg(mean.alias("m"))
+    return means.select("query_id", vector_to_array("m").alias("query_vec"))
 
 
 PROBS_SQL = """pr AS (SELECT vec_id, label, [exp(CAST(embedding[1] AS DOUBLE)), exp(CAST(embedding[2] AS DOUBLE)), exp(CAST(embedding[3] AS DOUBLE))] AS e FROM embeddings),

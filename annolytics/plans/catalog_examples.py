@@ -192,7 +192,7 @@ def tool_results(t: Tables) -> DataFrame:
                          (e % 5 + 1).cast("int"))
     label = F.struct(F.lit("A").alias("type"), F.when(e % 5 == 0, "pure_dr").otherwise("pure_seg").alias("subtype"),
                      F.lit(0.75).alias("confidence"), F.lit("start").alias("description"))
-    return t.events.select("event_id", "event_type", F.parse_json(F.to_json(result)).alias("tool_results"), kinds.alias("answer_text"), label.alias("label"))
+    return t.heavy_events.select("event_id", "event_type", F.parse_json(F.to_json(result)).alias("tool_results"), kinds.alias("answer_text"), label.alias("label"))
 
 
 EV_SQL = """ev AS (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN value / 500 END AS quality,
@@ -422,7 +422,7 @@ def v11(t: Tables) -> DataFrame:
         .when(e % 4 == 2, F.to_json(F.struct(F.lit("success").alias("status"), F.struct((u % 3).alias("risk_level"), (u % 2 == 0).alias("exudates_near_fovea")).alias("result"))))
         .otherwise(F.to_json(F.struct(F.lit("success").alias("status"), F.struct(u.alias("k"), F.col("event_type").alias("name")).alias("result"))))
     )
-    rows = t.events.select("event_id", tool.alias("tool"), F.parse_json(payload).alias("p"))
+    rows = t.heavy_events.select("event_id", tool.alias("tool"), F.parse_json(payload).alias("p"))
     return rows.select("event_id", E.summarize_tool("tool", "p").alias("summary"))
 
 
@@ -462,7 +462,7 @@ def v14(t: Tables) -> DataFrame:
     p = F.col("props")
     noisy = F.concat(F.lit('log {bad} [1, 2] {"first": {"n": 1}} tail '), p, F.lit(" } end"))
     wrapped = F.concat(F.lit("info: "), F.lit('{"a": ['), p, F.lit("]} done"))
-    return t.events.select("event_id", X.salvage_json(noisy, "last").alias("last_object"), X.salvage_json(wrapped, "outer").alias("outer_object"))
+    return t.heavy_events.select("event_id", X.salvage_json(noisy, "last").alias("last_object"), X.salvage_json(wrapped, "outer").alias("outer_object"))
 
 
 @query("g14_validation_report", f"""WITH {VAL_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE tr <> '') AS validated,
