@@ -432,11 +432,11 @@ def points(t: Tables) -> DataFrame:
         (F.col("l_orderkey") % 1000).alias("y"), F.col("l_quantity").alias("area"))
 
 
-DIST_SQL = CENTER_SQL + """, d AS (SELECT ct.image, ct.r, min(sqrt((x * 1.5 - cx) ** 2 + (y * 0.5 - cy) ** 2)) AS distance FROM ct LEFT JOIN (SELECT * FROM p WHERE lesion = 'A' AND area > 48) p USING (image) GROUP BY ALL)"""
+DIST_SQL = CENTER_SQL + """, d AS (SELECT ct.image, ct.r, min(sqrt((x * 1.5 - cx) ** 2 + (y * 0.5 - cy) ** 2)) AS distance FROM ct LEFT JOIN (SELECT * FROM p WHERE lesion = 'A') p USING (image) GROUP BY ALL)"""
 
 
 def distances(t: Tables) -> DataFrame:
-    return joins.min_distance(points(t).where("lesion = 'A' and area > 48"), centers(t), x_scale=1.5, y_scale=0.5)
+    return joins.min_distance(points(t).where("lesion = 'A'"), centers(t), x_scale=1.5, y_scale=0.5)
 
 
 @query("j12_min_distance", f"WITH {DIST_SQL} SELECT image, round(distance, 6) AS distance FROM d")

@@ -84,7 +84,8 @@ def j7b(t: Tables) -> DataFrame:
 def j8(t: Tables) -> DataFrame:
     name = F.concat(F.lit("p"), F.col("page_id").cast("string"))
     ext = F.element_at(F.array(*[F.lit(x) for x in ("", ".jpg", ".png", ".PNG", ".gif")]), (F.col("page_id") % 5 + 1).cast("int"))
-    manifest = t.pages.select(F.concat(name, ext).alias("path")).unionByName(t.pages.where("page_id % 5 = 1").select(F.concat(name, F.lit(".PNG")).alias("path")))
+    second = F.when(F.col("page_id") % 5 == 1, F.concat(name, F.lit(".PNG")))  # a later choice that must not win
+    manifest = t.pages.select(F.explode(F.array_compact(F.array(F.concat(name, ext), second))).alias("path"))
     return J.resolve_files(t.pages.select("page_id", name.alias("name")), manifest, "name").select("page_id", "resolved")
 
 
