@@ -24,8 +24,7 @@ def _option_text(question: Column, letter: Column) -> Column:
     """Text after ``X:`` or, failing that, ``X)`` up to the line end; null when neither occurs."""
     def after(mark: str) -> Column:
         pattern = F.concat(F.lit("(?iU)"), letter, F.lit(mark + r"\s*([^\n]+)"))
-        found = F.regexp_extract_all(question, pattern, 1)
-        return F.when(F.size(found) > 0, F.get(found, F.lit(0)))
+        return F.get(F.regexp_extract_all(question, pattern, 1), F.lit(0))
 
     return F.lower(py_strip(F.coalesce(after(":"), after(r"\)"))))
 
@@ -111,7 +110,7 @@ def parse_answer(message: str | Column) -> Column:
     m = col(message)
     blocks = F.regexp_extract_all(m, F.lit(r"(?is)<answer>(.*?)</answer>"), 1)
     bare = F.upper(py_strip(m))
-    return F.when(F.size(blocks) > 0, py_strip(F.get(blocks, F.lit(0)))).when(bare.rlike("^[A-D]$"), bare)
+    return F.coalesce(py_strip(F.get(blocks, F.lit(0))), F.when(bare.rlike("^[A-D]$"), bare))
 
 
 def label_list(c: str | Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import col
+from .columns import bind, col
 from .text import contains_any, py_strip
 
 # ---- Fixed values: tags, keywords, weights and issue texts that results depend on ----
@@ -68,7 +68,7 @@ def check_tool_match(t: str | Column, log: str | Column, observations: Column |
     """At least half of the log entries have their status text in some observation; an empty log passes."""
     entries = F.coalesce(col(log), F.array().cast("array<struct<tool_name:string,status:string>>")) if isinstance(log, str) else log
     seen = blocks(col(t), "observation") if observations is None else observations
-    matched = F.size(F.filter(entries, lambda e: F.exists(seen, lambda o: o.contains(e["status"]))))
+    matched = bind(seen, lambda s: F.size(F.filter(entries, lambda e: F.exists(s, lambda o: o.contains(e["status"])))))
     rate = F.try_divide(F.greatest(matched, F.lit(0)), F.size(entries))
     return _verdict(F.when((F.size(entries) > 0) & (rate < MIN_TOOL_RATE), F.format_string(ISSUE_TOOLS, percent_text(rate))))
 
@@ -109,7 +109,7 @@ def check_answer(
     answers = blocks(col(t), "answer") if answers is None else answers
     last = last_answer(answers) if last is None else last
     words = truth_words(truth) if words is None else words
-    hits = F.size(F.filter(words, lambda w: (F.length(w) >= MIN_WORD_CHARS) & last.contains(w)))
+    hits = bind(last, lambda t: F.size(F.filter(words, lambda w: (F.length(w) >= MIN_WORD_CHARS) & t.contains(w))))
     rate = F.coalesce(F.try_divide(hits, F.size(words)), F.lit(0.0))
     chain = F.when(F.size(answers) == 0, ISSUE_NO_ANSWER).when(
         rate < MIN_ANSWER_RATE, F.format_string(ISSUE_ANSWER, percent_text(rate))

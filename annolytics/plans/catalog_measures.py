@@ -289,7 +289,7 @@ def components(t: Tables, tile: int = 256) -> DataFrame:
 
 @query("u3_label_components", COMP_SQL + " SELECT image, lesion, CAST(component AS BIGINT) AS component, area, min_x, max_x, min_y, max_y FROM comp")
 def u3(t: Tables) -> DataFrame:
-    return components(t, tile=16)  # small tiles, so that borders are crossed
+    return components(t, tile=32)  # four tiles per image, so that borders are crossed
 
 
 @query("g30_lesion_stats", COMP_SQL + """ SELECT image, lesion, count(*) AS n, round(sum(area) / 4096, 6) AS area_ratio, round(avg(area), 6) AS mean_area,

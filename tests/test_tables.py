@@ -124,3 +124,15 @@ def test_long_snake_crosses_many_tiles(spark):
     px = [("a", "l", x, y) for y in range(0, 20, 2) for x in range(30)] + [("a", "l", 29 if y % 4 == 1 else 0, y) for y in range(1, 19, 2)]
     table = U.component_table(U.label_components(spark.createDataFrame(px, "image string, lesion string, x int, y int"), tile=4))
     assert table.count() == 1 and table.first().area == len(px)
+
+
+def test_small_side_beyond_its_bound(spark):
+    df = spark.range(50).withColumn("v", F.col("id") % 7)
+    for bound in (10, 100):  # shuffled join, then broadcast
+        side = O.small_side(df.groupBy("id").agg(F.max("v").alias("m")), bound)
+        assert df.join(side, "id").where("v = m").count() == 50
+
+
+def test_once_is_not_copied_into_filters(spark):
+    df = O.once(spark.range(10), a=F.col("id") * 2, b=F.when(F.col("id") > 4, F.col("id")))
+    assert df.columns == ["id", "a", "b"] and df.where("a > 8 and b is not null and id < 8").count() == 3
