@@ -27,10 +27,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         joined = large.join(least, "hi")
         small = joined.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
         pairs = materialize(small)
-        parents = pairs.groupBy("lo").agg(F.lit(1).alias("one"))
-        deep = pairs.join(parents, pairs["hi"] == parents["lo"], "left_semi")
-        twice = pairs.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1")
-        if deep.isEmpty() and twice.isEmpty():
+        # stars: every larger node has one parent, and no parent has one
+        above = pairs.groupBy("hi").agg(F.count("*").alias("n"))
+        below = pairs.select(F.col("lo").alias("hi")).distinct().withColumn("n", F.lit(1).cast("long"))
+        if above.unionByName(below).groupBy("hi").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
             break
     stars = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return stars.unionByName(pairs.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
