@@ -61,14 +61,15 @@ def canonical_list(entries: DataFrame) -> DataFrame:
     return rows.select(F.concat("host", F.lit("\n"), "path").alias("key"), "host", "path", "verdict").groupBy("key", "host", "path").agg(F.min("verdict").alias("verdict"))
 
 
-def _maybe_listed(key: str, blocks: Column, words: Column) -> Column:
-    """Whether all probes of a key are set in the filter."""
+def maybe_listed(key: Column, table: DataFrame) -> Column:
+    """Whether all probes of a key are set in a filter made by ``bloom``."""
+    blocks, words = table.select("blocks").scalar(), table.select("words").scalar()
     base = F.pmod(F.xxhash64(key), blocks).cast("int") * WORDS
+    mixed = F.xxhash64(key, F.lit(1))
     found = F.lit(True)
     for i in range(PROBES):
-        bit = F.expr(_probe(key, i))
-        word = F.get(words, base + F.shiftright(bit, 6))
-        found = found & (F.getbit(word, bit.bitwiseAND(63)) == 1)
+        bit = F.shiftrightunsigned(mixed, 9 * i).bitwiseAND(511).cast("int")
+        found = found & (F.getbit(F.get(words, base + F.shiftright(bit, 6)), bit.bitwiseAND(63)) == 1)
     return found
 
 
@@ -77,8 +78,6 @@ def judge_urls(pages: DataFrame, entries: DataFrame, url: str = "url", otherwise
     Columns of these names in ``pages`` are replaced."""
     listed = canonical_list(entries)
     lengths = listed.agg(F.collect_set(F.length("path")).alias("lengths")).scalar()
-    table = bloom(listed)
-    blocks, words = table.select("blocks").scalar(), table.select("words").scalar()
     added = ("host", "path", "rule", "verdict")
     others = [c for c in pages.columns if c.lower() not in added and c != url]
     read = [F.col(url)] if url.lower() not in added else []
@@ -89,7 +88,7 @@ def judge_urls(pages: DataFrame, entries: DataFrame, url: str = "url", otherwise
     fitting = F.filter("lengths", lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.concat(s, F.lit("\n"), F.substring(F.col("path"), F.lit(1), n)))))
     keyed = parts.where("host != ''").select("host", "path", lengths.alias("lengths")).select("host", "path", F.explode(keys).alias("key"))
-    possible = keyed.where(_maybe_listed("key", blocks, words)).distinct()
+    possible = keyed.where(maybe_listed(F.col("key"), bloom(listed))).distinct()
     exact = possible.join(listed.select("key", F.struct(F.concat("host", "path").alias("rule"), F.length("host").alias("n"), "verdict").alias("hit")), "key")
     best = exact.groupBy("host", "path").agg(F.max_by("hit", F.struct(F.length("hit.rule"), "hit.n")).alias("__hit"))
     return parts.join(best, ["host", "path"], "left").select(
