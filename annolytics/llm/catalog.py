@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, ngram_join, packing, quality, topk, url_filter
+from . import decontaminate, langid, ngram_join, packing, quality, suffix_dedup, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,3 +134,16 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     scored = quality.score(docs, weights)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.repeated_spans(docs, size=50)
+
+    def words(spans: str) -> Column:
+        return F.coalesce(F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.lit(0)).cast("long")
+
+    return docs.select("doc_id").join(found, "doc_id", "left").select(
+        "doc_id", words("spans").alias("n_repeated"), words("later").alias("n_cut"), (words("spans") > 0).alias("repeated"), "spans", "later"
+    )

@@ -29,15 +29,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    table = np.ones(1, dtype=np.uint64)
+    tables: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def _of(cls, base: int, n: int) -> np.ndarray:
+        if len(cls.tables.get(base, ())) < n:
+            factors = np.full(max(2 * n, 1024), base, dtype=np.uint64)
+            factors[0] = 1
+            cls.tables[base] = np.multiply.accumulate(factors)
+        return cls.tables[base][:n]
 
     @classmethod
     def upto(cls, n: int) -> np.ndarray:
-        if len(cls.table) < n:
-            base = np.full(max(n, 64), _BASE, dtype=np.uint64)
-            base[0] = 1
-            cls.table = np.multiply.accumulate(base)
-        return cls.table
+        return cls._of(_BASE, n)
+
+    @classmethod
+    def inverse(cls, n: int) -> np.ndarray:
+        return cls._of(pow(_BASE, -1, 1 << 64), n)
 
 
 def split_words(raw: bytes | None, table: bytes) -> list[bytes]:
@@ -89,6 +97,16 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words, in time that does not depend on the size; none if there are fewer."""
+    n = len(hashes)
+    if n < size:
+        return np.zeros(0, dtype=np.uint64)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(hashes * _Powers.upto(n), out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * _Powers.inverse(n)[: n - size + 1])
+
+
 def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
