@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, ngram_join, packing, quality, suffix_dedup, topk, url_filter
+from . import chat, decontaminate, langid, ngram_join, packing, quality, suffix_dedup, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,6 +120,19 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("op6_chat_format")
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts without role columns, made of whole conversations: two turns of three keep a speaker marker
+    in one of three styles. The model learns from conversations of other folds."""
+    turns = table(spark, sf_dir, "conversations")
+    h = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(9))
+    name = F.initcap("role")
+    marker = F.when(h < 3, F.lit("")).when(h < 5, F.concat(name, F.lit(": "))).when(h < 7, F.concat(F.lit("### "), name, F.lit(":\n"))).otherwise(F.concat(F.lit("["), name, F.lit("]: ")))
+    parts = turns.select(F.col("conv_id").alias("transcript"), F.col("turn").alias("part"), F.concat(marker, "text").alias("text"), "role")
+    model = chat.fit_on(parts.where(fold("transcript", 4) != 2))
+    return chat.parse(parts.drop("role"), model).withColumnsRenamed({"transcript": "conv_id"})
+
+
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -39,7 +39,7 @@ from annolytics.operators.graph import connected_components
 from annolytics.session import materialize
 
 from .url_filter import bloom, maybe_listed
-from .words import BLANKS, hashed_words, map_batches, mix, shingles, text_bytes
+from .words import BLANKS, grouped, hashed_words, map_batches, mix, shingles, text_bytes
 
 _U = np.uint64
 CLASS_RATIO = 1.5
@@ -294,25 +294,6 @@ def tree_links(x: SignatureTree, y: SignatureTree, known: Components, shift: int
                 yield i, j
 
 
-def _groups(batches, keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Groups of rows with equal keys from a sorted stream; a group may go over batches."""
-    held, current = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
-            key = tuple(c[a].item() for c in cols)
-            if key != current:
-                if held:
-                    yield current, pa.Table.from_batches(held)
-                held, current = [], key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield current, pa.Table.from_batches(held)
-
-
 def _sets(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(b, dtype=np.uint64) for b in table.column("set").to_pylist()]
 
@@ -322,7 +303,7 @@ def block_links(percent: int):
     ``src`` that are not in the component of the cluster's leader."""
 
     def run(batches):
-        for (cluster, _), rows in _groups(batches, ["cluster", "block"]):
+        for (cluster, _), rows in grouped(batches, ["cluster", "block"]):
             ids, leads = rows.column("rep").to_pylist(), rows.column("lead").to_pylist()
             keep = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
             all_sets = _sets(rows)
@@ -351,7 +332,7 @@ def cross_links(percent: int):
     """Links between the open sets of one block (``side`` 0) and all sets of another (``side`` 1)."""
 
     def run(batches):
-        for _, rows in _groups(batches, ["cluster", "block", "other"]):
+        for _, rows in grouped(batches, ["cluster", "block", "other"]):
             side = np.array(rows.column("side").to_pylist())
             sets, ids, lead = _sets(rows), rows.column("rep").to_pylist(), rows.column("closed").to_pylist()
             parts = [sorted(np.flatnonzero(side == s).tolist(), key=lambda i: sets[i][:3].tolist()) for s in (0, 1)]

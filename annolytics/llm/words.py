@@ -128,6 +128,25 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
     return df.mapInArrow(run, out)
 
 
+def grouped(batches, keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Groups of rows with equal keys from a sorted stream; a group may go over batches."""
+    held, current = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+            key = tuple(c[a].item() for c in cols)
+            if key != current:
+                if held:
+                    yield current, pa.Table.from_batches(held)
+                held, current = [], key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield current, pa.Table.from_batches(held)
+
+
 def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], added: str) -> DataFrame:
     """``df`` with columns computed per Arrow batch; one that has the name of a new column is replaced."""
     from pyspark.sql.pandas.types import to_arrow_schema
