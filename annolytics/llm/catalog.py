@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, ngram_join, packing, quality, suffix_dedup, topk, url_filter
+from . import chat, decontaminate, langid, lm_score, ngram_join, packing, quality, suffix_dedup, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,6 +57,26 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op4_lm_score",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w != '') AS ws
+        FROM documents WHERE doc_id IS NOT NULL),
+    p AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v FROM (SELECT r, doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d)),
+    c1 AS (SELECT w, count(*) AS n FROM p GROUP BY w), c2 AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w),
+    total AS (SELECT count(*) AS n FROM p),
+    s AS (SELECT doc_id, CAST(round(1000000 * ln(CASE WHEN p.v IS NULL THEN CAST(w.n AS DOUBLE) / total.n WHEN c2.n >= 2 THEN CAST(c2.n AS DOUBLE) / v.n
+            ELSE CAST(0.4 AS DOUBLE) * w.n / total.n END)) AS BIGINT) AS m
+        FROM p CROSS JOIN total JOIN c1 w ON p.w = w.w LEFT JOIN c1 v ON p.v = v.w LEFT JOIN c2 ON p.v = c2.v AND p.w = c2.w),
+    t AS (SELECT doc_id, count(*) AS n, CAST(sum(m) AS BIGINT) AS m FROM s GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(m, 0) AS logprob_micro, CASE WHEN n > 0 THEN CAST(m AS DOUBLE) / CAST(1000000 AS DOUBLE) / n END AS score
+    FROM (SELECT DISTINCT doc_id FROM d) LEFT JOIN t USING (doc_id)
+    """,
+)
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 #: Fixed rules of the URL query: host, path, verdict.
 URL_RULES = [
     ("com", "/en/", "block"),
