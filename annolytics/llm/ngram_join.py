@@ -46,6 +46,7 @@ CLASS_RATIO = 1.5
 COMBINED_KEYS = 1 << 21  # keys that a map task combines at a time
 BLOCK_SHINGLES = 1 << 21  # shingles in a block: 16 MB
 LEAF = 16
+FINEST = 1 << 31
 BITMAP_BITS = 2048
 
 
@@ -94,15 +95,16 @@ def segment_keys(ordered: np.ndarray, percent: int) -> np.ndarray:
     """Keys of a set given as sorted hashes."""
     out, spread = [], mix(ordered + _U(7))
     for k in classes_of(len(ordered), percent):
-        _, _, most, m = size_class(k, percent)
-        while most:
+        _, top, most, m = size_class(k, percent)
+        most = min(most, largest_difference(len(ordered), min(top, len(ordered) * 100 // percent), percent))
+        while m > 1:
             segment = ((ordered >> _U(32)) * _U(m)) >> _U(32)
             starts = np.flatnonzero(np.diff(segment, prepend=segment[:1] + _U(1)))
             place = mix(segment[starts] + _U((k << 40) + (m << 1)))
             out.append(mix(np.add.reduceat(spread, starts) ^ place))
-            if len(starts) > most:
+            if len(starts) > most or m >= FINEST:  # so fine that no two shingles share a segment
                 break
-            m *= 4
+            m = min(4 * m, FINEST)
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
