@@ -12,7 +12,8 @@ dictionaries together have at most ``total_bytes``, and are broadcast.
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected. The score is
 the best language's share when sizes are read as code lengths (``SOFTNESS`` bytes for a factor e). Equal
 sizes go to the language with more labelled texts, then to the first by name. A text is rejected when some
-other language's size is larger by no more than ``margin`` of it. Without any labelled text every text is
+other language's size is larger by no more than ``margin`` of it; ``WIDE`` bytes are never narrow, as a long
+text is mostly encoded by what it repeats of itself. Without any labelled text every text is
 ``und``.
 """
 
@@ -29,6 +30,7 @@ from .words import ALNUM, add_columns
 
 UNKNOWN = "und"
 SOFTNESS = 4.0
+WIDE = 16
 LEAD_BYTES = 64  # of the dictionary, encoded before the text, so that a short text is not stored uncompressed
 _LETTERS = bytes(32 if 48 <= c <= 57 else c for c in ALNUM)
 
@@ -107,7 +109,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             others = np.delete(size, best)
             langs.append(made.names[best])
             scores.append(float(1 / np.exp((size[best] - size) / SOFTNESS).sum()))
-            rejected.append(bool(len(others)) and bool(others.min() - size[best] <= margin * others.min()))
+            rejected.append(bool(len(others)) and bool(others.min() - size[best] <= min(margin * others.min(), WIDE - 1)))
         return {"lang_pred": langs, "score": scores, "rejected": rejected}
 
     return add_columns(docs, predict, "lang_pred string, score double, rejected boolean")
