@@ -3,12 +3,12 @@
 A vector is cut into ``PARTS`` parts; each part gives a list of partial scores for a query, moved up by the
 list's lowest value so that none is negative.
 
-1. Each list's ``k`` best entries are gathered. Their sums are lower bounds of scores; the k-th best sum of a
+1. Each list's ``k`` best entries are gathered, with their rows' sums over all lists. The k-th best sum of a
    query, split evenly over the lists, is its cutoff: a row below the cutoff in every list can't be among the
    best ``k``.
-2. The cutoffs go back with the queries, and every list sends its entries that reach them. From these, a row
-   has a sum known so far and an upper bound, in which a list that sent nothing counts as the cutoff. The
-   k-th best sum discards rows whose upper bound is smaller.
+2. The cutoffs go back with the queries, and every list looks up its entries that reach them. From these, a
+   row has a sum known so far and an upper bound, in which a list without an entry counts as the cutoff. Rows
+   whose upper bound reaches the k-th best sum are sent; then the k-th best known sum discards more of them.
 3. The remaining rows' scores are computed in full, and the best ``k`` are taken.
 
 Rows and queries meet in blocks of bounded size (``BLOCK_VALUES`` components each), joined on the number of the
@@ -119,32 +119,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector
                 col = np.broadcast_to(np.arange(len(asks)), at.shape)
                 keep = ~own[at, col]
                 n = int(keep.sum())
-                yield {"query_id": asks[col[keep]], "part": np.full(n, part), "vec_id": ids[at[keep]], "p": p[at, col][keep], "low": low[col[keep]]}
+                full = sum(x[at, col] for x in parts)[keep]
+                yield {"query_id": asks[col[keep]], "part": np.full(n, part), "vec_id": ids[at[keep]], "p": p[at, col][keep], "full": full, "low": low[col[keep]]}
 
-    lists = map_batches(meet, local_lists, "query_id long, part int, vec_id long, p long, low long")
+    lists = map_batches(meet, local_lists, "query_id long, part int, vec_id long, p long, full long, low long")
     lists = materialize(lists)
     lows = lists.groupBy("query_id", "part").agg(F.min("low").alias("low"))
     order = Window.partitionBy("query_id", "part").orderBy(F.desc("p"), "vec_id")
     heads = lists.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    sums = heads.join(lows.withColumnRenamed("low", "lowest"), ["query_id", "part"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("p") - F.col("lowest")).alias("s"))
+    by_part = lows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("part", "low"))).alias("lows"), F.sum("low").alias("base"))
+    sums = heads.groupBy("query_id", "vec_id").agg(F.max("full").alias("s"))
     kth = Window.partitionBy("query_id").orderBy(F.desc("s"))
     first = sums.withColumn("n", F.row_number().over(kth)).where(F.col("n") == k).select("query_id", F.col("s").alias("tau"))
-    by_part = lows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("part", "low"))).alias("lows"))
-    cutoffs = by_part.join(first, "query_id", "left").select("query_id", F.ceil(F.coalesce("tau", F.lit(0)) / PARTS).cast("long").alias("cutoff"), "lows.low")
+    tau = F.coalesce(F.col("tau") - F.col("base"), F.lit(0))
+    cutoffs = by_part.join(first, "query_id", "left").select("query_id", tau.alias("tau"), F.ceil(tau / PARTS).cast("long").alias("cutoff"), "lows.low")
 
     ask_ids = map_batches(asked_blocks, lambda b: ({"ask_block": np.full(len(q), n), "query_id": q, "place": np.arange(len(q))} for n, q in zip(b.column("ask_block").to_pylist(), (np.frombuffer(x, np.int64) for x in b.column("ask_ids").to_pylist()))), "ask_block long, query_id long, place int")
-    packed = ask_ids.join(cutoffs, "query_id", "left").groupBy("ask_block").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("cutoff", F.lit(0)).alias("cutoff"), "low"))).alias("limits"))
+    packed = ask_ids.join(cutoffs, "query_id", "left").groupBy("ask_block").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("tau", F.lit(0)).alias("tau"), F.coalesce("cutoff", F.lit(0)).alias("cutoff"), "low"))).alias("limits"))
 
     def sufficient(batch: pa.RecordBatch):
         for r, ids, asks, own, parts in parts_of(batch):
-            cutoff = np.array([x["cutoff"] for x in r["limits"]], dtype=np.int64)
+            cutoff, tau = (np.array([x[c] for x in r["limits"]], dtype=np.int64) for c in ("cutoff", "tau"))
             low = np.array([x["low"] or [0] * PARTS for x in r["limits"]], dtype=np.int64)
             moved = [p - low[:, i] for i, p in enumerate(parts)]
             sent = [(m >= cutoff) & ~own for m in moved]
-            at, col = np.nonzero(np.logical_or.reduce(sent))
+            upper = sum(np.where(s, m, cutoff) for s, m in zip(sent, moved))
+            at, col = np.nonzero(np.logical_or.reduce(sent) & (upper >= tau))
             known = sum(np.where(s, m, 0)[at, col] for s, m in zip(sent, moved))
-            upper = sum(np.where(s, m, cutoff)[at, col] for s, m in zip(sent, moved))
-            yield {"query_id": asks[col], "vec_id": ids[at], "known": known, "upper": upper}
+            yield {"query_id": asks[col], "vec_id": ids[at], "known": known, "upper": upper[at, col]}
 
     entries = materialize(map_batches(meet.join(packed, "ask_block"), sufficient, "query_id long, vec_id long, known long, upper long"))
     better = Window.partitionBy("query_id").orderBy(F.desc("known"))
