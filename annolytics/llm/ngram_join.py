@@ -8,9 +8,11 @@ with the hash range cut into m segments they agree in at least m - d of them. A
 segment that is not empty, for its own size class and for the next one if it may link there. If more than d
 of a set's segments are filled, every set it links with shares a key; if not, the set also has keys of a
 finer cut, so a pair always shares one where the first of the two stops. Pairs of sets without a common key
-can't have the overlap that a link needs, whatever they hold. Sets that are joined by common keys, directly
-or through others, form a cluster. Keys are combined within each map task first, so a key that a third of
-all sets share reaches the shuffle once per task.
+can't have the overlap that a link needs, whatever they hold. Sets with a common key are then compared by their
+bitmaps, once for each group of sets that keys have in common, and only those that can have the overlap stay
+joined. Sets that are joined, directly or through others, form a cluster. Keys with many sets are combined
+within each map task first, so a key that a third of all sets share reaches the shuffle a bounded number of
+times per task.
 
 **Lower levels** are trees in tasks. A cluster is dealt to blocks of bounded size. Leaves hold sets that are
 alike; a node holds the OR of the bitmaps below it, the range of set sizes and the largest number of shingles
@@ -39,10 +41,15 @@ from annolytics.operators.graph import connected_components
 from annolytics.session import materialize
 
 from .url_filter import bloom, maybe_listed
-from .words import BLANKS, grouped, hashed_words, map_batches, mix, shingles, text_bytes
+from .words import BLANKS, batches_of_groups, grouped, hashed_words, map_batches, mix, shingles, text_bytes
 
 _U = np.uint64
 CLASS_RATIO = 1.5
+SMALL = 400  # shingles in the largest set of a class whose bitmaps are narrow
+NARROW_BITS, WIDE_BITS = 1024, 8192
+FEW = 32  # sets of a key that one map task passes on one by one
+MANY = 1024  # sets of a key that are compared with each other; more stay joined without
+ODD, SURE = 1, 2  # marks in the last bits of a key: narrow bitmaps; sets are joined without comparison
 COMBINED_KEYS = 1 << 21  # keys that a map task combines at a time
 BLOCK_SHINGLES = 1 << 21  # shingles in a block: 16 MB
 LEAF = 16
@@ -92,7 +99,7 @@ def classes_of(size: int, percent: int) -> tuple[int, ...]:
 
 
 def segment_keys(ordered: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set given as sorted hashes."""
+    """Keys of a set given as sorted hashes, with their marks."""
     out, spread = [], mix(ordered + _U(7))
     for k in classes_of(len(ordered), percent):
         _, top, most, m = size_class(k, percent)
@@ -101,7 +108,8 @@ def segment_keys(ordered: np.ndarray, percent: int) -> np.ndarray:
             segment = ((ordered >> _U(32)) * _U(m)) >> _U(32)
             starts = np.flatnonzero(np.diff(segment, prepend=segment[:1] + _U(1)))
             place = mix(segment[starts] + _U((k << 40) + (m << 1)))
-            out.append(mix(np.add.reduceat(spread, starts) ^ place))
+            keys = mix(np.add.reduceat(spread, starts) ^ place)
+            out.append((keys & ~_U(3)) | _U(ODD if top <= SMALL else 0))
             if len(starts) > most or m >= FINEST:  # so fine that no two shingles share a segment
                 break
             m = min(4 * m, FINEST)
@@ -132,22 +140,55 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs, rows, "doc_id long, n long, d1 long, d2 long")
 
 
+def bitmap_rows(docs: DataFrame, words: int) -> DataFrame:
+    """``d1``, size ``n`` and both bitmaps of each row's set."""
+
+    def rows(batch: pa.RecordBatch):
+        sets = [s for s in each_set(text_bytes(batch, "text"), words) if len(s)]
+        yield {
+            "d1": [digest(s)[0] for s in sets], "n": [len(s) for s in sets],
+            "narrow": [bitmaps([s], NARROW_BITS)[0].tobytes() if len(s) <= SMALL else None for s in sets],
+            "wide": [bitmaps([s], WIDE_BITS)[0].tobytes() if len(s) > SMALL // 2 else None for s in sets],
+        }
+
+    return map_batches(docs, rows, "d1 long, n long, narrow binary, wide binary")
+
+
+def bitmaps(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """One row of bits per set, as 64-bit words."""
+    marks = np.zeros((len(sets), size), dtype=bool)
+    for i, s in enumerate(sets):
+        marks[i, (s >> _U(20)) & _U(size - 1)] = True
+    return np.packbits(marks, axis=1).view(np.uint64)
+
+
+def can_link(n: np.ndarray, bits: np.ndarray, a, b, percent: int) -> np.ndarray:
+    """Whether sets ``a`` and ``b`` (row numbers that broadcast) can have the overlap of a link: their common bits
+    and the shingles that collide inside the set where fewer do are enough."""
+    ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    common = np.bitwise_count(bits[a] & bits[b]).sum(axis=-1, dtype=np.int64) + np.minimum((n - ones)[a], (n - ones)[b])
+    return (common >= least_overlap(n[a], n[b], percent)) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+
+
 def _combined(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row per key, with its first node; each further node of a key gets a key of its own with that node."""
+    """Distinct rows of keys and nodes. Of a key with more than ``FEW`` nodes only the first node stays; each
+    further node then gets a sure key of its own with that node."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = keys[1:] != keys[:-1]
-    first = nodes[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    rest = ~new & (nodes != first)
-    pairs = np.unique(np.stack([first[rest], nodes[rest]]), axis=1)
-    link = mix(mix(pairs[0]) + pairs[1])
-    return np.concatenate([keys[new], link, link]), np.concatenate([nodes[new], pairs[0], pairs[1]])
+    fresh = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))
+    keys, nodes = keys[fresh], nodes[fresh]
+    new = np.append(True, keys[1:] != keys[:-1])
+    at = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    rest = (np.diff(at, append=len(keys)) > FEW)[group] & ~new
+    pairs = np.unique(np.stack([nodes[at][group][rest], nodes[rest]]), axis=1)
+    link = mix(mix(pairs[0]) + pairs[1]) | _U(SURE)
+    return np.concatenate([keys[~rest], link, link]), np.concatenate([nodes[~rest], pairs[0], pairs[1]])
 
 
-def common_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges ``src``, ``dst`` between the digests ``d1`` of sets with a common key: all sets of a key are joined
-    to one of them."""
+def key_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Groups of sets with a common key: ``group`` (hash of its sets), ``mark`` and ``nodes`` (their ``d1``). A
+    group comes once for each key that has just these sets."""
 
     def emit(batches):
         keys, nodes, held = [], [], 0
@@ -165,28 +206,89 @@ def common_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 if held >= COMBINED_KEYS:
                     yield flush()
                     keys, nodes, held = [], [], 0
-        if keys:
+        if held:
             yield flush()
 
     def meet(batches):
-        last_key, first = None, None
-        for batch in batches:
+        for batch in batches_of_groups(batches, "key"):
             k, v = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-            if not len(k):
-                continue
-            new = np.ones(len(k), dtype=bool)
-            new[1:] = k[1:] != k[:-1]
-            new[0] = last_key is None or k[0] != last_key
-            heads = np.where(new, v, 0)
-            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            heads = np.where(at >= 0, v[np.maximum(at, 0)], first if first is not None else 0)
-            last_key, first = k[-1], heads[-1]
-            pair = heads != v
-            if pair.any():
-                yield pa.RecordBatch.from_arrays([pa.array(v[pair]), pa.array(heads[pair])], names=["src", "dst"])
+            fresh = np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1]))
+            k, v = k[fresh], v[fresh]
+            at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            size = np.diff(at, append=len(k))
+            mark = k[at] & 3
+            mark[size > MANY] = SURE
+            keep = size > 1
+            inside = np.repeat(keep & (mark < SURE), size)
+            names = np.add.reduceat(mix(v.view(np.uint64) + _U(3)), at)
+            n = size[keep & (mark < SURE)]
+            whole = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(v[inside]))
+            # sure groups go as pairs with their first set
+            others = np.repeat(keep & (mark >= SURE), size)
+            others[at] = False
+            head = np.repeat(v[at], size)
+            pairs = np.stack([head[others], v[others]], axis=1)
+            two = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(pairs) + 1, 2).astype(np.int32)), pa.array(pairs.ravel()))
+            pair_names = mix(pairs.view(np.uint64) + _U(3)).sum(axis=1, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([names[keep & (mark < SURE)], pair_names]).view(np.int64)), pa.array(np.concatenate([mark[keep & (mark < SURE)], np.full(len(pairs), SURE)]).astype(np.int32)), pa.concat_arrays([whole, two])],
+                names=["group", "mark", "nodes"],
+            )
 
     keyed = docs.select("text").mapInArrow(emit, "key long, node long")
-    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "src long, dst long")
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "group long, mark int, nodes array<long>")
+
+
+def joined_sets(percent: int):
+    """Edges between sets of a group that can link, as far as they join sets; from rows sorted by group."""
+
+    def forest(n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int]]:
+        left = np.arange(len(n))
+        while len(left) > 1:
+            open_, left = [left[0]], left[1:]
+            while open_ and len(left):
+                x = open_.pop()
+                near = can_link(n, bits, np.array([x]), left, percent)
+                yield from ((int(x), int(y)) for y in left[near])
+                open_.extend(left[near])
+                left = left[~near]
+
+    def run(batches):
+        for batch in batches_of_groups(batches, "group", 1 << 13):
+            group, node, n = (batch.column(c).to_numpy() for c in ("group", "node", "n"))
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
+            at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            size = np.diff(at, append=len(group))
+            src, dst = [], []
+            few = np.flatnonzero(np.repeat(size <= 4, size))
+            for lag in (1, 2, 3):  # groups of up to four, all at once
+                a = few[few + lag < len(group)]
+                a = a[group[a] == group[a + lag]]
+                a = a[can_link(n, bits, a, a + lag, percent)] if len(a) else a
+                src.append(node[a]), dst.append(node[a + lag])
+            for i in np.flatnonzero(size > 4):
+                g = slice(at[i], at[i] + size[i])
+                for x, y in forest(n[g], bits[g]):
+                    src.append(node[g][[x]]), dst.append(node[g][[y]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+
+    return run
+
+
+def common_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges ``src``, ``dst`` between the digests ``d1`` of sets that have a common key and may link; ``n`` groups."""
+    groups = materialize(key_groups(docs, words, percent).groupBy("group", "mark").agg(F.first("nodes").alias("nodes")))
+    sure = groups.where(F.col("mark") >= SURE).select(F.element_at("nodes", 1).alias("src"), F.element_at("nodes", 2).alias("dst"))
+    member = groups.where(F.col("mark") < SURE).select("group", "mark", F.explode("nodes").alias("node"))
+    wanted = member.select("node").distinct()
+    sets = bitmap_rows(docs, words).groupBy("d1").agg(F.min("n").alias("n"), F.min("narrow").alias("narrow"), F.min("wide").alias("wide"))
+    sets = materialize(sets.join(wanted, F.col("d1") == F.col("node"), "left_semi"))
+    edges = sure
+    for mark, bits in ((ODD, "narrow"), (0, "wide")):
+        rows = member.where(F.col("mark") == mark).join(sets.select("d1", "n", F.col(bits).alias("bits")), F.col("node") == F.col("d1")).select("group", "node", "n", "bits")
+        together = rows.repartition("group").sortWithinPartitions("group", "node")
+        edges = edges.unionByName(together.mapInArrow(joined_sets(percent), "src long, dst long"))
+    return edges.where("src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 class Node:
@@ -205,13 +307,11 @@ class SignatureTree:
     def __init__(self, sets: list[np.ndarray]):
         self.sets = sets
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        marks = np.zeros((len(sets), BITMAP_BITS), dtype=bool)
-        for i, s in enumerate(sets):
-            marks[i, (s >> _U(20)) & _U(BITMAP_BITS - 1)] = True
-        self.bits = np.packbits(marks, axis=1).view(np.uint64)
-        self.hidden = self.sizes - marks.sum(axis=1)
+        self.bits = bitmaps(sets, BITMAP_BITS)
+        marks = np.unpackbits(self.bits.view(np.uint8), axis=1).astype(np.float32)
+        self.hidden = self.sizes - marks.sum(axis=1).astype(np.int64)
         #: how many sets of the block have the shingles of each, on average: central sets come first
-        self.central = (marks @ marks.sum(axis=0).astype(np.float64)) / np.maximum(1, marks.sum(axis=1))
+        self.central = (marks @ marks.sum(axis=0)) / np.maximum(1, marks.sum(axis=1))
         level = [self._node(i, min(i + LEAF, len(sets)), ()) for i in range(0, len(sets), LEAF)]
         while len(level) > 1:
             level = [self._node(g[0].first, g[-1].last, tuple(g)) for g in (level[i : i + 4] for i in range(0, len(level), 4))]
@@ -372,7 +472,7 @@ def member_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
 
 def links(docs: DataFrame, keys: DataFrame, words: int, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
     """Links ``src``, ``dst`` between class representatives that give the components of all links."""
-    edges = materialize(common_keys(docs, words, percent).groupBy("src", "dst").agg(F.count("*").alias("n")))
+    edges = materialize(common_keys(docs, words, percent))
     clusters = connected_components(edges).select(F.col("node").alias("d1"), F.col("component").alias("cluster"))
     shared = edges.select(F.col("src").alias("d1"), "n").unionByName(edges.select(F.col("dst").alias("d1"), "n")).groupBy("d1").agg(F.sum("n").alias("shared"))
     classes = keys.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))

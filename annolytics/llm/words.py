@@ -147,6 +147,27 @@ def grouped(batches, keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
         yield current, pa.Table.from_batches(held)
 
 
+def batches_of_groups(batches, key: str, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``rows`` rows and more from a stream sorted by a number ``key``; a group is never parted."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy()
+        last = held[-1].column(key)[held[-1].num_rows - 1].as_py() if held else None
+        if size >= rows and k[-1] != last:
+            cut = int(np.argmax(k != last))
+            if cut:
+                held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            batch, held, size = batch.slice(cut), [], 0
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], added: str) -> DataFrame:
     """``df`` with columns computed per Arrow batch; one that has the name of a new column is replaced."""
     from pyspark.sql.pandas.types import to_arrow_schema
