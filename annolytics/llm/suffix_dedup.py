@@ -36,22 +36,22 @@ from .words import ALNUM, add_columns, hashed_words, map_batches, mix, runs, shi
 
 _U = np.uint64
 ANCHOR = 10
-HOT_ROWS = 20_000
+HOT_ROWS = 1000
 AT_ONCE = 1 << 20  # passages that a task sorts at a time
 
 
 class Suffixes:
-    """Kept suffixes of one text: place, hash of the first words, and the starts they are minimiser of."""
+    """Kept suffixes of one text: hash of the first words, and the starts they are minimiser of. Neighbouring
+    suffixes with equal first words, as in a text that repeats a word, are kept as one."""
 
     __slots__ = ("keys", "first", "count")
 
     def __init__(self, words: np.ndarray, size: int):
         anchors = shingles(words, ANCHOR)
-        view = np.lib.stride_tricks.sliding_window_view(anchors, size - ANCHOR + 1)
-        place = view.argmin(axis=1) + np.arange(len(view))
-        self.first = np.flatnonzero(np.diff(place, prepend=-1))
-        self.count = np.diff(self.first, append=len(place))
-        self.keys = anchors[place[self.first]].view(np.int64)
+        least = np.lib.stride_tricks.sliding_window_view(anchors, size - ANCHOR + 1).min(axis=1)
+        self.first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+        self.count = np.diff(self.first, append=len(least))
+        self.keys = least[self.first].view(np.int64)
 
 
 def each_text(texts: list[bytes | None]) -> Iterator[np.ndarray]:
@@ -129,15 +129,19 @@ def _split(hot: list[tuple]) -> pa.RecordBatch:
     key, passage, doc, start = (np.concatenate(c) for c in zip(*hot))
     order, shared, first = _owners(key, passage, doc)
     key, passage, doc, start = key[order], passage[order], doc[order], start[order]
-    own = mix(mix(key.view(np.uint64)) + passage.view(np.uint64)).view(np.int64)
     d, a, b = ranges(doc[~first], start[~first])
-    m = int(first.sum())
-    offsets = np.concatenate([np.arange(m + 1), np.full(len(d), m)]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(passage[first]))
+    key, passage, doc, start, shared = key[first], passage[first], doc[first], start[first], shared[first]
+    own = mix(mix(key.view(np.uint64)) + passage.view(np.uint64)).view(np.int64)
+    # equal passages at neighbouring starts, as in a text that repeats a word, stay in one row
+    new = np.append(True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1))
+    at = np.flatnonzero(new)
+    n = np.diff(at, append=len(own))
+    offsets = np.concatenate([at, np.full(len(d) + 1, len(own))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(passage))
     spread = mix(d.view(np.uint64) + mix(a.astype(np.uint64))).view(np.int64)
     return _passage_batch(
-        np.concatenate([own[first], spread]), np.concatenate([doc[first], d]), np.concatenate([start[first], a]), lists,
-        np.concatenate([np.ones(m, np.int64), b - a]), np.concatenate([shared[first].astype(np.int32), np.full(len(d), 2)]),
+        np.concatenate([own[at], spread]), np.concatenate([doc[at], d]), np.concatenate([start[at], a]), lists,
+        np.concatenate([n, b - a]), np.concatenate([shared[at].astype(np.int32), np.full(len(d), 2)]),
     )
 
 
