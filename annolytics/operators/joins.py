@@ -16,29 +16,35 @@ def merge_features(disc: DataFrame, binary: DataFrame, artery: DataFrame, vein:
     return out
 
 
-def merge_zones(whole: DataFrame, zone_b: DataFrame, zone_c: DataFrame, keys: Sequence[str], name: str = "Name") -> DataFrame:
-    """Zone B ⟗ zone C on all ``keys`` (missing equals missing), then ⟗ whole-image on ``name``.
+def merge_zones(whole: DataFrame, zone_b: DataFrame, zone_c: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Whole image ⟗ (zone B ⟗ zone C), both on all ``keys``, where missing equals missing.
 
-    Other columns that occur in both zones get ``_zone_b`` / ``_zone_c``; columns that still collide
-    with the whole-image table get ``_whole``.
+    Other columns that occur in both zones get ``_zone_b`` / ``_zone_c``; what then still occurs in both the
+    whole-image table and the zones gets ``_x`` / ``_y``. Rows whose keys differ stay rows of their own. A key
+    that repeats on both sides gives each combination, as the merge asks for; make such keys unique before.
     """
     shared = (set(zone_b.columns) & set(zone_c.columns)) - set(keys)
     b = zone_b.select(*[F.col(c).alias(f"{c}_zone_b" if c in shared else c) for c in zone_b.columns])
     c = zone_c.select(*[
         F.col(x).alias(f"__{x}" if x in keys else f"{x}_zone_c" if x in shared else x) for x in zone_c.columns
     ])
+    zones = _outer_on(b, c, keys)
+    both = (set(whole.columns) & set(zones.columns)) - set(keys)
+    w = whole.select(*[F.col(x).alias(f"__{x}" if x in keys else f"{x}_x" if x in both else x) for x in whole.columns])
+    z = zones.select(*[F.col(x).alias(f"{x}_y" if x in both else x) for x in zones.columns])
+    out = _outer_on(z, w, keys)
+    return out.select(*keys, *[x for x in w.columns if not x.startswith("__")], *[x for x in z.columns if x not in keys])
+
+
+def _outer_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Full outer join on ``keys``, which ``right`` has with ``__`` in front; null equals null."""
     cond = None
     for k in keys:
-        part = b[k].eqNullSafe(c[f"__{k}"])
+        part = left[k].eqNullSafe(right[f"__{k}"])
         cond = part if cond is None else cond & part
-    zones = b.join(c, cond, "full_outer").select(
-        *[F.coalesce(b[k], c[f"__{k}"]).alias(k) for k in keys],
-        *[x for x in b.columns if x not in keys], *[x for x in c.columns if not x.startswith("__")],
-    )
-    w = whole.select(*[F.col(x).alias(f"{x}_whole" if x != name and x in zones.columns else x) for x in whole.columns])
-    w = w.withColumnRenamed(name, "__n")
-    return w.join(zones, w["__n"].eqNullSafe(zones[name]), "full_outer").select(
-        F.coalesce("__n", name).alias(name), *[x for x in w.columns if x != "__n"], *[x for x in zones.columns if x != name]
+    return left.join(right, cond, "full_outer").select(
+        *[F.coalesce(left[k], right[f"__{k}"]).alias(k) for k in keys],
+        *[x for x in left.columns if x not in keys], *[x for x in right.columns if not x.startswith("__")],
     )
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import in_blocks, small_side
+from .ordering import in_blocks
 
 
 def top_n(df: DataFrame, by: Sequence[str], method: str, score: str, n: int = 2, keep: str | None = None) -> DataFrame:
@@ -24,8 +24,26 @@ def top_n(df: DataFrame, by: Sequence[str], method: str, score: str, n: int = 2,
     return best.unionByName(extra)
 
 
+def report_top_n(
+    df: DataFrame, by: Sequence[str], method: str, score: str, epoch: str, baseline: str, n: int = 2, after: int = 20
+) -> DataFrame:
+    """Report of training runs: mean scores of epochs later than ``after``, the ``n`` best methods per group, and
+    how far each is above the ``baseline`` method, as numbers and as text. ``delta`` is given where it is among
+    the ``n`` largest of its group too; without a baseline it is null."""
+    means = df.where(F.col(epoch) > after).groupBy(*by, method).agg(F.avg(score).alias("mean_score"))
+    base = means.where(F.col(method) == baseline).select(*by, F.col("mean_score").alias("__base"))
+    gain = means.join(base, list(by), "left").withColumn("delta", F.col("mean_score") - F.col("__base")).drop("__base")
+    group = Window.partitionBy(*by)
+    ranked = gain.withColumns({
+        "rank": F.row_number().over(group.orderBy(F.desc("mean_score"), method)),
+        "__gain": F.row_number().over(group.orderBy(F.desc("delta"), method)),
+    })
+    best = ranked.where(F.col("rank") <= n).withColumn("delta", F.when(F.col("__gain") <= n, F.col("delta"))).drop("__gain")
+    return delta_text(best, "mean_score", "delta")
+
+
 def delta_text(df: DataFrame, value: str, delta: str, name: str = "text") -> DataFrame:
-    return df.withColumn(name, F.format_string("%.3f (%.3f)", value, delta))
+    return df.withColumn(name, F.when(F.col(value).isNotNull() & F.col(delta).isNotNull(), F.format_string("%.3f (%.3f)", value, delta)))
 
 
 def arg_max_rows(df: DataFrame, by: Sequence[str], score: str, order: Sequence[str]) -> DataFrame:
@@ -34,7 +52,7 @@ def arg_max_rows(df: DataFrame, by: Sequence[str], score: str, order: Sequence[s
         F.max(score).alias("__m")
     )
     # two combinable passes: the maximum, then the first row among those that reach it
-    tied = df.join(small_side(top), list(by)).where(F.col(score) == F.col("__m")).drop("__m")
+    tied = df.join(top, list(by)).where(F.col(score) == F.col("__m")).drop("__m")
     rest = [c for c in df.columns if c not in by]
     return tied.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*by, "r.*")
 
@@ -42,7 +60,7 @@ def arg_max_rows(df: DataFrame, by: Sequence[str], score: str, order: Sequence[s
 def scale_by_group_max(df: DataFrame, by: Sequence[str], value: str, name: str = "scaled") -> DataFrame:
     """Value over its group's maximum: the aggregate is joined back, so a big group stays spread out."""
     top = df.groupBy(*by).agg(F.max(value).alias("__m"))
-    return df.join(small_side(top), list(by)).withColumn(name, F.try_divide(value, "__m")).drop("__m")
+    return df.join(top, list(by)).withColumn(name, F.try_divide(value, "__m")).drop("__m")
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -35,7 +35,8 @@ def zone(t: Tables, status: str) -> DataFrame:
 
 @query("j2_merge_zones", f"""WITH {ZONE_SQL}, z AS (SELECT coalesce(b.Name, c.Name) AS Name, coalesce(b.k1, c.k1) AS k1, coalesce(b.k2, c.k2) AS k2, b.width AS width_zone_b, c.width AS width_zone_c
 FROM (SELECT * FROM zn WHERE s = 'O') b FULL JOIN (SELECT * FROM zn WHERE s = 'P') c ON b.Name = c.Name AND b.k1 IS NOT DISTINCT FROM c.k1 AND b.k2 IS NOT DISTINCT FROM c.k2)
-SELECT coalesce(w.Name, z.Name) AS Name, w.k1 AS k1_whole, w.k2 AS k2_whole, w.width, z.k1, z.k2, z.width_zone_b, z.width_zone_c FROM (SELECT * FROM zn WHERE s = 'F') w FULL JOIN z ON w.Name = z.Name""")
+SELECT coalesce(w.Name, z.Name) AS Name, coalesce(w.k1, z.k1) AS k1, coalesce(w.k2, z.k2) AS k2, w.width, z.width_zone_b, z.width_zone_c FROM (SELECT * FROM zn WHERE s = 'F') w
+FULL JOIN z ON w.Name = z.Name AND w.k1 IS NOT DISTINCT FROM z.k1 AND w.k2 IS NOT DISTINCT FROM z.k2""")
 def j2(t: Tables) -> DataFrame:
     return J.merge_zones(zone(t, "F"), zone(t, "O"), zone(t, "P"), ["Name", "k1", "k2"])
 
@@ -140,6 +141,16 @@ def w1(t: Tables) -> DataFrame:
     return N.top_n(Y.methods(t), ["lesion"], "method", "red", 2, "NO").withColumn("mean_score", r6("mean_score"))
 
 
+@query("w1_report_top_n", """WITH x AS (SELECT l_returnflag || l_linestatus AS method, CAST(month(l_shipdate) AS INTEGER) AS task, l_linenumber * 10 AS epoch, l_quantity AS score FROM lineitem),
+m AS (SELECT task, method, avg(score) AS s FROM x WHERE epoch > 20 GROUP BY ALL),
+d AS (SELECT m.task, m.method, m.s, m.s - b.s AS delta, row_number() OVER (PARTITION BY m.task ORDER BY m.s DESC, m.method) AS rk FROM m LEFT JOIN m b ON b.task = m.task AND b.method = 'NO')
+SELECT task, method, round(s, 6) AS mean_score, round(delta, 6) AS delta, CAST(rk AS INTEGER) AS rank FROM d WHERE rk <= 2""")
+def w1b(t: Tables) -> DataFrame:
+    runs = t.lineitem.select(F.concat("l_returnflag", "l_linestatus").alias("method"), F.month("l_shipdate").alias("task"), (F.col("l_linenumber") * 10).alias("epoch"), F.col("l_quantity").alias("score"))
+    out = N.report_top_n(runs, ["task"], "method", "score", "epoch", "NO")
+    return out.select("task", "method", r6("mean_score").alias("mean_score"), r6("delta").alias("delta"), "rank")
+
+
 @query("w2_arg_max_rows", """SELECT l_returnflag, l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey) = 1""")
 def w2(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice", "l_suppkey")

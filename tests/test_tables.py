@@ -11,9 +11,10 @@ from annolytics.operators import splits as D
 def test_null_keys_match_in_zone_merge(spark):
     b = spark.createDataFrame([("n", None, 1.0), ("o", 2.0, 5.0)], "Name string, k double, w double")
     c = spark.createDataFrame([("n", None, 9.0), ("o", 3.0, 6.0)], "Name string, k double, w double")
-    whole = spark.createDataFrame([("n", 7.0)], "Name string, total double")
+    whole = spark.createDataFrame([("n", None, 7.0), ("o", 1.0, 8.0)], "Name string, k double, total double")
     got = {(r.Name, r.k): (r.total, r.w_zone_b, r.w_zone_c) for r in J.merge_zones(whole, b, c, ["Name", "k"]).collect()}
-    assert got == {("n", None): (7.0, 1.0, 9.0), ("o", 2.0): (None, 5.0, None), ("o", 3.0): (None, None, 6.0)}
+    assert got == {("n", None): (7.0, 1.0, 9.0), ("o", 1.0): (8.0, None, None), ("o", 2.0): (None, 5.0, None), ("o", 3.0): (None, None, 6.0)}
+    assert J.merge_zones(whole, b, c, ["Name", "k"]).columns == ["Name", "k", "total", "w_zone_b", "w_zone_c"]
 
 
 def test_stems_and_lookup(spark):
@@ -126,13 +127,15 @@ def test_long_snake_crosses_many_tiles(spark):
     assert table.count() == 1 and table.first().area == len(px)
 
 
-def test_small_side_beyond_its_bound(spark):
-    df = spark.range(50).withColumn("v", F.col("id") % 7)
-    for bound in (10, 100):  # shuffled join, then broadcast
-        side = O.small_side(df.groupBy("id").agg(F.max("v").alias("m")), bound)
-        assert df.join(side, "id").where("v = m").count() == 50
-
-
 def test_once_is_not_copied_into_filters(spark):
     df = O.once(spark.range(10), a=F.col("id") * 2, b=F.when(F.col("id") > 4, F.col("id")))
     assert df.columns == ["id", "a", "b"] and df.where("a > 8 and b is not null and id < 8").count() == 3
+
+
+def test_report_of_later_epochs(spark):
+    from annolytics.operators import windows as W
+
+    rows = [("t", "identity", 21, 0.5), ("t", "a", 30, 0.75), ("t", "a", 20, 9.0), ("t", "b", 22, 0.25), ("u", "a", 40, 1.0)]
+    df = spark.createDataFrame(rows, "task string, method string, epoch int, score double")
+    got = {(r.task, r.method): (r["rank"], r.delta, r.text) for r in W.report_top_n(df, ["task"], "method", "score", "epoch", "identity").collect()}
+    assert got == {("t", "a"): (1, 0.25, "0.750 (0.250)"), ("t", "identity"): (2, 0.0, "0.500 (0.000)"), ("u", "a"): (1, None, None)}
