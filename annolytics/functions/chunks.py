@@ -95,33 +95,59 @@ def pack_sentences(sentences: str | Column, lengths: str | Column, size: int = 5
     ))
 
 
+def _level_spans(text: str, start: int, end: int, sep: str, size: int) -> list[tuple[int, int, bool]]:
+    """Cut ``text[start:end]`` at ``sep`` and join neighbours while they fit: (start, end, too long)."""
+    spans: list[tuple[int, int, bool]] = []
+    begin = upto = start
+    at = start
+    while at <= end:
+        stop = text.find(sep, at, end) if sep else -1
+        stop = end if stop < 0 else stop
+        if stop - begin > size:  # the part from ``at`` does not fit behind what is open
+            if upto > begin:
+                spans.append((begin, min(upto, end), False))
+            begin = at
+            if stop - at > size:
+                spans.append((at, stop, True))
+                begin = stop + len(sep)
+        upto = at = stop + max(1, len(sep))
+        if not sep:
+            upto = end
+    if upto > begin:
+        spans.append((begin, min(upto, end), False))
+    return spans
+
+
 def recursive_pieces(text: str, size: int, overlap: int, separators: Sequence[str]) -> list[str]:
-    """Split by the first separator, refill greedily up to ``size``, go on with the next separator inside
-    parts that are still too long. Trailing characters of the separator (as a set) are stripped from each
-    piece; the overlap is put in front at every level, so pieces may exceed ``size``."""
-    sep = separators[0] if separators else ""
-    deeper = separators[1:]
-    pieces: list[str] = []
-    open_piece = ""
-
-    def close() -> None:
-        if open_piece:
-            pieces.append(open_piece.rstrip(sep))
-
-    for part in text.split(sep) if sep else [text]:
-        if len(open_piece) + len(part) <= size:
-            open_piece += part + sep
-            continue
-        close()
-        if len(part) > size and deeper:
-            pieces += recursive_pieces(part, size, overlap, deeper)
-            open_piece = ""
-        else:
-            open_piece = part + sep
-    close()
-    if overlap > 0:
-        pieces = [p if i == 0 else pieces[i - 1][-overlap:] + p for i, p in enumerate(pieces)]
-    return [p for p in pieces if p.strip()]
+    """Pieces of a text by ever finer separators.
+
+    First only spans of the text are settled: each level joins neighbouring parts up to ``size`` and hands
+    parts that are too long to the next level, over a work list. Then pieces are cut out from the finest level
+    up; at each level characters of its separator are stripped from a piece's end, blank pieces go, and each
+    piece gets the end of the one before it in front, so pieces may exceed ``size``.
+    """
+    levels = [*separators] or [""]
+    nodes: list[tuple[str, list[tuple[int, int, int | None]]]] = []  # separator, (start, end, node of a finer level)
+    work: list[tuple[int, int, int]] = [(0, len(text), 0)]
+    while len(nodes) < len(work):
+        start, end, level = work[len(nodes)]
+        sep, deeper = levels[level], level + 1 < len(levels)
+        parts: list[tuple[int, int, int | None]] = []
+        for a, b, too_long in _level_spans(text, start, end, sep, size):
+            if too_long and deeper:
+                work.append((a, b, level + 1))
+            parts.append((a, b, len(work) - 1 if too_long and deeper else None))
+        nodes.append((sep, parts))
+    made: dict[int, list[str]] = {}
+    for number in range(len(nodes) - 1, -1, -1):
+        sep, parts = nodes[number]
+        pieces: list[str] = []
+        for a, b, finer in parts:
+            pieces.extend([text[a:b].rstrip(sep)] if finer is None else made.pop(finer))
+        if overlap > 0:
+            pieces = [before[-overlap:] + piece for before, piece in zip(["", *pieces], pieces)]
+        made[number] = [p for p in pieces if p.strip()]
+    return made[0]
 
 
 def recursive_chunks(text: str | Column, size: int = 512, overlap: int = 50, separators: Sequence[str] = RECURSIVE_SEPARATORS) -> Column:
