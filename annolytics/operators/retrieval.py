@@ -1,14 +1,15 @@
 """Exact and partitioned vector search, reranking and context assembly.
 
-Queries are the small side: their number is counted, and they are sent to the executors in blocks of
-bounded size, so any number of queries works. Vectors never move for scoring: each task keeps its own
-best k per query, and only those few rows are shuffled.
+Vectors and queries are packed into blocks of bounded size on the executors, and each task scores one block
+against another, keeping the best k rows of a query; only those are ranked in the end. A flat index meets
+every query block. With an IVF index a query is sent to the blocks of its nearest cells only; a cell with very
+many vectors is many blocks, so it is not one task's work.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +22,15 @@ from pyspark.sql import types as T
 from ..functions.columns import l2_normalize, preview
 from .examples import threshold as apply_threshold
 
-QUERY_BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20  # of vectors in a block
 METRICS = ("cosine", "ip", "l2")
-MAX_PROBES = 10
+DEFAULT_PROBES = 10
 
 
 @dataclass
 class VectorIndex:
     """Vectors (``id_col``, ``vec_col``, any other columns) and how to compare them. With ``centroids`` the
-    frame has a ``cell`` column and search looks into the nearest cells only."""
+    frame has a ``cell`` column and search looks into the ``nprobe`` nearest cells only."""
 
     vectors: DataFrame
     dimension: int
@@ -37,6 +38,7 @@ class VectorIndex:
     id_col: str = "vec_id"
     vec_col: str = "embedding"
     centroids: np.ndarray | None = None
+    nprobe: int = DEFAULT_PROBES
 
     @property
     def kind(self) -> str:
@@ -62,8 +64,8 @@ def add_vectors(index: VectorIndex, df: DataFrame) -> VectorIndex:
     """Index with more vectors; those of an IVF index go to the cell of their nearest centroid."""
     extra = build_index(df, index.dimension, index.metric, index.id_col, index.vec_col).vectors
     if index.centroids is not None:
-        extra = _with_cell(extra, index.vec_col, index.centroids)
-    return VectorIndex(index.vectors.unionByName(extra), index.dimension, index.metric, index.id_col, index.vec_col, index.centroids)
+        extra = _with_cell(extra, index.vec_col, index.centroids, index.metric)
+    return replace(index, vectors=index.vectors.unionByName(extra))
 
 
 def _matrix(batch: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
@@ -71,26 +73,28 @@ def _matrix(batch: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype("float64").reshape(-1, dim)
 
 
-def _with_cell(df: DataFrame, vec_col: str, centroids: np.ndarray) -> DataFrame:
+def _near_cells(m: np.ndarray, centroids: np.ndarray, metric: str, n: int) -> np.ndarray:
+    """The ``n`` cells nearest to each row, by inner product for ``ip``, else by distance; ties to the smaller."""
+    away = -(m @ centroids.T) if metric == "ip" else (centroids * centroids).sum(axis=1) - 2 * m @ centroids.T
+    return np.argsort(away, axis=1, kind="stable")[:, :n].astype("int32")
+
+
+def _with_cell(df: DataFrame, vec_col: str, centroids: np.ndarray, metric: str) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
-    norms = (centroids * centroids).sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = _matrix(b, vec_col, centroids.shape[1])
-            cell = np.argmin(norms - 2 * m @ centroids.T, axis=1).astype("int32")
-            yield b.append_column("cell", pa.array(cell))
+            yield b.append_column("cell", pa.array(_near_cells(_matrix(b, vec_col, centroids.shape[1]), centroids, metric, 1)[:, 0]))
 
     return df.mapInArrow(run, schema)
 
 
-def build_ivf(index: VectorIndex, nlist: int, seed: int = 42, iterations: int = 10) -> VectorIndex:
-    """Train ``nlist`` centroids on all vectors and give each vector its cell."""
+def build_ivf(index: VectorIndex, nlist: int, seed: int = 42, iterations: int = 10, nprobe: int = DEFAULT_PROBES) -> VectorIndex:
+    """Train ``nlist`` centroids on all vectors and give each vector its cell; searches look into ``nprobe`` cells."""
     features = index.vectors.select(array_to_vector(index.vec_col).alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=iterations, initSteps=2).fit(features)
     centroids = np.array([np.asarray(c) for c in model.clusterCenters()])
-    celled = _with_cell(index.vectors, index.vec_col, centroids)
-    return VectorIndex(celled, index.dimension, index.metric, index.id_col, index.vec_col, centroids)
+    return replace(index, vectors=_with_cell(index.vectors, index.vec_col, centroids, index.metric), centroids=centroids, nprobe=nprobe)
 
 
 def _scores(metric: str, m: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -100,87 +104,84 @@ def _scores(metric: str, m: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.stack([1.0 / (1.0 + ((m - one) ** 2).sum(axis=1)) for one in q])
 
 
-def _search_block(index: VectorIndex, qids: list, qmat: np.ndarray, k: int, nprobe: int | None) -> DataFrame:
-    sc = index.vectors.sparkSession.sparkContext
-    shared = sc.broadcast((qids, qmat, index.centroids))
-    metric, id_col, vec_col, dim = index.metric, index.id_col, index.vec_col, index.dimension
-    columns = [id_col, vec_col] + (["cell"] if index.centroids is not None else [])
-    id_type = index.vectors.schema[id_col].dataType
-    arrow_ids = T.StructType([T.StructField("i", id_type)])
+def _packed(df: DataFrame, id_col: str, vec_col: str, dim: int, name: str, block_bytes: int) -> DataFrame:
+    """Blocks of vectors with the same ``cell`` (0 without cells): their ids and their matrix as bytes."""
+    most = max(1, block_bytes // (8 * dim))
+    celled = "cell" in df.columns
     schema = T.StructType([
-        T.StructField("__qi", T.IntegerType()), T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())
+        T.StructField("cell", T.IntegerType()), T.StructField(f"{name}_ids", T.ArrayType(df.schema[id_col].dataType)),
+        T.StructField(f"{name}_matrix", T.BinaryType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, queries, centroids = shared.value
-        best: list[list[tuple]] = [[] for _ in range(len(queries))]
-        probes = None
-        if centroids is not None:
-            # cells nearest to each query, by the same distance that assigned the vectors
-            d = (centroids * centroids).sum(axis=1) - 2 * queries @ centroids.T
-            probes = np.zeros(d.shape, dtype=bool)
-            np.put_along_axis(probes, np.argsort(d, axis=1, kind="stable")[:, :nprobe], True, axis=1)
-        id_field = None
         for b in batches:
             if b.num_rows == 0:
                 continue
-            ids = b.column(id_col)
-            id_field = ids.type
-            m = _matrix(b, vec_col, dim)
-            allowed = None if probes is None else probes[:, b.column("cell").to_numpy(zero_copy_only=False)]
-            for at in range(0, len(queries), 256):
-                s = _scores(metric, m, queries[at:at + 256])
-                if allowed is not None:
-                    s = np.where(allowed[at:at + 256], s, -np.inf)
-                for i, row in enumerate(s, start=at):
-                    floor = best[i][-1][0] if len(best[i]) == k else np.inf
-                    if len(row) > k:
-                        floor = min(floor, -np.partition(row, len(row) - k)[len(row) - k])
-                    near = np.flatnonzero((-row <= floor) & (row > -np.inf))
-                    if len(near):
-                        found = [(-row[j], ids[int(j)].as_py()) for j in near]
-                        best[i] = sorted(best[i] + found)[:k]
-        out = [(i, ident, -negative) for i, rows in enumerate(best) for negative, ident in rows]
-        if out:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], id_field),
-                 pa.array([float(r[2]) for r in out], pa.float64())],
-                names=["__qi", id_col, "score"],
-            )
-
-    return index.vectors.select(*columns).mapInArrow(run, schema)
+            m, ids = _matrix(b, vec_col, dim), b.column(id_col)
+            cell = b.column("cell").to_numpy(zero_copy_only=False) if celled else np.zeros(b.num_rows, dtype="int32")
+            order = np.argsort(cell, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                for at in range(0, len(rows), most):
+                    part = rows[at:at + most]
+                    own = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), ids.take(pa.array(part)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([cell[part[0]]], pa.int32()), own, pa.array([m[part].tobytes()], pa.binary())],
+                        names=["cell", f"{name}_ids", f"{name}_matrix"],
+                    )
+
+    return df.mapInArrow(run, schema)
 
 
 def search(
     index: VectorIndex, queries: DataFrame, k: int, qid: str = "query_id", qvec: str = "query_vec",
-    block_bytes: int = QUERY_BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES, nprobe: int | None = None,
 ) -> DataFrame:
     """Best k per query as (qid, id, score, rank). cosine/ip: inner product; l2: 1/(1+squared distance).
 
     Ties go to the smaller id; fewer than k rows when the index is smaller; none when it is empty.
+    ``nprobe`` replaces the index's number of cells.
     """
-    spark = index.vectors.sparkSession
-    nprobe = None if index.centroids is None else min(MAX_PROBES, len(index.centroids))
     vec = l2_normalize(qvec) if index.metric == "cosine" else F.col(qvec).cast("array<double>")
-    prepared = _checked(queries.select(qid, qvec), qvec, index.dimension).select(qid, vec.alias(qvec))
-    per_block = max(1, block_bytes // (index.dimension * 8 + 64))
-    head = prepared.limit(per_block + 1).collect()  # one block and a row: enough to know if one block will do
-    n_blocks = 1 if len(head) <= per_block else -(-prepared.count() // per_block) * 2
-    w = Window.partitionBy("__qi").orderBy(F.desc("score"), index.id_col)
-    out = None
-    for block in range(n_blocks):
-        part = prepared.where(F.pmod(F.xxhash64(qid), F.lit(n_blocks)) == block)
-        rows = head if n_blocks == 1 else part.collect()  # about half a block on average
-        ids = [r[0] for r in rows]
-        matrix = np.array([r[1] for r in rows], dtype="float64").reshape(-1, index.dimension)
-        hits = _search_block(index, ids, matrix, k, nprobe)
-        ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        names = spark.createDataFrame(
-            [(i, v) for i, v in enumerate(ids)], T.StructType([T.StructField("__qi", T.IntegerType()), prepared.schema[qid]])
-        )
-        found = ranked.join(F.broadcast(names), "__qi").select(qid, index.id_col, "score", "rank")  # bounded by the block
-        out = found if out is None else out.unionByName(found)
-    return out
+    asked = _checked(queries.select(qid, qvec), qvec, index.dimension).select(F.col(qid).alias("__q"), vec.alias("__v"))
+    metric, dim, centroids, id_col = index.metric, index.dimension, index.centroids, index.id_col
+    columns = [id_col, index.vec_col]
+    if centroids is None:
+        stored, keys = index.vectors.select(*columns), []
+    else:
+        n = min(nprobe or index.nprobe, len(centroids))
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.append_column("cells", pa.array(list(_near_cells(_matrix(b, "__v", dim), centroids, metric, n)), pa.list_(pa.int32())))
+
+        schema = T.StructType([*asked.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
+        asked = asked.mapInArrow(probe, schema).select("__q", "__v", F.explode("cells").alias("cell"))
+        # on a stored index this becomes a filter on the folders of cells
+        probed = asked.where("cell >= 0").select("cell").distinct()
+        stored = index.vectors.select(*columns, "cell").join(probed, "cell", "left_semi").sortWithinPartitions("cell")
+        asked, keys = asked.repartition("cell"), ["cell"]
+    left = _packed(stored, index.id_col, index.vec_col, dim, "v", block_bytes)
+    right = _packed(asked, "__q", "__v", dim, "q", block_bytes)
+    # blocks, not rows: a flat index has to meet every query
+    pairs = left.join(right, "cell") if keys else left.drop("cell").crossJoin(right.drop("cell"))
+    out = T.StructType([T.StructField(qid, asked.schema["__q"].dataType), T.StructField(index.id_col, index.vectors.schema[index.id_col].dataType), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                v_ids, q_ids = b.column("v_ids")[i].values, b.column("q_ids")[i].values
+                m, q = (np.frombuffer(b.column(c)[i].as_py()).reshape(-1, dim) for c in ("v_matrix", "q_matrix"))
+                for at in range(0, len(q), 256):
+                    s = _scores(metric, m, q[at:at + 256])
+                    # everything that ties with the k-th best goes on, so that the ranking can prefer smaller ids
+                    floor = np.partition(s, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]] if s.shape[1] > k else s.min(axis=1, keepdims=True)
+                    row, col = np.nonzero(s >= floor)
+                    yield pa.RecordBatch.from_arrays(
+                        [q_ids.take(pa.array(row + at)), v_ids.take(pa.array(col)), pa.array(s[row, col])], names=[qid, id_col, "score"]
+                    )
+
+    w = Window.partitionBy(qid).orderBy(F.desc("score"), index.id_col)
+    return pairs.mapInArrow(run, out).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def term_overlap(query: Column, text: Column) -> Column:
@@ -209,9 +210,11 @@ def rerank(
 def retrieve(
     index: VectorIndex, queries: DataFrame, k: int, threshold: float | None = None, rerank_with: bool | Callable = False,
     rerank_top_k: int | None = None, text: str = "text", qid: str = "query_id", query: str = "query", qvec: str = "query_vec",
+    candidates: int | None = None,
 ) -> DataFrame:
-    """Search, threshold on the vector score, then optionally rerank min(3k, 100) candidates."""
-    fetch = min(3 * k, 100) if rerank_with else k
+    """Search, threshold on the vector score, then optionally rerank ``candidates`` rows (3k by default, never
+    fewer than the result is to have)."""
+    fetch = max(k, rerank_top_k or 0, candidates or 3 * k) if rerank_with else k
     hits = apply_threshold(search(index, queries, fetch, qid, qvec), threshold)
     full = hits.join(index.vectors.drop(index.vec_col, "cell"), index.id_col)
     if not rerank_with:

@@ -108,10 +108,13 @@ def t9(t: Tables) -> DataFrame:
     return e.select("doc_id", F.array_join(F.transform("embedding", lambda v: v.cast("long").cast("string")), ",").alias("vec"))
 
 
-@query("t10_normalize", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) ** 2))), 6) AS first, 64 AS dim FROM embeddings")
+# all components in one number: those at place i count i times
+@query("t10_normalize", """SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / n, 6) AS first, round(list_sum(list_transform(embedding, lambda x, i: i * CAST(x AS DOUBLE))) / n, 6) AS weighed, CAST(len(embedding) AS INTEGER) AS dim
+FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) ** 2))) AS n FROM embeddings)""")
 def t10(t: Tables) -> DataFrame:
     v = t.embeddings.select("vec_id", l2_normalize("embedding").alias("v"))
-    return v.select("vec_id", r6(F.get("v", F.lit(0))).alias("first"), F.size("v").alias("dim"))
+    weighed = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return v.select("vec_id", r6(F.get("v", F.lit(0))).alias("first"), r6(weighed).alias("weighed"), F.size("v").alias("dim"))
 
 
 def index(t: Tables, metric: str = "cosine") -> R.VectorIndex:
@@ -181,6 +184,13 @@ def t14(t: Tables) -> DataFrame:
     return out.select("query_id", "vec_id", r6("original_score").alias("original_score"), r6("score").alias("score"), "rank")
 
 
+@query("t14_retrieve_many", f"WITH {RERANK_SQL.format(n=450, w='')} SELECT query_id, vec_id, round(cosine, 6) AS original_score, round(rs, 6) AS score, CAST(new_rank AS INTEGER) AS rank FROM rk WHERE new_rank <= 150")
+def t14b(t: Tables) -> DataFrame:
+    idx, q = texted(t)
+    out = R.retrieve(idx, q, 150, rerank_with=True)
+    return out.select("query_id", "vec_id", r6("original_score").alias("original_score"), r6("score").alias("score"), "rank")
+
+
 @query("t15_rerank", f"WITH {RERANK_SQL.format(n=20, w='')} SELECT query_id, vec_id, round(rs, 6) AS rerank_score, CAST(new_rank AS INTEGER) AS rank FROM rk WHERE new_rank <= 7")
 def t15(t: Tables) -> DataFrame:
     idx, q = texted(t)
@@ -243,7 +253,7 @@ def u1(t: Tables) -> DataFrame:
 def x1(t: Tables) -> DataFrame:
     base = scratch_path(t.spark, "stream")
     rows = B.trajectories(t).select(F.col("conv_id").cast("string").alias("id"), F.lit("").alias("question"), "ground_truth_answer", "trajectory", "reasoning_type", "tool_execution_log")
-    rows.repartition(4, "id").write.json(f"{base}/in")
+    rows.write.json(f"{base}/in")
     incremental.stream_validate(t.spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", max_files=2).awaitTermination()
     out = incremental.validated(t.spark, f"{base}/out")
     return out.select("id", *V.CHECKS, "quality_score", F.array_join("issues", " | ").alias("issues"))

@@ -20,9 +20,9 @@ def save_index(index: VectorIndex, path: str) -> None:
         writer = writer.partitionBy("cell")
     writer.parquet(f"{path}/vectors")
     centroids = [] if index.centroids is None else index.centroids.tolist()
-    row = (index.dimension, index.kind, index.metric, len(centroids), index.id_col, index.vec_col, centroids)
+    row = (index.dimension, index.kind, index.metric, len(centroids), index.id_col, index.vec_col, centroids, index.nprobe)
     index.vectors.sparkSession.createDataFrame(
-        [row], "dimension int, index_type string, metric string, nlist int, id_col string, vec_col string, centroids array<array<double>>"
+        [row], "dimension int, index_type string, metric string, nlist int, id_col string, vec_col string, centroids array<array<double>>, nprobe int"
     ).coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
 
 
@@ -33,7 +33,7 @@ def load_index(spark: SparkSession, path: str) -> VectorIndex:
             raise FileNotFoundError(f"no vector index at {path}")
     s = spark.read.parquet(f"{path}/settings").first()
     centroids = np.array(s.centroids) if s.nlist else None
-    return VectorIndex(spark.read.parquet(f"{path}/vectors"), s.dimension, s.metric, s.id_col, s.vec_col, centroids)
+    return VectorIndex(spark.read.parquet(f"{path}/vectors"), s.dimension, s.metric, s.id_col, s.vec_col, centroids, s.nprobe)
 
 
 def clear_index(spark: SparkSession, path: str) -> None:

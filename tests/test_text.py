@@ -151,14 +151,28 @@ def test_ivf_and_store(spark, vectors):
     exact = {(r.query_id, r["rank"]): r.vec_id for r in R.search(flat, queries, 5).collect()}
     assert {(r.query_id, r["rank"]): r.vec_id for r in R.search(ivf, queries, 5).collect()} == exact
     wide = R.build_ivf(flat, 30)
-    near = R.search(wide, queries, 5)
-    assert near.count() == 45
+    # with fewer cells than there are: the exact answer over the probed cells
+    cells = {r.vec_id: r.cell for r in wide.vectors.collect()}
+    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
+    for n in (3, 10):
+        want = set()
+        for i, row in enumerate(unit(q)):
+            away = ((wide.centroids - row) ** 2).sum(axis=1)
+            probed = set(np.argsort(away, kind="stable")[:n].tolist())
+            s = (unit(v) @ row).round(10)
+            near = sorted((j for j in range(len(v)) if cells[j] in probed), key=lambda j: (-s[j], j))[:5]
+            want |= {(f"q{i}", r + 1, j) for r, j in enumerate(near)}
+        got = R.search(wide, queries, 5, nprobe=n)
+        assert {(r.query_id, r["rank"], r.vec_id) for r in got.collect()} == want
     path = scratch_path(spark, "t")
     with pytest.raises(FileNotFoundError):
         store.load_index(spark, path)
     store.save_index(ivf, path)
     back = store.load_index(spark, path)
     assert (back.dimension, back.kind, back.metric, len(back.centroids)) == (8, "ivf_flat", "cosine", 6)
+    assert back.nprobe == 10 and R.search(back, queries, 5, nprobe=2).count() > 0
+    plan = R.search(back, queries, 5, nprobe=2)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "dynamicpruning" in plan
     more = R.add_vectors(back, spark.createDataFrame([(999, q[0].tolist())], "vec_id int, embedding array<double>"))
     assert R.search(more, queries.where("query_id = 'q0'"), 1).first().vec_id == 999
     assert R.index_stats(more).first().total_vectors == 121
