@@ -1,8 +1,8 @@
 """Connected components (8-neighbour) of sparse pixels, tile by tile, merged across tile borders.
 
 A tile bounds what one task holds, however large an image is. Components of a tile are named by their
-first pixel; border contacts form a much smaller graph whose labels are settled by repeated minima
-and pointer jumps, with a checkpoint per round.
+first pixel; border contacts form a much smaller graph, whose components are found by star contraction
+(``graph.py``), in rounds that grow with the logarithm of its size.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
+from .graph import connected_components
 
 _HALF = ((1, 0), (-1, 1), (0, 1), (1, 1))  # half of the eight neighbours; the rest follow by symmetry
 _ROW = 1 << 32  # pixel name = y · 2³² + x: names order pixels by row, then column
@@ -106,34 +107,13 @@ def label_components(px: DataFrame, by: Sequence[str] = ("image", "lesion"), til
     edges = materialize(contacts.distinct())
     if edges.isEmpty():
         return local.withColumnRenamed("node", "component")
-    labels = _settle(edges, by)
+    name = lambda node: F.struct(*by, F.col(node).alias("node"))
+    parts = connected_components(edges.select(name("a").alias("src"), name("b").alias("dst")))
+    labels = parts.select("node.*", F.col("component.node").alias("label"))
     joined = local.join(labels, [*by, "node"], "left")
     return joined.select(*by, "x", "y", F.coalesce("label", "node").alias("component"))
 
 
-def _settle(edges: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, node, label) with the smallest node name of each connected set of nodes."""
-    both = edges.select(*by, F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
-        edges.select(*by, F.col("b").alias("node"), F.col("a").alias("other"))
-    )
-    labels = both.groupBy(*by, "node").agg(F.min("other").alias("m")).select(
-        *by, "node", F.least("node", "m").alias("label")
-    )
-    labels = materialize(labels)
-    while True:
-        seen = both.join(labels.select(*by, F.col("node").alias("other"), F.col("label").alias("l")), [*by, "other"])
-        near = seen.groupBy(*by, "node").agg(F.min("l").alias("m"))
-        low = labels.join(near, [*by, "node"]).select(*by, "node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        jump = low.join(
-            labels.select(*by, F.col("node").alias("label"), F.col("label").alias("up")), [*by, "label"], "left"
-        ).select(*by, "node", "was", F.least("label", F.coalesce("up", "label")).alias("label"))
-        settled = materialize(jump)
-        moving = not settled.where("was != label").isEmpty()
-        labels = settled.drop("was")
-        if not moving:
-            return labels
-
-
 def component_table(labelled: DataFrame, by: Sequence[str] = ("image", "lesion")) -> DataFrame:
     """One row per component: area and extents."""
     return labelled.groupBy(*by, "component").agg(
