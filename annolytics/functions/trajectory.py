@@ -65,8 +65,9 @@ def check_format(t: str | Column) -> Column:
 
 
 def check_tool_match(t: str | Column, log: str | Column, observations: Column | None = None) -> Column:
-    """At least half of the log entries have their status text in some observation; an empty log passes."""
-    entries = F.coalesce(col(log), F.array().cast("array<struct<tool_name:string,status:string>>")) if isinstance(log, str) else log
+    """At least half of the log entries have their result's status in some observation; an empty log passes, an
+    entry whose result has no status does not match."""
+    entries = F.coalesce(F.transform(col(log), lambda e: F.struct(e["result"]["status"].alias("status"))), F.array().cast("array<struct<status:string>>"))
     seen = blocks(col(t), "observation") if observations is None else observations
     matched = bind(seen, lambda s: F.size(F.filter(entries, lambda e: F.exists(s, lambda o: o.contains(e["status"])))))
     rate = F.try_divide(F.greatest(matched, F.lit(0)), F.size(entries))

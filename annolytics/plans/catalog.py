@@ -9,7 +9,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,12 +27,12 @@ class Tables:
     @property
     def heavy_events(self) -> DataFrame:
         """Events for work that is heavy per row."""
-        return spread(self.events)
+        return self.events
 
     @property
     def texts(self) -> DataFrame:
         """Documents for work that is heavy per text."""
-        return spread(self.spark.read.parquet(f"{self.directory}/documents.parquet").select("doc_id", "text", "lang", "source"))
+        return self.documents.select("doc_id", "text", "lang", "source")
 
 
 def query(name: str, sql: str | None = None):
@@ -134,9 +133,9 @@ traj AS (SELECT conv_id, coalesce(answer, '') AS body, truth,
   CASE WHEN conv_id % 3 = 0 THEN 'B-artifact' ELSE 'A-healthy' END AS reasoning_type,
   CASE WHEN conv_id % 5 = 4 THEN '' ELSE '<think>plan ' || coalesce(question, '') || '</think>' END
   || CASE WHEN conv_id % 4 <> 1 THEN '<tool_call>first</tool_call><observation>status ok ' || coalesce(answer, '') || '</observation>' ELSE '<tool_call>first</tool_call>' END
-  || CASE WHEN conv_id % 6 = 0 THEN '<think>but see</think><tool_call>second</tool_call><observation>failed</observation>' ELSE '' END
+  || CASE WHEN conv_id % 6 = 0 THEN '<think>but see</think><tool_call>second</tool_call><observation>failed unknown</observation>' ELSE '' END
   || CASE WHEN conv_id % 4 = 2 THEN '' WHEN conv_id % 7 = 0 THEN '<answer>' || truth || '</answer>' ELSE '<answer>' || coalesce(answer, '') || '</answer>' END AS trajectory,
-  CASE WHEN conv_id % 6 = 0 THEN ['ok', 'failed', 'missing'] WHEN conv_id % 4 = 3 THEN CAST([] AS VARCHAR[]) ELSE ['ok'] END AS statuses
+  CASE WHEN conv_id % 6 = 0 THEN ['ok', 'failed', NULL] WHEN conv_id % 4 = 3 THEN CAST([] AS VARCHAR[]) ELSE ['ok'] END AS statuses
   FROM qa CROSS JOIN nb JOIN b ON b.item_id = conv_id % nb.n)"""
 
 
@@ -151,15 +150,17 @@ def trajectories(t: Tables) -> DataFrame:
     think = F.when(c % 5 == 4, "").otherwise(F.concat(F.lit("<think>plan "), text("question"), F.lit("</think>")))
     seen = F.concat(F.lit("<tool_call>first</tool_call><observation>status ok "), text("answer"), F.lit("</observation>"))
     call = F.when(c % 4 != 1, seen).otherwise("<tool_call>first</tool_call>")
-    second = F.when(c % 6 == 0, "<think>but see</think><tool_call>second</tool_call><observation>failed</observation>").otherwise("")
+    second = F.when(c % 6 == 0, "<think>but see</think><tool_call>second</tool_call><observation>failed unknown</observation>").otherwise("")
     answer = (
         F.when(c % 4 == 2, "").when(c % 7 == 0, F.concat(F.lit("<answer>"), F.col("truth"), F.lit("</answer>")))
         .otherwise(F.concat(F.lit("<answer>"), text("answer"), F.lit("</answer>")))
     )
-    entry = lambda i, s: F.struct(F.lit(f"tool{i}").alias("tool_name"), F.lit(s).alias("status"))
+    # a result without a status: the log's own status is then filled in, and must not be matched
+    entry = lambda i, s: F.struct(
+        F.lit(f"tool{i}").alias("tool_name"), F.struct(F.lit(s).cast("string").alias("status")).alias("result"), F.lit(s or "unknown").alias("status"))
     log = (
-        F.when(c % 6 == 0, F.array(entry(1, "ok"), entry(2, "failed"), entry(3, "missing")))
-        .when(c % 4 == 3, F.array().cast("array<struct<tool_name:string,status:string>>")).otherwise(F.array(entry(1, "ok")))
+        F.when(c % 6 == 0, F.array(entry(1, "ok"), entry(2, "failed"), entry(3, None)))
+        .when(c % 4 == 3, F.array().cast("array<struct<tool_name:string,result:struct<status:string>,status:string>>")).otherwise(F.array(entry(1, "ok")))
     )
     return j.select(
         "conv_id", F.concat(think, call, second, answer).alias("trajectory"), log.alias("tool_execution_log"),

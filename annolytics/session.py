@@ -31,9 +31,13 @@ def build_session(cpus: int | str = "*", app: str = "annolytics", **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see (``spark.checkpoint.dir``); a temporary one only if unset."""
+    """The folder all executors see (``spark.checkpoint.dir``). Only in local mode, where driver and executors
+    are one process, a temporary folder is made if it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="annolytics-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
@@ -43,13 +47,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Round-robin a file scan that has fewer splits than there are cores, before work that is heavy per
-    row. A scan with enough splits is left alone. Pass scans only: counting splits runs no job for them."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so that a lost executor costs no recomputed loop."""
     spark = df.sparkSession

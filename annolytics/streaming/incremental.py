@@ -9,7 +9,7 @@ from ..operators.validation import validate
 
 RESULT_SCHEMA = (
     "id string, question string, ground_truth_answer string, trajectory string, reasoning_type string, "
-    "tool_execution_log array<struct<tool_name:string,status:string>>"
+    "tool_execution_log array<struct<tool_name:string,result:struct<status:string>,status:string>>"
 )
 
 

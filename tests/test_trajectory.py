@@ -7,7 +7,7 @@ from annolytics.operators import validation as V
 
 THINK = "<think>first a visual look at the picture</think>"
 GOOD = THINK + "<tool_call>x</tool_call><observation>status success</observation><answer>moderate severe disease</answer>"
-LOG = "tool_execution_log array<struct<tool_name:string,status:string>>"
+LOG = "tool_execution_log array<struct<tool_name:string,result:struct<status:string>>>"
 SCHEMA = f"trajectory string, {LOG}, ground_truth_answer string, reasoning_type string"
 
 
@@ -18,9 +18,9 @@ def validated(spark, *cases):
 def test_good_and_bad(spark):
     good, empty, pairs, start = validated(
         spark,
-        (GOOD, [("t", "success")], "moderate disease", "A-x"),
+        (GOOD, [("t", ("success",))], "moderate disease", "A-x"),
         ("", [], "x", None),
-        (GOOD + "<tool_call>y</tool_call>", [("t", "failed"), ("t", "failed")], "unrelated words everywhere", "B-x"),
+        (GOOD + "<tool_call>y</tool_call>", [("t", ("failed",)), ("t", ("failed",))], "unrelated words everywhere", "B-x"),
         ("oops " + GOOD, [], "moderate disease", "A"),
     )
     assert good.quality_score == 1.0 and good.issues == [] and not good.correction_demonstrated
@@ -52,7 +52,7 @@ def test_answer_uses_last_block_and_all_words(spark):
 
 def test_filter_policy(spark):
     t = THINK + "but<tool_call>a</tool_call><observation>o</observation>" * 2 + "<answer>zzz</answer>"
-    df = V.validate(spark.createDataFrame([(GOOD, [("t", "success")], "moderate disease", "A"), (t, [], "none there", "B"), (GOOD, [("t", "bad")], "moderate disease", "A")], SCHEMA))
+    df = V.validate(spark.createDataFrame([(GOOD, [("t", ("success",))], "moderate disease", "A"), (t, [], "none there", "B"), (GOOD, [("t", ("bad",))], "moderate disease", "A")], SCHEMA))
     strict = V.FilterPolicy(min_score=0.95)
     assert V.filter_trajectories(df, strict).count() == 2  # the correction stays, the unmatched evidence goes
     assert V.filter_trajectories(df, V.FilterPolicy(min_score=0.95, keep_corrections=False)).count() == 1
@@ -105,3 +105,10 @@ def test_grading(spark):
 def test_salvage(spark, text, last, outer):
     r = spark.createDataFrame([(text,)], "t string").select(X.salvage_json("t").alias("l"), X.salvage_json("t", "outer").alias("o")).first()
     assert (r.l, r.o) == (last, outer)
+
+
+def test_status_is_that_of_the_result(spark):
+    log = "tool_execution_log array<struct<tool_name:string,result:struct<status:string>,status:string>>"
+    text = GOOD.replace("status success", "status unknown")
+    rows = spark.createDataFrame([(text, [("t", (None,), "unknown")]), (text, [("t", ("unknown",), "x")]), (text, [("t", None, "unknown")])], f"trajectory string, {log}")
+    assert [r[0] for r in rows.select(J.check_tool_match("trajectory", "tool_execution_log")["ok"]).collect()] == [False, True, False]
