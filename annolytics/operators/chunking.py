@@ -133,14 +133,11 @@ def assemble_document(
     """Pages in order under page marks, joined by a blank line, blank pages dropped; tables follow under their
     own mark. ``tables`` has (doc, page, table_no, rows array<array<string>>). The result is one row per
     document, as large as the document is."""
-    marked = pages.where(py_strip(F.coalesce(F.col(text), F.lit(""))) != "").select(
-        doc, F.col(page).alias("p"), F.concat(F.format_string(PAGE_MARK, F.col(page)), F.lit("\n"), F.col(text)).alias("t")
-    )
-    body = marked.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("p", "t"))).alias("ps"))
-    counted = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("page_count"))
-    out = counted.join(body, doc, "left").withColumn(
-        "content", F.coalesce(F.array_join(F.transform("ps", lambda x: x["t"]), "\n\n"), F.lit(""))
-    ).drop("ps")
+    filled = F.coalesce(F.col(text), F.lit("")).rlike(r"(?U)\S")
+    marked = F.struct(F.col(page).alias("p"), F.concat(F.format_string(PAGE_MARK, F.col(page)), F.lit("\n"), F.col(text)).alias("t"))
+    # blank pages count, but are not collected
+    gathered = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("page_count"), F.array_sort(F.collect_list(F.when(filled, marked))).alias("ps"))
+    out = gathered.withColumn("content", F.array_join(F.transform("ps", lambda x: x["t"]), "\n\n")).drop("ps")
     if tables is None:
         return out
     line = lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | ")

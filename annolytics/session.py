@@ -22,6 +22,7 @@ def build_session(cpus: int | str = "*", app: str = "annolytics", **conf: str) -
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # rounds that are no longer used
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
