@@ -15,6 +15,7 @@ from ..operators import joins
 from ..operators import stats as S
 from ..operators import validation as V
 from . import catalog as B
+from . import rules as RULES
 from .catalog import CLS_SQL, FEATS_SQL, PIECES_SQL, PROBS_SQL, QA_SQL, Tables, query, r6
 
 
@@ -175,6 +176,32 @@ def c2(t: Tables) -> DataFrame:
     return B.classified_documents(t).select("doc_id", "label.type", "label.subtype", "label.confidence", "label.description")
 
 
+# The shipped rules: each document gets the first words of one rule's conditions, by its number.
+SHIPPED = [*RULES.MEDICAL_RULES, *RULES.CORRECTION_RULES]
+SHIPPED_PHRASES = [
+    [" ".join(["", *[words[0] for where, mode, words in r["when"] if mode == "any" and side in where], ""]) for r in SHIPPED] for side in ("q", "a")
+]
+_phrase = lambda side: "[" + ", ".join(f"'{p}'" for p in SHIPPED_PHRASES[side]) + f"][CAST(doc_id % {len(SHIPPED)} AS INTEGER) + 1]"
+_medical, _fixes = B.rules_sql(RULES.MEDICAL_RULES), B.rules_sql(RULES.CORRECTION_RULES)
+SHIPPED_SQL = f"""sh AS (SELECT doc_id, lower(lang || {_phrase(0)}) AS q, lower(text || {_phrase(1)}) AS a FROM documents)"""
+
+
+def shipped_documents(t: Tables) -> DataFrame:
+    pick = lambda side: F.get(F.array(*[F.lit(p) for p in SHIPPED_PHRASES[side]]), (F.col("doc_id") % len(SHIPPED)).cast("int"))
+    return t.texts.select("doc_id", F.concat("lang", pick(0)).alias("question"), F.concat("text", pick(1)).alias("ground_truth_answer"))
+
+
+@query("c2_shipped_rules", f"""WITH {SHIPPED_SQL} SELECT doc_id, {_medical['type']} AS type, {_medical['subtype']} AS subtype, {_medical['confidence']} AS confidence, {_medical['description']} AS description FROM sh""")
+def c2b(t: Tables) -> DataFrame:
+    return C.classify(shipped_documents(t), expand=False).select("doc_id", "label.type", "label.subtype", "label.confidence", "label.description")
+
+
+@query("c2_check_corrections", f"""WITH {SHIPPED_SQL} SELECT doc_id, {_fixes['type']} AS type, {_fixes['subtype']} AS subtype, {_fixes['confidence']} AS confidence, {_fixes['description']} AS description FROM sh""")
+def c2c(t: Tables) -> DataFrame:
+    rows = shipped_documents(t).withColumn("answer_text", F.lower("ground_truth_answer"))
+    return C.check_corrections(rows).select("doc_id", "correction.type", "correction.subtype", "correction.confidence", "correction.description")
+
+
 # Tool results built from events: grade, lesion shares, risk level, cup ratios and confidences.
 def tool_results(t: Tables) -> DataFrame:
     v, u, e = F.col("value"), F.col("user_id"), F.col("event_id")
