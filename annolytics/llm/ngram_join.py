@@ -50,7 +50,7 @@ NARROW_BITS, WIDE_BITS = 1024, 8192
 FEW = 32  # sets of a key that one map task passes on one by one
 MANY = 1024  # sets of a key that are compared with each other; more stay joined without
 ODD, SURE = 1, 2  # marks in the last bits of a key: narrow bitmaps; sets are joined without comparison
-COMBINED_KEYS = 1 << 21  # keys that a map task combines at a time
+COMBINED_KEYS = 1 << 19  # keys that a map task combines at a time
 BLOCK_SHINGLES = 1 << 21  # shingles in a block: 16 MB
 LEAF = 16
 FINEST = 1 << 31

@@ -37,7 +37,7 @@ from .words import ALNUM, add_columns, hashed_words, map_batches, mix, runs, shi
 _U = np.uint64
 ANCHOR = 10
 HOT_ROWS = 1000
-AT_ONCE = 1 << 20  # passages that a task sorts at a time
+AT_ONCE = 1 << 19  # passages that a task sorts at a time
 
 
 class Suffixes:
