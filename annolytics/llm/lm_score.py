@@ -32,19 +32,21 @@ from annolytics.session import materialize
 
 from .words import ALNUM, grouped, hashed_words, map_batches, mix, text_bytes
 
-HOT = 4096
+HOT = 1 << 16
 ALPHA = 0.4
 AT_ONCE = 1 << 20  # pairs that a task combines at a time
-BUCKETS_PER_PARTITION = 16
+BUCKETS_PER_PARTITION = 8
 _U = np.uint64
 _END = np.uint64(0)  # stands for "no word follows"
 
 
 def pack_columns(columns: list[np.ndarray]) -> bytes:
-    """Compressed columns of 8-byte numbers, bytes of one rank together."""
+    """Compressed columns of 8-byte numbers. In signed columns bytes of one rank stand together, as their high
+    bytes are mostly equal; unsigned ones are hashes, of which whole ones repeat."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns))
+    parts = [c.tobytes() if c.dtype == np.uint64 else np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpack_columns(blobs: list[bytes], kinds: list[type]) -> list[np.ndarray]:
@@ -52,8 +54,8 @@ def unpack_columns(blobs: list[bytes], kinds: list[type]) -> list[np.ndarray]:
 
     parts = []
     for blob in blobs:
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(len(kinds), 8, -1)
-        parts.append([np.ascontiguousarray(c.T).view(k).ravel() for c, k in zip(raw, kinds)])
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(len(kinds), -1)
+        parts.append([c.view(k) if k is np.uint64 else np.ascontiguousarray(c.reshape(8, -1).T).view(k).ravel() for c, k in zip(raw, kinds)])
     return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, k) for k in kinds]
 
 
@@ -157,9 +159,22 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_count
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
     spark = rows.sparkSession
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = materialize(_counted(rows, lambda w: w))
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot_words = spark.sparkContext.broadcast(_collected(words.where(F.col("n") * HOT > total)))
+
+    def count_rows(batch: pa.RecordBatch):
+        k = batch.column("key").to_numpy().view(np.uint64)
+        dealt_rows = list(dealt((mix(k) % _U(buckets)).astype(np.int64), [k, batch.column("n").to_numpy()], COUNTS))
+        yield dict(zip(("bucket", "kind", "data"), zip(*dealt_rows))) if dealt_rows else {"bucket": [], "kind": [], "data": []}
+
+    def word_counts(batch: pa.RecordBatch, least: int):
+        """Counts above ``least``; the smaller ones as one sum with a null key."""
+        key, n = unpack_columns(batch.column("data").to_pylist(), [np.uint64, np.int64])
+        more = n > least
+        yield {"key": [*key[more].view(np.int64).tolist(), None], "n": [*n[more].tolist(), int(n[~more].sum())]}
+
+    counted = materialize(map_batches(_counted(rows, lambda w: w), count_rows, SCHEMA))
+    total = map_batches(counted, lambda b: word_counts(b, 1 << 62), "key long, n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = total // HOT
+    hot_words = spark.sparkContext.broadcast(_collected(map_batches(counted, lambda b: word_counts(b, least), "key long, n long").where("key IS NOT NULL")))
     both_hot = _counted(rows, lambda w: pair_key(w[:-1], w[1:])[(hot_words.value(w[:-1]) > 0) & (hot_words.value(w[1:]) > 0)])
     hot_pairs = spark.sparkContext.broadcast(_collected(both_hot.where((F.col("n") * HOT > total) & (F.col("n") >= min_count))))
 
@@ -232,7 +247,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_count
             out.extend(_sum_rows(sums, buckets))
             yield _batch(out)
 
-    def _by_bucket(batches, pass_on=()):
+    def _by_bucket(batches):
         for _, rows in grouped(batches, ["bucket"]):
             by_kind: dict[int, list[bytes]] = {}
             kept = []
@@ -242,11 +257,6 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_count
                     kept.append((bucket, kind, data))
             yield by_kind, kept
 
-    def count_rows(batch: pa.RecordBatch):
-        k = batch.column("key").to_numpy().view(np.uint64)
-        rows = list(dealt((mix(k) % _U(buckets)).astype(np.int64), [k, batch.column("n").to_numpy()], COUNTS))
-        yield dict(zip(("bucket", "kind", "data"), zip(*rows))) if rows else {"bucket": [], "kind": [], "data": []}
-
     def add_up(batches):
         for by_kind, _ in _by_bucket(batches):
             if by_kind.get(SUMS):
@@ -257,7 +267,6 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_count
         return df.repartition("bucket").sortWithinPartitions("bucket")
 
     paired = together(rows.mapInArrow(explode, SCHEMA)).mapInArrow(pairs_step, SCHEMA)
-    counted = map_batches(words, count_rows, SCHEMA)
     scored = together(paired.unionByName(counted)).mapInArrow(words_step, SCHEMA)
     sums = together(scored.where(F.col("kind") == SUMS)).mapInArrow(add_up, "doc_id long, logprob_micro long, n_words long")
     mean = F.col("logprob_micro") / F.lit(1e6) / F.col("n_words")
