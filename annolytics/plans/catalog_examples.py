@@ -202,6 +202,13 @@ def c2c(t: Tables) -> DataFrame:
     return C.check_corrections(rows).select("doc_id", "correction.type", "correction.subtype", "correction.confidence", "correction.description")
 
 
+_open = " OR ".join(f"contains(a, '{w}')" for w in [*RULES.DR_WORDS, *RULES.AMD_WORDS, *RULES.HEALTHY_WORDS])
+for _wanted, _where in (("B", f" AND ({_open})"), ("E", "")):
+    @query(f"p3_filter_type_{_wanted.lower()}", f"WITH {SHIPPED_SQL} SELECT doc_id, {_medical['subtype']} AS subtype FROM sh WHERE {_medical['type']} IS NOT NULL{_where}")
+    def _filtered(t: Tables, wanted: str = _wanted) -> DataFrame:
+        return P.filter_by_type(C.classify(shipped_documents(t), expand=False), wanted).select("doc_id", F.col("label.subtype").alias("subtype"))
+
+
 # Tool results built from events: grade, lesion shares, risk level, cup ratios and confidences.
 def tool_results(t: Tables) -> DataFrame:
     v, u, e = F.col("value"), F.col("user_id"), F.col("event_id")
