@@ -32,7 +32,7 @@ from annolytics.session import materialize
 
 from .words import add_columns, map_batches, text_bytes
 
-CACHED_WORDS = 800_000  # in each Python worker, about 150 MB
+CACHED_WORDS = 500_000  # in each Python worker, about 90 MB
 LONGEST_CACHED = 64
 TEXTS_AT_ONCE = 64
 #: Punctuation at the end of a word is always a token of its own; no apostrophes, as these may start one.

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+BATCH_ROWS = 2000  # of texts in an Arrow batch
 SLICE_BYTES = 1 << 20  # texts are hashed together in slices of about this size
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: ASCII letters and digits and everything beyond ASCII make words; the rest separates them.
@@ -111,6 +112,15 @@ def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after making sure that the session's Arrow batches have at most ``BATCH_ROWS`` rows: a batch of
+    texts is held by the executor and by its Python worker at once."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: T.StructType | str) -> DataFrame:
     """Rows made from Arrow batches; ``fn`` yields dicts of column lists or arrays."""
     out = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
@@ -125,7 +135,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
                     [c if isinstance(c := cols[f.name], (pa.Array, pa.ChunkedArray)) and c.type == f.type else pa.array(c, f.type) for f in arrow], schema=arrow
                 )
 
-    return df.mapInArrow(run, out)
+    return small_batches(df).mapInArrow(run, out)
 
 
 def grouped(batches, keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -184,4 +194,4 @@ def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], added: str)
             made = [pa.array(cols[f.name], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *made], names=[*kept, *arrow.names])
 
-    return df.mapInArrow(run, out)
+    return small_batches(df).mapInArrow(run, out)
