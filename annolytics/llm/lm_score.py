@@ -10,7 +10,7 @@ scored. Pairs that are too rare are dealt again, by their second word, and meet
 both steps find is summed per document. On the way rows travel in packed columns, one for each bucket.
 
 Frequent keys never meet in one task. Words with more than 1 / ``HOT`` of all words are at most ``HOT`` words;
-so are pairs. Their counts are broadcast: hot pairs are scored where the document is read, rare pairs with a
+pairs with more than 1 / ``HOT_PAIRS`` are as few, and both their words are at least as frequent. Their counts are broadcast: hot pairs are scored where the document is read, rare pairs with a
 hot second word are scored without the second step, and pairs with a hot first word are dealt by the whole
 pair.
 
@@ -33,6 +33,7 @@ from annolytics.session import materialize
 from .words import ALNUM, grouped, hashed_words, map_batches, mix, text_bytes
 
 HOT = 1 << 16
+HOT_PAIRS = 1 << 12
 ALPHA = 0.4
 AT_ONCE = 1 << 20  # pairs that a task combines at a time
 BUCKETS_PER_PARTITION = 8
@@ -175,8 +176,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_count
     total = map_batches(counted, lambda b: word_counts(b, 1 << 62), "key long, n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = total // HOT
     hot_words = spark.sparkContext.broadcast(_collected(map_batches(counted, lambda b: word_counts(b, least), "key long, n long").where("key IS NOT NULL")))
-    both_hot = _counted(rows, lambda w: pair_key(w[:-1], w[1:])[(hot_words.value(w[:-1]) > 0) & (hot_words.value(w[1:]) > 0)])
-    hot_pairs = spark.sparkContext.broadcast(_collected(both_hot.where((F.col("n") * HOT > total) & (F.col("n") >= min_count))))
+    rarest = total // HOT_PAIRS
+    both_hot = _counted(rows, lambda w: pair_key(w[:-1], w[1:])[np.minimum(hot_words.value(w[:-1]), hot_words.value(w[1:])) > rarest])
+    hot_pairs = spark.sparkContext.broadcast(_collected(both_hot.where((F.col("n") > rarest) & (F.col("n") >= min_count))))
 
     def explode(batches):
         def flush():
