@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lm_score, ngram_join, packing, quality, suffix_dedup, topk, url_filter
+from . import alignment, chat, decontaminate, langid, lm_score, ngram_join, packing, quality, spelling, suffix_dedup, token_counts, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,3 +180,48 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(found, "doc_id", "left").select(
         "doc_id", words("spans").alias("n_repeated"), words("later").alias("n_cut"), (words("spans") > 0).alias("repeated"), "spans", "later"
     )
+
+
+@query(
+    "op11_spelling_variants",
+    r"""
+    WITH RECURSIVE runs AS (SELECT doc_id, r, count(*) AS c FROM (SELECT doc_id,
+            unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS r FROM documents WHERE text IS NOT NULL)
+        WHERE length(r) >= 7 GROUP BY ALL),
+    points AS (SELECT r, c, list_transform(range(1, length(k) + 1), lambda i: unicode(substr(k, i, 1))) AS p FROM (SELECT *, CAST(doc_id AS VARCHAR) || ':' || r AS k FROM runs)),
+    bytes AS (SELECT r, c, flatten(list_transform(p, lambda x: CASE WHEN x < 128 THEN [x] ELSE [195, x - 64] END)) AS b FROM points),
+    hashes AS (SELECT r, c, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(b, lambda x: [(x & 15)::BIGINT, (x >> 4)::BIGINT]))),
+        lambda s, x: xor(s >> 4, ([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::BIGINT[])[(xor(s, x) & 15) + 1]))) AS h FROM bytes),
+    v AS (SELECT w, CAST(sum(c) AS BIGINT) AS n FROM (SELECT c, CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w FROM hashes)
+        WHERE length(w) >= 7 GROUP BY w HAVING sum(c) >= 2),
+    cuts AS (SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS d FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM v)),
+    near AS (SELECT a.w AS word, a.n, b.w AS form, b.n AS form_n FROM cuts a JOIN cuts b ON a.d = b.d AND a.i = b.i AND a.w <> b.w
+        UNION SELECT a.w, a.n, b.w, b.n FROM cuts a JOIN v b ON a.d = b.w UNION SELECT b.w, b.n, a.w, a.n FROM cuts a JOIN v b ON a.d = b.w),
+    numbers AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
+    forms AS (SELECT word, form, form_n FROM near WHERE form_n >= 10 * n QUALIFY row_number() OVER (PARTITION BY word ORDER BY form_n DESC, form) = 1),
+    chains AS (SELECT word, form, form_n FROM forms UNION ALL SELECT c.word, f.form, f.form_n FROM chains c JOIN forms f ON c.form = f.word),
+    roots AS (SELECT word, max_by(form, form_n) AS root FROM chains GROUP BY word)
+    SELECT v.w AS word, form, coalesce(root, v.w) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+    FROM v LEFT JOIN numbers ON v.w = numbers.word LEFT JOIN forms ON v.w = forms.word LEFT JOIN roots ON v.w = roots.word
+    """,
+)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.word_runs(table(spark, sf_dir, "documents"), min_length=7)
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "word").cast("binary"))
+    place = (h % F.length("word")).cast("int")
+    cut = F.concat(F.substring("word", F.lit(1), place), F.substring("word", place + 2, F.length("word")))
+    words = runs.select(F.when(h % 31 == 0, cut).otherwise(F.col("word")).alias("word"))
+    return spelling.variants(spelling.vocabulary(words, min_length=7, min_count=2), factor=10)
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = alignment.align(table(spark, sf_dir, "documents"), *files)
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return alignment.count_links(aligned.withColumn("groups_sha256", digest).drop("groups"))
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
