@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ from .recent import Recent
 from .words import map_batches
 
 LOT_CHARS = 1 << 20
-CHUNKS = 150_000  # recent distinct chunks, in each of two generations
+CHUNKS = 300_000  # recent distinct chunks, in each of two generations
 LONGEST_KEPT = 48
 HOT_PAIRS = 1 << 19
 ID_BITS = 20
@@ -80,31 +82,31 @@ class Sides:
         for at in range(0, len(chunks), 4096):
             part = chunks[at : at + 4096]
             first = self.a.encode_batch([" " + c for c in part], add_special_tokens=False)
-            for chunk, a, b in zip(part, first, self.b.encode(part, num_threads=1)):
-                raw = (" " + chunk).encode()
-                same = b"".join([self.a_bytes[i] for i in a.ids]) == raw == b"".join([self.b_bytes[i] for i in b])
-                yield chunk, (np.asarray(a.ids, "<u4").tobytes(), np.asarray(b, "<u4").tobytes()) if same else None
-
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """Little-endian 32-bit ids of both sides of a text, both empty if the text cannot be aligned."""
-        if not text:
-            return b"", b""
-        chunks = _CUT.split(text) if self.by_chunk else [text]
-        known = self.recent.with_all(set(chunks), self._encode)
-        found = [known[c] for c in chunks]
-        self.recent.drop(c for c in chunks if len(c) > LONGEST_KEPT)
-        if None in found:
-            return b"", b""
-        return b"".join([a for a, _ in found]), b"".join([b for _, b in found])
+            for chunk, a, b in zip(part, [e.ids for e in first], self.b.encode(part, num_threads=1)):
+                raw = f" {chunk}".encode()
+                same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+                yield chunk, (array("I", a).tobytes(), array("I", b).tobytes()) if same else None
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
+        """32-bit ids of both sides of each text, both empty if the text cannot be aligned."""
+        split = [(_CUT.split(t) if self.by_chunk else [t]) if t else [] for t in texts]
+        known = self.recent.with_all(set(chain.from_iterable(split)), self._encode)
+        for chunks in split:
+            found = [known[c] for c in chunks]
+            if None in found:
+                yield b"", b""
+            else:
+                yield b"".join([a for a, _ in found]), b"".join([b for _, b in found])
+        self.recent.drop(c for c in set(chain.from_iterable(split)) if len(c) > LONGEST_KEPT)
 
 
 class Lot:
     """Tokens of several documents, their links and groups."""
 
     def __init__(self, sides: Sides, texts: list[str | None]):
-        ids = [sides.encode(t) for t in texts]
+        ids = list(sides.encode(texts))
         self.n_a, self.n_b = (np.fromiter((len(x) // 4 for x in side), np.int64, len(texts)) for side in (list(zip(*ids)) or [(), ()]))
-        self.a, self.b = (np.frombuffer(b"".join(side), "<u4").astype(np.int64) for side in (list(zip(*ids)) or [(), ()]))
+        self.a, self.b = (np.frombuffer(b"".join(side), np.uint32).astype(np.int64) for side in (list(zip(*ids)) or [(), ()]))
         starts = [np.cumsum(size[side]) - size[side] for size, side in ((sides.a_size, self.a), (sides.b_size, self.b))]
         first, second = (pd.DataFrame({"at": s, "start": s, "token": np.arange(len(s))}) for s in starts)
         covering_b = pd.merge_asof(first[["at"]], second, on="at")
