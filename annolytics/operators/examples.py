@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import nonempty, pixel_scale, quality_verdict, scale_resolution
 from ..functions.text import contains_any
 from ..plans import rules as R
+from .ordering import rows_between
 
 # Field names accepted for each part of a flat record, in order of preference.
 QUESTION_KEYS = ["question", "Question", "q"]
@@ -66,12 +67,12 @@ def normalize_examples(df: DataFrame, pick: str = "first", keep: Sequence[str] =
 def slice_rows(
     df: DataFrame, order: Sequence[str], start: int = 0, end: int | None = None, batch: int | None = None
 ) -> DataFrame:
-    """Rows [start, end) in ``order``, then at most ``batch`` of them. ``end=0`` means no end."""
-    out = df.orderBy(*order)
-    if start:
-        out = out.offset(start)
+    """Rows [start, end) in ``order``, then at most ``batch`` of them, in no certain order. ``end=0`` means no end."""
     sizes = [n for n in ((end - start) if end else None, batch) if n is not None]
-    return out.limit(max(0, min(sizes))) if sizes else out
+    stop = start + min(sizes) if sizes else None
+    if stop is not None and stop <= start:
+        return df.limit(0)
+    return rows_between(df, order, start, stop) if start or stop is not None else df
 
 
 def filter_by_type(df: DataFrame, wanted: str | None, expanded: str = "answer_text", label: str = "label") -> DataFrame:

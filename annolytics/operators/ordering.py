@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BUCKET_DIGITS = 4  # 65,536 buckets of a uniform hash
 BLOCK = 8192  # positions per neighbour-window block
+SAMPLED = 16  # random rows per range bucket that its bounds are taken from
 
 
 def hash_order(seed: int, *keys: str) -> Column:
@@ -77,7 +77,9 @@ def hash_cuts(
         edge = counts.where((F.col("__cum") >= want) & (F.col("__cum") - F.col("__n") < want)).select(
             *by, "__b", (want - F.col("__cum") + F.col("__n")).alias("__need")
         )
-        ranked = _null_safe(keyed, edge, [*by, "__b"], "inner").withColumn(
+        # at most 65,536 bucket numbers: rows of other buckets stay where they are
+        near = keyed.join(F.broadcast(edge.select("__b").distinct()), "__b", "left_semi")
+        ranked = _null_safe(near, edge, [*by, "__b"], "inner").withColumn(
             "__rn", F.row_number().over(group.orderBy("__o"))
         )
         cut = ranked.where(F.col("__rn") == F.col("__need")).select(*by, F.col("__o").alias(name))
@@ -96,20 +98,94 @@ def with_cuts(
     return attach_row(base, cuts)
 
 
-def with_range_bucket(df: DataFrame, value: Column, name: str = "__b", buckets: int | None = None):
-    """Bucket number of a numeric order value; bounds are literals, so every use sees the same ones."""
+def entire(df: DataFrame) -> DataFrame:
+    """``df`` with all columns computed, whichever of them are used later: branches that need different columns
+    then have the same exchange below them, which runs once."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__row")).select("__row.*")
+
+
+def order_bounds(df: DataFrame, order: Sequence[Column], buckets: int) -> DataFrame:
+    """One row: ``bounds``, up to ``buckets - 1`` ascending values of ``order`` (structs o0, o1, ...) between which
+    about equally many rows lie.
+
+    They are quantiles of one random row for each class of a hash, the row with the smallest hash. This combines
+    before the shuffle, takes one pass and no job while the plan is built, and ties in the first column are parted
+    by the next ones. It depends on the rows alone: every use and every retry sees the same bounds, which random
+    sketches do not promise.
+    """
+    names = [f"o{i}" for i in range(len(order))]
+    rows = df.select(*[c.alias(n) for c, n in zip(order, names)]).withColumn("__h", F.xxhash64(*names))
+    sampled = rows.groupBy(F.pmod("__h", F.lit(SAMPLED * buckets)).alias("__c")).agg(*[F.min_by(n, "__h").alias(n) for n in names])
+    listed = sampled.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("s"))
+    at = lambda i: F.get("s", F.floor(i * F.size("s") / buckets).cast("int"))
+    quantiles = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), at)
+    return listed.select(F.array_distinct(F.filter(quantiles, lambda q: q.isNotNull())).alias("bounds"))
+
+
+def _bucket(bounds: Column, key: Column, buckets: int) -> Column:
+    """How many of the ascending ``bounds`` are not above ``key``, by binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(buckets.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(bounds, n + step - 1) <= key, step).otherwise(0))
+
+
+def with_range_bucket(df: DataFrame, order: Sequence[Column], name: str = "__b", buckets: int | None = None) -> DataFrame:
+    """``df`` plus the number of its range bucket along ``order``; nulls come first."""
     if buckets is None:
         buckets = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = df.withColumn("__v", F.coalesce(value.cast("double"), F.lit(float("nan"))))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(keyed.where(~F.isnan("__v")).approxQuantile("__v", probs, 0.25 / buckets)))
-    splits = [float("-inf"), *bounds, float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="__v", outputCol=name, handleInvalid="keep").transform(
-        keyed
-    )
-    return bucketed.withColumn(name, F.col(name).cast("int")).drop("__v")
+    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    placed = attach_row(df.withColumn("__key", key), order_bounds(df, order, buckets))
+    return placed.withColumn(name, _bucket(F.col("bounds"), F.col("__key"), buckets)).drop("bounds", "__key")
+
+
+def _row_at(keys: DataFrame, buckets: int, levels: int) -> DataFrame:
+    """The key at a position: ``keys`` has ``__key`` and, the same in all rows, its 0-based position ``__p``. One
+    row with ``key`` and ``skip``, the number of equal keys before that position; none if there are fewer keys.
+
+    An order-statistics table: one count per range bucket tells which bucket holds the position. Only its rows
+    go on to the next level, and only those of the last level's bucket are ranked.
+    """
+    for _ in range(levels):
+        b = attach_row(keys, order_bounds(keys, [F.col("__key")], buckets))
+        b = b.select("__key", "__p", _bucket(F.col("bounds"), F.struct(F.col("__key").alias("o0")), buckets).alias("__b"))
+        counts = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"), F.max("__p").alias("__p"))
+        earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+        before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+        hit = before.where((F.col("__p") >= F.col("__before")) & (F.col("__p") < F.col("__before") + F.col("__n")))
+        hit = hit.select(F.col("__b").alias("__hit"), F.col("__before").alias("__less"))
+        keys = attach_row(b, hit).where("__b = __hit").select("__key", (F.col("__p") - F.col("__less")).alias("__p"))
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__key")) - 1  # of one small bucket
+    equal = F.row_number().over(Window.partitionBy("__key").orderBy("__key")) - 1
+    ranked = keys.withColumns({"__rank": rank, "__first": F.col("__p")}).withColumn("__first", F.min("__rank").over(Window.partitionBy("__key")))
+    return ranked.where(F.col("__rank") == F.col("__p")).select(F.col("__key").alias("key"), (F.col("__p") - F.col("__first")).alias("skip"))
+
+
+def rows_between(df: DataFrame, order: Sequence[str], start: int, stop: int | None, buckets: int = 512, levels: int = 2) -> DataFrame:
+    """Rows whose position in ``order`` is in [start, stop); no ``stop``: to the last. They come in no certain order.
+
+    The keys at both positions are found with an order-statistics table (``_row_at``); the slice then is a filter
+    between two keys, without a sort or a shuffle of its rows. Ties in ``order`` go by a hash of the whole row. Only
+    rows that equal the one at an edge in all columns are numbered, to keep the right number of them.
+    """
+    key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.xxhash64(*df.columns).alias("h"))
+    none = df.limit(0).select(key.alias("key"), F.lit(0).cast("long").alias("skip"))
+
+    def edge(position: int | None) -> DataFrame:
+        if not position:
+            return none
+        return _row_at(df.select(key.alias("__key"), F.lit(position).cast("long").alias("__p")), buckets, levels)
+
+    first = edge(start).select(F.col("key").alias("__k1"), F.col("skip").alias("__s1"))
+    last = edge(stop).select(F.col("key").alias("__k2"), F.col("skip").alias("__s2"))
+    rows = attach_row(attach_row(df.withColumn("__key", key), first), last)
+    behind = F.col("__key") > F.col("__k1") if start else F.lit(True)
+    ahead = F.coalesce(F.col("__key") < F.col("__k2"), F.lit(True))
+    inner = rows.where(behind & ahead).select(*df.columns)
+    at_edge = (F.col("__key") == F.col("__k1")) | (F.col("__key") == F.col("__k2"))
+    number = F.row_number().over(Window.partitionBy("__key").orderBy("__key")) - 1
+    equal = rows.where(at_edge).withColumn("__i", number)
+    from_first = F.coalesce((F.col("__key") != F.col("__k1")) | (F.col("__i") >= F.col("__s1")), F.lit(not start))
+    upto_last = F.coalesce((F.col("__key") != F.col("__k2")) | (F.col("__i") < F.col("__s2")), F.lit(True))
+    return inner.unionByName(equal.where(from_first & upto_last).select(*df.columns))
 
 
 def _bucket_offsets(b: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
@@ -123,8 +199,8 @@ def _bucket_offsets(b: DataFrame, by: Sequence[str], sums: dict[str, Column]) ->
 def running_sums(
     df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str], buckets: int | None = None
 ) -> DataFrame:
-    """Inclusive prefix sums along a numeric ``order`` (unique within a group)."""
-    b = with_range_bucket(df, F.col(order), buckets=buckets).withColumn("__k", group_key([*by, "__b"]))
+    """Inclusive prefix sums along ``order`` (unique within a group)."""
+    b = with_range_bucket(entire(df), [F.col(order)], buckets=buckets).withColumn("__k", group_key([*by, "__b"]))
     offsets = _bucket_offsets(b, by, {f"__p_{c}": F.sum(c) for c in sums.values()})
     inside = Window.partitionBy("__k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = b.select("*", *[F.sum(c).over(inside).alias(f"__s_{c}") for c in sums.values()])
@@ -136,13 +212,12 @@ def running_sums(
 def dense_rank_in_group(
     df: DataFrame,
     by: Sequence[str],
-    value: Column,
     order: Sequence[Column],
     name: str = "seq",
     buckets: int | None = None,
 ) -> DataFrame:
-    """0-based position inside each group; ``value`` is the numeric form of ``order[0]``."""
-    b = with_range_bucket(df, value, buckets=buckets).withColumn("__k", group_key([*by, "__b"]))
+    """0-based position inside each group, along ascending ``order`` (unique within a group)."""
+    b = with_range_bucket(df, order, buckets=buckets).withColumn("__k", group_key([*by, "__b"]))
     offsets = _bucket_offsets(b, by, {"__p": F.count(F.lit(1))})
     local = b.withColumn("__rn", F.row_number().over(Window.partitionBy("__k").orderBy(*order)))
     return local.join(offsets, "__k").select(

@@ -220,7 +220,7 @@ def path_points(t: Tables) -> DataFrame:
         F.col("user_id").alias("image"), F.col("event_type").alias("vessel"), "event_id", micros.alias("us"),
         F.col("value").alias("y"),
     )
-    seq = dense_rank_in_group(rows, ["image", "vessel"], F.col("us"), [F.col("us"), F.col("event_id")])
+    seq = dense_rank_in_group(rows, ["image", "vessel"], [F.col("us"), F.col("event_id")])
     return seq.select("image", "vessel", "seq", (F.col("us") / 3600000000.0).alias("x"), "y")
 
 

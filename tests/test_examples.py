@@ -32,9 +32,11 @@ def test_pick_policies(records, rows):
 
 def test_slice_end_zero_means_no_end(spark):
     df = spark.range(10)
-    assert [r.id for r in P.slice_rows(df, ["id"], 3, 0).collect()] == list(range(3, 10))
-    assert [r.id for r in P.slice_rows(df, ["id"], 3, 8, 2).collect()] == [3, 4]
-    assert [r.id for r in P.slice_rows(df, ["id"], 0, 4).collect()] == [0, 1, 2, 3]
+    ids = lambda *bounds: sorted(r.id for r in P.slice_rows(df, ["id"], *bounds).collect())
+    assert ids(3, 0) == list(range(3, 10))
+    assert ids(3, 8, 2) == [3, 4]
+    assert ids(0, 4) == [0, 1, 2, 3]
+    assert ids(4, 2) == [] and ids(0, 0) == list(range(10)) and ids(0, 0, 3) == [0, 1, 2]
 
 
 CASES = [

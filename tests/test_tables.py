@@ -86,7 +86,7 @@ def test_ranks_and_sums_with_a_hot_group(spark, buckets):
     rng = np.random.default_rng(0)
     data = [("hot" if i % 3 else f"g{i % 7}", float(rng.integers(0, 200)), i) for i in range(900)]
     df = spark.createDataFrame(data, "g string, v double, id int")
-    got = {r.id: r.seq for r in O.dense_rank_in_group(df, ["g"], F.col("v"), [F.col("v"), F.col("id")], buckets=buckets).collect()}
+    got = {r.id: r.seq for r in O.dense_rank_in_group(df, ["g"], [F.col("v"), F.col("id")], buckets=buckets).collect()}
     for g in {d[0] for d in data}:
         order = sorted((v, i) for h, v, i in data if h == g)
         assert [got[i] for _, i in order] == list(range(len(order)))
@@ -95,6 +95,50 @@ def test_ranks_and_sums_with_a_hot_group(spark, buckets):
     assert all(s == sum(1 for h, w, _ in data if h == g and w <= v) for (g, v), s in sums.items())
 
 
+def test_ties_are_parted_by_the_next_column(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.col("id") / 100).alias("v"), "id").repartition(3)
+    sizes = [r["count"] for r in O.with_range_bucket(df, [F.col("v"), F.col("id")], buckets=16).groupBy("__b").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 4 * 4000 / 16  # two thirds of all rows have one value
+    with_gaps = spark.createDataFrame([(None, 1), (float("nan"), 2), (1.0, 3), (2.0, 4)], "v double, id int")
+    got = {r.id: r["__b"] for r in O.with_range_bucket(with_gaps, [F.col("v")], buckets=4).collect()}
+    assert got[1] <= got[3] <= got[4] <= got[2] and len(set(got.values())) == 4
+    assert O.with_range_bucket(df.where("false"), [F.col("v")], buckets=4).count() == 0
+
+
+def test_order_statistics(spark):
+    rng = np.random.default_rng(4)
+    data = [(int(rng.integers(0, 40)), None if i % 11 == 0 else f"s{i % 5}", i) for i in range(700)] + [(7, "s1", -1)] * 60
+    df = spark.createDataFrame(data, "a int, b string, id int").repartition(4)
+    first = lambda v: (v[0], v[1] is not None, v[1] or "")
+    order = sorted(map(first, data))
+    for start, stop in ((0, 10), (100, 140), (690, None), (0, 9999), (9999, None), (350, 351)):
+        rows = O.rows_between(df, ["a", "b"], start, stop, buckets=6, levels=2).collect()
+        assert sorted(first(r) for r in rows) == order[start:stop]
+    at = order.index((7, True, "s1"))
+    n = order.count((7, True, "s1"))
+    slices = [O.rows_between(df, ["a", "b"], i, j, buckets=4, levels=1).collect() for i, j in ((at, at + n // 2), (at + n // 2, at + n))]
+    assert sorted(tuple(r) for part in slices for r in part) == sorted(d for d in data if d[:2] == (7, "s1"))
+    assert O.rows_between(df.where("false"), ["a"], 3, None).count() == 0
+
+
+def test_plans_without_jobs_sorts_or_single_tasks(spark, capsys):
+    from annolytics.operators import examples as P
+    from annolytics.operators import metrics as M
+    from annolytics.operators import stats as S
+
+    df = spark.range(1000).select("id", (F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 2 == 0).alias("pos"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.jobsList(None).size()
+    built = [
+        P.slice_rows(df, ["x"], 100, 0), M.auc(df, "x", F.col("pos")), S.ks_exact(df, "x", F.col("pos"), []), S.exact_median(df, "x"),
+        O.dense_rank_in_group(df, ["pos"], [F.col("x"), F.col("id")]), D.stratified_split(df, "pos", "id", 0.2), D.halve(df, "id"),
+    ]
+    assert store.jobsList(None).size() == before
+    built[0].explain()
+    plan = capsys.readouterr().out
+    assert "rangepartitioning" not in plan and "GlobalLimit" not in plan and "TakeOrdered" not in plan
+
+
 @pytest.mark.parametrize("tile", [3, 7, 100])
 def test_components_across_tiles(spark, tile):
     rng = np.random.default_rng(6)
