@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import col
+from .phrases import Hits
 
 OPTION_LETTERS = "ABCDEFGH"
 
@@ -21,12 +22,16 @@ def py_strip(c: Column) -> Column:
 
 
 def _option_text(question: Column, letter: Column) -> Column:
-    """Text after ``X:`` or, failing that, ``X)`` up to the line end; null when neither occurs."""
-    def after(mark: str) -> Column:
-        pattern = F.concat(F.lit("(?iU)"), letter, F.lit(mark + r"\s*([^\n]+)"))
-        return F.get(F.regexp_extract_all(question, pattern, 1), F.lit(0))
+    """Text after ``X:`` or, failing that, ``X)`` up to the line end; null when neither occurs. Each letter has a
+    pattern of its own, so that it is compiled once and not for every row."""
+    def after(x: str, mark: str) -> Column:
+        return F.get(F.regexp_extract_all(question, F.lit(rf"(?iU){x}{mark}\s*([^\n]+)"), 1), F.lit(0))
 
-    return F.lower(py_strip(F.coalesce(after(":"), after(r"\)"))))
+    found = None
+    for x in OPTION_LETTERS:
+        text = F.coalesce(after(x, ":"), after(x, r"\)"))
+        found = F.when(letter == x, text) if found is None else found.when(letter == x, text)
+    return F.lower(py_strip(found))
 
 
 def expand_answer(question: str | Column, answer: str | Column) -> Column:
@@ -50,30 +55,41 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
     return hit
 
 
-def _condition(where: str, mode: str, words: Sequence[str], q: Column, a: Column) -> Column:
-    texts = [t for name, t in (("a", a), ("q", q)) if name in where]
-    hit = contains_any(texts[0], words)
-    for t in texts[1:]:
-        hit = hit | contains_any(t, words)
-    return ~hit if mode == "none" else hit
+def rule_phrases(rules: Sequence[dict]) -> list[str]:
+    """All phrases that conditions, boosts and word groups of ``rules`` look for."""
+    found = []
+    for rule in rules:
+        for _, _, words in [*rule["when"], *([rule["boost"][0]] if "boost" in rule else [])]:
+            found.extend(words)
+        for words in rule.get("detect", {}).values():
+            found.extend(words)
+    return list(dict.fromkeys(found))
 
 
-def rule_number(q_lower: str | Column, a_lower: str | Column, rules: Sequence[dict]) -> Column:
-    """Position of the first rule whose conditions all hold; null when none does."""
-    q, a = col(q_lower), col(a_lower)
+def _condition(where: str, mode: str, words: Sequence[str], hits: Hits) -> Column:
+    found = None
+    for name in ("a", "q"):
+        if name in where:
+            found = hits(name, words) if found is None else found | hits(name, words)
+    return ~found if mode == "none" else found
+
+
+def rule_number(hits: Hits, rules: Sequence[dict]) -> Column:
+    """Position of the first rule whose conditions all hold; null when none does. ``hits`` tells of phrases in the
+    lower-cased question ``q`` and answer ``a``."""
     chain = None
     for number, rule in enumerate(rules):
         holds = None
-        for where, mode, words in rule["when"]:
-            part = _condition(where, mode, words, q, a)
+        for condition in rule["when"]:
+            part = _condition(*condition, hits)
             holds = part if holds is None else holds & part
         chain = F.when(holds, number) if chain is None else chain.when(holds, number)
     return chain
 
 
-def rule_label(number: str | Column, q_lower: str | Column, a_lower: str | Column, rules: Sequence[dict]) -> Column:
+def rule_label(number: str | Column, hits: Hits, rules: Sequence[dict]) -> Column:
     """struct(type, subtype, confidence, description) of rule ``number``; null for no rule."""
-    n, q, a = col(number), col(q_lower), col(a_lower)
+    n = col(number)
 
     def lookup(value) -> Column:
         chain = None
@@ -85,14 +101,14 @@ def rule_label(number: str | Column, q_lower: str | Column, a_lower: str | Colum
     def confidence(rule: dict) -> Column:
         base = F.lit(float(rule["confidence"]))
         if "boost" in rule:
-            (where, mode, words), high = rule["boost"]
-            base = F.when(_condition(where, mode, words, q, a), float(high)).otherwise(base)
+            condition, high = rule["boost"]
+            base = F.when(_condition(*condition, hits), float(high)).otherwise(base)
         return base
 
     def description(rule: dict) -> Column:
         text = F.lit(rule["description"])
         if "detect" in rule:
-            names = [F.when(contains_any(a, words), name) for name, words in rule["detect"].items()]
+            names = [F.when(hits("a", words), name) for name, words in rule["detect"].items()]
             text = F.concat(text, F.concat_ws(", ", *names))
         return text
 

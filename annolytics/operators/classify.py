@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, expand_answer, rule_label, rule_number
+from ..functions.phrases import Phrases
+from ..functions.text import expand_answer, rule_label, rule_number, rule_phrases
 from ..plans import rules as R
 from .examples import may_become_correction
 from .ordering import attach_row, once
@@ -22,19 +23,27 @@ def classify(
 ) -> DataFrame:
     """Adds ``answer_text`` (options expanded, lower case), ``label`` struct or null.
 
-    Lower-cased texts and the rule number are each computed once per row, also under later filters on
-    the label.
+    Lower-cased texts, the phrases in them and the rule number are each computed once per row, also under
+    later filters on the label. Each text is read once for all rules.
     """
     text = expand_answer(question, answer) if expand else F.lower(F.col(answer))
     lowered = once(df, __q=F.lower(F.col(question)), answer_text=text)
-    numbered = once(lowered, __rule=rule_number("__q", "answer_text", rules))
-    return numbered.withColumn("label", rule_label("__rule", "__q", "answer_text", rules)).drop("__q", "__rule")
+    return _apply_rules(lowered, "answer_text", rules, "label").drop("__q")
+
+
+def _apply_rules(df: DataFrame, answer_text: str, rules: Sequence[dict], name: str) -> DataFrame:
+    """``df`` plus the label struct of the first rule that holds for ``__q`` and ``answer_text``."""
+    phrases = Phrases(rule_phrases(rules))
+    found = df.withColumns({"__hits_q": phrases.find("__q"), "__hits_a": phrases.find(answer_text)})
+    hits = phrases.hits({"q": "__hits_q", "a": "__hits_a"})
+    numbered = once(found, __rule=rule_number(hits, rules))
+    return numbered.withColumn(name, rule_label("__rule", hits, rules)).drop("__hits_q", "__hits_a", "__rule")
 
 
 def check_corrections(df: DataFrame, question: str = "question", answer_text: str = "answer_text") -> DataFrame:
     """The correction (B) rules on their own, as ``correction`` struct or null."""
-    n = once(once(df, __q=F.lower(F.col(question))), __rule=rule_number("__q", answer_text, R.CORRECTION_RULES))
-    return n.withColumn("correction", rule_label("__rule", "__q", answer_text, R.CORRECTION_RULES)).drop("__q", "__rule")
+    lowered = once(df, __q=F.lower(F.col(question)))
+    return _apply_rules(lowered, answer_text, R.CORRECTION_RULES, "correction").drop("__q")
 
 
 def gate_types(
@@ -125,24 +134,28 @@ def distribution_gap(df: DataFrame, target: dict[str, float] = R.TARGET_SHARES,
     )
 
 
-def extract_evidence(df: DataFrame, results: str = "tool_results", name: str = "evidence") -> DataFrame:
-    """``results`` is a VARIANT column (use ``parse_json`` on text)."""
-    from ..functions.evidence import evidence
+def extract_evidence(df: DataFrame, results: str = "tool_results", name: str = "evidence", text: str | None = None) -> DataFrame:
+    """``results`` is a VARIANT column (use ``parse_json`` on text); ``text``, the same as JSON text, keeps the
+    order of tasks, which VARIANT sorts by name."""
+    from ..functions.evidence import evidence, read_results
 
-    return once(df, **{name: evidence(results)})
+    read = once(df, __read=read_results(results))
+    return once(read, **{name: evidence(results, "__read", text)}).drop("__read")
 
 
 def adjust_labels(
-    df: DataFrame, label: str = "label", answer_text: str = "answer_text", ev: str = "evidence"
+    df: DataFrame, label: str = "label", answer_text: str = "answer_text", ev: str = "evidence", truth: str | None = None
 ) -> DataFrame:
-    """Adds ``final_label``, ``initial_label`` and ``reason`` (null when nothing was changed)."""
-    from ..functions.evidence import relabel
+    """Adds ``initial_label``, ``final_label`` and, where a rule changed it, the ``rule``, its ``reason`` and what
+    that rests on (``reason_evidence``, with the answer as in ``truth``); else these three are null."""
+    from ..functions.evidence import reason_evidence, relabel
 
-    changed = df.withColumn("__new", relabel(label, answer_text, ev))
+    changed = once(df, __new=relabel(label, answer_text, ev))
     new = F.col("__new")
     return changed.select(
         *df.columns, F.col(label).alias("initial_label"),
         F.when(new.isNotNull(), F.struct(*[new[f].alias(f) for f in ("type", "subtype", "confidence", "description")]))
         .otherwise(F.col(label)).alias("final_label"),
-        new["reason"].alias("reason"),
+        new["rule"].alias("rule"), new["reason"].alias("reason"),
+        reason_evidence(new["rule"], truth or answer_text, ev).alias("reason_evidence"),
     )

@@ -133,59 +133,8 @@ def with_range_bucket(df: DataFrame, order: Sequence[Column], name: str = "__b",
     if buckets is None:
         buckets = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    placed = attach_row(df.withColumn("__key", key), order_bounds(df, order, buckets))
-    return placed.withColumn(name, _bucket(F.col("bounds"), F.col("__key"), buckets)).drop("bounds", "__key")
-
-
-def _row_at(keys: DataFrame, buckets: int, levels: int) -> DataFrame:
-    """The key at a position: ``keys`` has ``__key`` and, the same in all rows, its 0-based position ``__p``. One
-    row with ``key`` and ``skip``, the number of equal keys before that position; none if there are fewer keys.
-
-    An order-statistics table: one count per range bucket tells which bucket holds the position. Only its rows
-    go on to the next level, and only those of the last level's bucket are ranked.
-    """
-    for _ in range(levels):
-        b = attach_row(keys, order_bounds(keys, [F.col("__key")], buckets))
-        b = b.select("__key", "__p", _bucket(F.col("bounds"), F.struct(F.col("__key").alias("o0")), buckets).alias("__b"))
-        counts = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"), F.max("__p").alias("__p"))
-        earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-        before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-        hit = before.where((F.col("__p") >= F.col("__before")) & (F.col("__p") < F.col("__before") + F.col("__n")))
-        hit = hit.select(F.col("__b").alias("__hit"), F.col("__before").alias("__less"))
-        keys = attach_row(b, hit).where("__b = __hit").select("__key", (F.col("__p") - F.col("__less")).alias("__p"))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__key")) - 1  # of one small bucket
-    equal = F.row_number().over(Window.partitionBy("__key").orderBy("__key")) - 1
-    ranked = keys.withColumns({"__rank": rank, "__first": F.col("__p")}).withColumn("__first", F.min("__rank").over(Window.partitionBy("__key")))
-    return ranked.where(F.col("__rank") == F.col("__p")).select(F.col("__key").alias("key"), (F.col("__p") - F.col("__first")).alias("skip"))
-
-
-def rows_between(df: DataFrame, order: Sequence[str], start: int, stop: int | None, buckets: int = 512, levels: int = 2) -> DataFrame:
-    """Rows whose position in ``order`` is in [start, stop); no ``stop``: to the last. They come in no certain order.
-
-    The keys at both positions are found with an order-statistics table (``_row_at``); the slice then is a filter
-    between two keys, without a sort or a shuffle of its rows. Ties in ``order`` go by a hash of the whole row. Only
-    rows that equal the one at an edge in all columns are numbered, to keep the right number of them.
-    """
-    key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.xxhash64(*df.columns).alias("h"))
-    none = df.limit(0).select(key.alias("key"), F.lit(0).cast("long").alias("skip"))
-
-    def edge(position: int | None) -> DataFrame:
-        if not position:
-            return none
-        return _row_at(df.select(key.alias("__key"), F.lit(position).cast("long").alias("__p")), buckets, levels)
-
-    first = edge(start).select(F.col("key").alias("__k1"), F.col("skip").alias("__s1"))
-    last = edge(stop).select(F.col("key").alias("__k2"), F.col("skip").alias("__s2"))
-    rows = attach_row(attach_row(df.withColumn("__key", key), first), last)
-    behind = F.col("__key") > F.col("__k1") if start else F.lit(True)
-    ahead = F.coalesce(F.col("__key") < F.col("__k2"), F.lit(True))
-    inner = rows.where(behind & ahead).select(*df.columns)
-    at_edge = (F.col("__key") == F.col("__k1")) | (F.col("__key") == F.col("__k2"))
-    number = F.row_number().over(Window.partitionBy("__key").orderBy("__key")) - 1
-    equal = rows.where(at_edge).withColumn("__i", number)
-    from_first = F.coalesce((F.col("__key") != F.col("__k1")) | (F.col("__i") >= F.col("__s1")), F.lit(not start))
-    upto_last = F.coalesce((F.col("__key") != F.col("__k2")) | (F.col("__i") < F.col("__s2")), F.lit(True))
-    return inner.unionByName(equal.where(from_first & upto_last).select(*df.columns))
+    placed = attach_row(df.withColumn("__order", key), order_bounds(df, order, buckets))
+    return placed.withColumn(name, _bucket(F.col("bounds"), F.col("__order"), buckets)).drop("bounds", "__order")
 
 
 def _bucket_offsets(b: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
@@ -225,6 +174,47 @@ def dense_rank_in_group(
     )
 
 
+def rows_between(df: DataFrame, order: Sequence[str], start: int, stop: int | None, buckets: int = 512) -> DataFrame:
+    """Rows whose position in ``order`` is in [start, stop); no ``stop``: to the last. They come in no certain order.
+
+    The keys at both positions are found with an order-statistics table: one count per range bucket tells which
+    buckets hold them, and only rows of these are ranked, in buckets of their own. The slice then is a filter
+    between two keys, without a sort or a shuffle of its rows. Ties in ``order`` go by a hash of the whole row. Only
+    rows that equal the one at an edge in all columns are numbered, to keep the right number of them.
+    """
+    edges = {"1": start, "2": stop}
+    key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.xxhash64(*df.columns).alias("h"))
+    keys = with_range_bucket(df.select(key.alias("__key")), [F.col("__key")], buckets=buckets)
+    counts = keys.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    table = counts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+
+    def holds(position: int | None) -> Column:
+        return (F.col("__before") <= position) & (F.col("__before") + F.col("__n") > position) if position else F.lit(False)
+
+    hits = table.agg(*[F.max(F.when(holds(p), F.struct("__b", "__before"))).alias(f"__hit{e}") for e, p in edges.items()])
+    near = attach_row(keys, hits)
+    before = F.coalesce(*[F.when(F.col("__b") == F.col(f"__hit{e}.__b"), F.col(f"__hit{e}.__before")) for e in edges])
+    near = near.withColumn("__before", before).where("__before IS NOT NULL").select("__key", F.col("__b").alias("__part"), "__before")
+    ranked = dense_rank_in_group(near, ["__part"], [F.col("__key")], "__at").withColumn("__at", F.col("__at") + F.col("__before"))
+    places = ranked.groupBy("__key").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"))
+
+    def edge(position: int | None) -> Column:
+        inside = F.lit(position).between(F.col("__first"), F.col("__last")) if position else F.lit(False)
+        return F.max(F.when(inside, F.struct(F.col("__key").alias("key"), (F.lit(position or 0) - F.col("__first")).alias("skip"))))
+
+    rows = attach_row(df.withColumn("__key", key), places.agg(*[edge(p).alias(f"__edge{e}") for e, p in edges.items()]))
+    this, first, last = F.col("__key"), F.col("__edge1"), F.col("__edge2")
+    behind = F.coalesce(this > first["key"], F.lit(not start))  # no key at the start: no rows, or all
+    ahead = F.coalesce(this < last["key"], F.lit(True))
+    inner = rows.where(behind & ahead).select(*df.columns)
+    equal = rows.where((this == first["key"]) | (this == last["key"]))
+    equal = equal.withColumn("__i", F.row_number().over(Window.partitionBy("__key").orderBy("__key")) - 1)
+    from_first = F.coalesce((this > first["key"]) | ((this == first["key"]) & (F.col("__i") >= first["skip"])), F.lit(not start))
+    upto_last = F.coalesce((this < last["key"]) | ((this == last["key"]) & (F.col("__i") < last["skip"])), F.lit(True))
+    return inner.unionByName(equal.where(from_first & upto_last).select(*df.columns))
+
+
 def in_blocks(
     df: DataFrame, seq: str = "seq", before: int = 0, after: int = 0, size: int = BLOCK
 ) -> DataFrame:

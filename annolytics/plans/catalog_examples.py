@@ -37,6 +37,11 @@ def p2(t: Tables) -> DataFrame:
     return P.slice_rows(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"], 100, 400, 50)
 
 
+@query("p2_slice_open", "SELECT event_id, event_type, user_id FROM events ORDER BY event_type, user_id, event_id OFFSET 500")
+def p2_open(t: Tables) -> DataFrame:
+    return P.slice_rows(t.events.select("event_id", "event_type", "user_id"), ["event_type", "user_id", "event_id"], 500, 0)
+
+
 @query("p3_filter_by_type", f"WITH {CLS_SQL} SELECT doc_id, subtype FROM cls WHERE type = 'D'")
 def p3(t: Tables) -> DataFrame:
     return P.filter_by_type(B.classified_documents(t), "D").select("doc_id", F.col("label.subtype").alias("subtype"))
@@ -236,23 +241,52 @@ CASE WHEN event_id % 2 = 0 THEN 'AMD_predict' END AS amd_features,
 CASE WHEN user_id % 3 >= 1 THEN 'dme_risk_assess' END AS dme_signs,
 CASE WHEN (value / 200 + value / 250) / 2 BETWEEN 0.5 AND 0.6 THEN (value / 200 + value / 250) / 2 END AS borderline_cdr,
 event_id % 12 >= 3 OR value / 9000 >= 0.02 OR value / 5000 >= 0.01 AS artefact,
-CASE WHEN event_id % 2 = 0 AND value / 300 < 0.6 THEN 'AMD_predict' END AS low_confidence FROM events)"""
-
-
-@query("c3_extract_evidence", f"WITH {EV_SQL} SELECT event_id, round(quality, 6) AS quality, dr_features, dr_grade, amd_features, dme_signs, round(borderline_cdr, 6) AS borderline_cdr, artefact, low_confidence FROM ev")
+CASE WHEN event_id % 2 = 0 AND value / 300 < 0.6 THEN 'AMD_predict' END AS low_confidence, value, user_id FROM events)"""
+
+
+@query("c3_extract_evidence", f"""WITH {EV_SQL} SELECT event_id, round(quality, 6) AS quality, dr_features AS dr_source, dr_grade, amd_features AS amd_source,
+dme_signs AS dme_source, round(borderline_cdr, 6) AS cdr_average, low_confidence AS low_tool,
+CASE WHEN dr_features = 'detect_lesions' THEN round(value / 5000, 6) END AS dr_hard, CASE WHEN dr_features = 'detect_lesions' THEN CAST(event_id % 12 AS DOUBLE) END AS dr_aneurysms,
+CASE WHEN dr_features = 'detect_lesions' THEN round(value / 9000, 6) END AS dr_bleeding, CASE WHEN dr_features = 'detect_lesions' THEN CAST(0 AS DOUBLE) END AS dr_soft,
+CASE WHEN dr_features = 'DR_Grading' THEN '中度' END AS dr_name, CASE WHEN dr_features = 'DR_Grading' THEN CAST(user_id % 5 AS INTEGER) END AS dr_class,
+CASE WHEN dr_features = 'DR_Grading' THEN round(value / 400, 6) END AS dr_confidence, CASE WHEN amd_features IS NOT NULL THEN round(value / 300, 6) END AS amd_confidence,
+CASE WHEN dme_signs IS NOT NULL THEN CAST(user_id % 3 AS VARCHAR) END AS dme_level, CASE WHEN borderline_cdr IS NOT NULL THEN round(value / 200, 6) END AS cdr_vertical,
+CASE WHEN artefact THEN CAST(event_id % 12 AS DOUBLE) END AS artefact_aneurysms, CASE WHEN artefact THEN round(value / 5000, 6) END AS artefact_hard,
+CASE WHEN low_confidence IS NOT NULL THEN round(value / 300, 6) END AS low_value, CASE WHEN low_confidence IS NOT NULL THEN CAST(0.6 AS DOUBLE) END AS low_threshold FROM ev""")
 def c3(t: Tables) -> DataFrame:
     ev = C.extract_evidence(tool_results(t)).select("event_id", "evidence.*")
-    return ev.withColumns({"quality": r6("quality"), "borderline_cdr": r6("borderline_cdr")})
-
-
-@query("c4_adjust_labels", f"""WITH {EV_SQL}, f AS (SELECT event_id, event_id % 5 AS k, ev.* EXCLUDE (event_id) FROM ev)
-SELECT event_id, CASE WHEN k = 0 AND dr_grade IS NOT NULL AND dr_grade <> 'moderate diabetic retinopathy' THEN 'B-dr_grading_mismatch'
-WHEN k = 1 AND dr_features IS NOT NULL THEN 'B-false_dr_is_amd' WHEN k = 2 AND borderline_cdr IS NOT NULL THEN 'B-false_glaucoma'
-WHEN k = 2 AND artefact THEN 'B-artifact' WHEN low_confidence IS NOT NULL THEN 'B-low_confidence_recheck'
-WHEN k IN (0, 3) AND dme_signs IS NOT NULL THEN 'C-dr_to_dme' WHEN k = 0 THEN 'A-pure_dr' ELSE 'A-pure_seg' END AS final FROM f""")
+    names = {
+        "dr_source": "dr_features.source", "dr_grade": "dr_grade", "amd_source": "amd_features.source", "dme_source": "dme_signs.source", "low_tool": "low_confidence.tool_name",
+        "dr_aneurysms": "dr_features.aneurysms", "dr_soft": "dr_features.soft", "dr_name": "dr_features.grade", "dr_class": "dr_features.predicted_class",
+        "dme_level": "dme_signs.risk_level", "artefact_aneurysms": "artefact.aneurysms", "low_threshold": "low_confidence.threshold",
+    }
+    rounded = {
+        "quality": "quality", "cdr_average": "borderline_cdr.cdr_average", "cdr_vertical": "borderline_cdr.cdr_vertical", "dr_hard": "dr_features.hard", "dr_bleeding": "dr_features.bleeding",
+        "dr_confidence": "dr_features.confidence", "amd_confidence": "amd_features.amd_confidence", "artefact_hard": "artefact.hard", "low_value": "low_confidence.confidence",
+    }
+    return ev.select("event_id", *[F.col(c).alias(n) for n, c in names.items()], *[r6(c).alias(n) for n, c in rounded.items()])
+
+
+@query("c4_adjust_labels", f"""WITH {EV_SQL}, f AS (SELECT *, event_id % 5 AS k FROM ev),
+g AS (SELECT *, CASE WHEN k = 0 AND dr_grade IS NOT NULL AND dr_grade <> 'moderate diabetic retinopathy' THEN 'grade'
+WHEN k = 1 AND dr_features IS NOT NULL THEN 'amd' WHEN k = 2 AND borderline_cdr IS NOT NULL THEN 'cup'
+WHEN k = 2 AND artefact THEN 'artefact' WHEN low_confidence IS NOT NULL THEN 'confidence' WHEN k IN (0, 3) AND dme_signs IS NOT NULL THEN 'cascade' END AS rule FROM f)
+SELECT event_id, rule, CASE rule WHEN 'grade' THEN 'B-dr_grading_mismatch' WHEN 'amd' THEN 'B-false_dr_is_amd' WHEN 'cup' THEN 'B-false_glaucoma' WHEN 'artefact' THEN 'B-artifact'
+WHEN 'confidence' THEN 'B-low_confidence_recheck' WHEN 'cascade' THEN 'C-dr_to_dme' ELSE CASE WHEN k = 0 THEN 'A-pure_dr' ELSE 'A-pure_seg' END END AS final,
+CASE rule {" ".join(f"WHEN '{n}' THEN '{text}'" for n, text in E.REASONS.items())} END AS reason,
+CASE rule WHEN 'grade' THEN 'Diabetic retinopathy' WHEN 'amd' THEN 'Late AMD' WHEN 'cup' THEN 'Normal fundus' WHEN 'artefact' THEN 'Normal fundus' END AS ground_truth,
+CASE WHEN rule = 'grade' THEN dr_grade END AS tool_grade, CASE WHEN rule = 'amd' THEN dr_features END AS false_positive_source,
+CASE WHEN rule = 'cup' THEN round(borderline_cdr, 6) END AS cdr_average, CASE WHEN rule = 'artefact' THEN round(value / 9000, 6) END AS bleeding,
+CASE WHEN rule = 'confidence' THEN round(value / 300, 6) END AS low_value, CASE WHEN rule = 'cascade' THEN CAST(user_id % 3 AS VARCHAR) END AS dme_level FROM g""")
 def c4(t: Tables) -> DataFrame:
-    out = C.adjust_labels(C.extract_evidence(tool_results(t)))
-    return out.select("event_id", F.concat_ws("-", "final_label.type", "final_label.subtype").alias("final"))
+    truth = F.element_at(F.array(*[F.lit(x) for x in ("Diabetic retinopathy", "Late AMD", "Normal fundus", "Hard exudates", "No finding")]), (F.col("event_id") % 5 + 1).cast("int"))
+    out = C.adjust_labels(C.extract_evidence(tool_results(t).withColumn("truth", truth)), truth="truth")
+    why = lambda field: F.col(f"reason_evidence.{field}")
+    return out.select(
+        "event_id", "rule", F.concat_ws("-", "final_label.type", "final_label.subtype").alias("final"), "reason", why("ground_truth"), why("tool_grade"),
+        why("tool_false_positive.source").alias("false_positive_source"), r6(why("cdr_metrics.cdr_average")).alias("cdr_average"),
+        r6(why("detected_lesions.bleeding")).alias("bleeding"), r6(why("low_confidence.confidence")).alias("low_value"), why("dme_signs.risk_level").alias("dme_level"),
+    )
 
 
 @query("c5_gate_types", f"""WITH {CLS_SQL} SELECT doc_id, CASE WHEN type IS NULL THEN 'unclassified'
@@ -301,8 +335,8 @@ def c11(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- reports over classified rows
 
-@query("g10_classification_stats", f"""WITH {CLS_SQL}, base AS (SELECT dataset, type, subtype, count(*) AS n FROM cls GROUP BY ALL),
-x AS (SELECT dataset, 'total' AS level, NULL AS type, NULL AS subtype, sum(n) AS n FROM base GROUP BY dataset
+@query("g10_classification_stats", f"""WITH {CLS_SQL}, base AS MATERIALIZED (SELECT dataset, type, subtype, count(*) AS n FROM cls GROUP BY ALL),
+x AS MATERIALIZED (SELECT dataset, 'total' AS level, NULL AS type, NULL AS subtype, sum(n) AS n FROM base GROUP BY dataset
 UNION ALL SELECT dataset, CASE WHEN type IS NULL THEN 'unclassified' ELSE 'classified' END, NULL, NULL, sum(n) FROM base GROUP BY 1, 2
 UNION ALL SELECT dataset, 'type', type, NULL, sum(n) FROM base WHERE type IS NOT NULL GROUP BY 1, 3
 UNION ALL SELECT dataset, 'subtype', type, subtype, sum(n) FROM base WHERE type IS NOT NULL GROUP BY 1, 3, 4),
@@ -445,7 +479,7 @@ def v10(t: Tables) -> DataFrame:
 @query("v11_summarize_tool", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '工具执行失败: ' || event_type
 WHEN 1 THEN 'DR分级: grade (类别 ' || user_id % 5 || ', 置信度: ' || printf('%.2f', round((user_id % 9) * 0.1::DOUBLE, 2)) || ')'
 WHEN 2 THEN 'DME风险: ' || user_id % 3 || CASE WHEN user_id % 2 = 0 THEN ', 黄斑附近有渗出物' ELSE '' END
-ELSE '工具执行成功: k=' || user_id || ', name=' || event_type END AS summary FROM events""")
+ELSE '工具执行成功: z=' || user_id || ', name=' || event_type || ', b=' || event_id || ', y=' || CASE WHEN user_id % 2 = 0 THEN 'True' ELSE 'False' END || ', a=None' END AS summary FROM events""")
 def v11(t: Tables) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     tool = F.element_at(F.array(*[F.lit(x) for x in ("any", "DR_Grading", "dme_risk_assess", "custom")]), (e % 4 + 1).cast("int"))
@@ -454,10 +488,11 @@ def v11(t: Tables) -> DataFrame:
         .when(e % 4 == 1, F.to_json(F.struct(F.lit("success").alias("status"), F.struct(F.struct(
             F.lit("grade").alias("class_name"), (u % 5).alias("class_id"), ((u % 9) * 0.1).alias("confidence")).alias("prediction")).alias("result"))))
         .when(e % 4 == 2, F.to_json(F.struct(F.lit("success").alias("status"), F.struct((u % 3).alias("risk_level"), (u % 2 == 0).alias("exudates_near_fovea")).alias("result"))))
-        .otherwise(F.to_json(F.struct(F.lit("success").alias("status"), F.struct(u.alias("k"), F.col("event_type").alias("name")).alias("result"))))
+        .otherwise(F.to_json(F.struct(F.lit("success").alias("status"), F.struct(
+            u.alias("z"), F.col("event_type").alias("name"), e.alias("b"), (u % 2 == 0).alias("y"), F.lit(None).cast("string").alias("a"), e.alias("c"), u.alias("0")).alias("result")), {"ignoreNullFields": "false"}))
     )
-    rows = t.heavy_events.select("event_id", tool.alias("tool"), F.parse_json(payload).alias("p"))
-    return rows.select("event_id", E.summarize_tool("tool", "p").alias("summary"))
+    rows = t.heavy_events.select("event_id", tool.alias("tool"), payload.alias("text")).select("*", F.parse_json("text").alias("p"))
+    return rows.select("event_id", E.summarize_tool("tool", "p", "text").alias("summary"))
 
 
 GRADE_SQL = f"""{QA_SQL}, g AS (SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'say <ANSWER> ' || coalesce(answer, '') || ' </answer> <answer>z</answer>' WHEN conv_id % 4 = 1 THEN ' b ' WHEN conv_id % 4 = 2 THEN coalesce(answer, '') ELSE '<answer>C, A</answer>' END AS message,

@@ -32,9 +32,10 @@ def test_empty_prediction_has_no_grade(spark):
 
 def test_lesion_thresholds(spark):
     e = evidence(spark, {"detect_lesions": ok({E.METRICS: {E.HARD: 0.02, E.ANEURYSMS: 3}})})
-    assert e.dr_features is None and e.artefact
-    assert evidence(spark, {"detect_lesions": ok({E.METRICS: {E.HARD: 0.03}})}).dr_features == "detect_lesions"
-    assert evidence(spark, {"DR_Grading": ok({"prediction": {"class_id": 2, "class_name": "中度"}})}).dr_features == "DR_Grading"
+    assert e.dr_features is None and e.artefact.hard == 0.02 and e.artefact.aneurysms == 3 and e.artefact.bleeding_size == 0
+    assert evidence(spark, {"detect_lesions": ok({E.METRICS: {E.HARD: 0.03}})}).dr_features.asDict() == {
+        "source": "detect_lesions", "hard": 0.03, "aneurysms": 0, "bleeding": 0, "soft": 0, "grade": None, "predicted_class": None, "confidence": None}
+    assert evidence(spark, {"DR_Grading": ok({"prediction": {"class_id": 2, "class_name": "中度"}})}).dr_features.source == "DR_Grading"
 
 
 def test_dme_levels(spark):
@@ -42,18 +43,24 @@ def test_dme_levels(spark):
     assert sign({"risk_level": 1}) and sign({"dme_risk_assessment": {"risk_level": "High"}})
     assert sign({"risk_level": 0}) is None and sign({"risk_level": "low"}) is None and sign({"risk_level": 1.5}) is None
     many = {"detect_lesions": ok({E.TASKS: {"硬渗出物分割": {E.STATE: "成功", E.VALUES: {E.LESION_COUNT: 4}}}})}
-    assert evidence(spark, many).dme_signs == "detect_lesions"
+    assert evidence(spark, many).dme_signs.hard_exudates_count == 4
+    full = sign({"risk_level": 0, "dme_risk_assessment": {"risk_level": 2, "risk_category": "c", "description": "near"}})
+    assert (full.source, full.risk_level, full.risk_category, full.exudates_near_fovea) == ("dme_risk_assess", "2", "c", "near")
+    assert sign({"risk_level": 2, "dme_risk_assessment": {"other": 1}}) is None and sign({"risk_level": 2, "dme_risk_assessment": {}}).risk_level == "2"
 
 
 def test_confidence_amd_cdr(spark):
-    assert evidence(spark, {"AMD_predict": ok({"results": {"amd": {"label": "Yes", "confidence": 0.59}}})}).low_confidence == "AMD_predict"
+    assert evidence(spark, {"AMD_predict": ok({"results": {"amd": {"label": "Yes", "confidence": 0.59}}})}).low_confidence.asDict() == {
+        "tool_name": "AMD_predict", "feature": "amd", "confidence": 0.59, "threshold": 0.6, "label": "Yes"}
     assert evidence(spark, {"AMD_predict": ok({"results": {"amd": {"label": "No", "confidence": 0.1}}})}).low_confidence is None
     dr = {"DR_Grading": ok({"results": {"DEEPDR": {"diagnosis": {"predicted_class": 1, "probabilities": [{"probability": 0.1}, {"probability": 0.5}]}}}})}
-    assert evidence(spark, dr).low_confidence == "DR_Grading"
+    assert evidence(spark, dr).low_confidence.tool_name == "DR_Grading" and evidence(spark, dr).low_confidence.confidence == 0.5
     drusen = {"detect_lesions": ok({E.ANALYSIS: {"Drusen seg": {E.STATE: "已完成", E.VALUES: {E.LESION_COUNT: 2}}}})}
-    assert evidence(spark, drusen).amd_features == "detect_lesions"
+    assert evidence(spark, drusen).amd_features.drusen_count == 2
+    positive = evidence(spark, {"AMD_predict": ok({"results": {"amd": {"label": "No"}, "drusen": {"label": "Yes", "confidence": 0.4}}})}).amd_features
+    assert positive.drusen_detected and positive.drusen_confidence == 0.4 and positive.amd_confidence is None
     cdr = lambda v, h: evidence(spark, {"segment_by_AutoMorphalyzer": ok({"images": [{"optic_disc": {"cdr_vertical": v, "cdr_horizontal": h}}]})}).borderline_cdr
-    assert cdr(0.5, 0.6) == pytest.approx(0.55) and cdr(0.7, 0.6) is None
+    assert cdr(0.5, 0.6).cdr_average == pytest.approx(0.55) and cdr(0.5, 0.6).cdr_horizontal == 0.6 and cdr(0.7, 0.6) is None
 
 
 SUMMARIES = [
@@ -81,5 +88,21 @@ def test_relabel_keeps_initial(spark):
     df = spark.createDataFrame([("late amd", json.dumps(res), ("A", "pure_amd", 0.75, "d")), ("zz", "{}", ("A", "pure_dr", 0.75, "d"))],
                                "answer_text string, j string, label struct<type:string,subtype:string,confidence:double,description:string>")
     out = C.adjust_labels(C.extract_evidence(df.withColumn("tool_results", F.parse_json("j")))).collect()
-    assert (out[0].initial_label.subtype, out[0].final_label.subtype, out[0].reason) == ("pure_amd", "false_dr_is_amd", "amd")
-    assert out[1].final_label.subtype == "pure_dr" and out[1].reason is None
+    assert (out[0].initial_label.subtype, out[0].final_label.subtype, out[0].rule) == ("pure_amd", "false_dr_is_amd", "amd")
+    assert out[0].reason == E.REASONS["amd"] and out[0].reason_evidence.ground_truth == "late amd"
+    assert out[0].reason_evidence.tool_false_positive.hard == 0.5 and out[0].reason_evidence.cdr_metrics is None
+    assert out[1].final_label.subtype == "pure_dr" and out[1].reason is None and out[1].reason_evidence is None
+
+
+def test_payload_order(spark):
+    task = lambda n: {E.STATE: "已完成", E.VALUES: {E.LESION_COUNT: n}}
+    results = {"detect_lesions": ok({E.ANALYSIS: {"z drusen": task(0), "y drusen": task(5), "a drusen": task(7)}})}
+    df = spark.createDataFrame([(json.dumps(results),)], "j string").withColumn("tool_results", F.parse_json("j"))
+    assert C.extract_evidence(df, text="j").first().evidence.amd_features.drusen_count == 5
+    assert C.extract_evidence(df).first().evidence.amd_features.drusen_count == 7  # by name
+    other = ok({"zeta": 1, "b": True, "c": None, "a": "x", "m": [1, {"k": 2}], "aa": 3, "zz": 4})
+    lesions = ok({E.ANALYSIS: {"软渗出物": {E.STATE: "完成", E.VALUES: {E.SOFT: 0.5}}, "出血": {E.STATE: "完成", E.VALUES: {E.BLEED: 0.25}}}})
+    rows = spark.createDataFrame([(1, "t", json.dumps(other)), (2, "detect_lesions", json.dumps(lesions)), (3, "t", json.dumps(ok([1])))], "i int, n string, p string")
+    got = {r.i: r.s for r in rows.select("i", E.summarize_tool("n", F.parse_json("p"), "p").alias("s")).collect()}
+    assert got[1] == '工具执行成功: zeta=1, b=True, c=None, a=x, m=[1,{"k":2}]'
+    assert got[2] == "检测到: 软渗出物: 占比50.000%, 出血: 占比25.000% (面积0px)" and got[3] == "工具执行成功"

@@ -112,11 +112,11 @@ def test_order_statistics(spark):
     first = lambda v: (v[0], v[1] is not None, v[1] or "")
     order = sorted(map(first, data))
     for start, stop in ((0, 10), (100, 140), (690, None), (0, 9999), (9999, None), (350, 351)):
-        rows = O.rows_between(df, ["a", "b"], start, stop, buckets=6, levels=2).collect()
+        rows = O.rows_between(df, ["a", "b"], start, stop, buckets=6).collect()
         assert sorted(first(r) for r in rows) == order[start:stop]
     at = order.index((7, True, "s1"))
     n = order.count((7, True, "s1"))
-    slices = [O.rows_between(df, ["a", "b"], i, j, buckets=4, levels=1).collect() for i, j in ((at, at + n // 2), (at + n // 2, at + n))]
+    slices = [O.rows_between(df, ["a", "b"], i, j, buckets=4).collect() for i, j in ((at, at + n // 2), (at + n // 2, at + n))]
     assert sorted(tuple(r) for part in slices for r in part) == sorted(d for d in data if d[:2] == (7, "s1"))
     assert O.rows_between(df.where("false"), ["a"], 3, None).count() == 0
 
