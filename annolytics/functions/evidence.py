@@ -43,15 +43,11 @@ def _num(v: Column, *keys, default: float | None = 0.0) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
-def _ok(v: Column, tool: str) -> Column:
-    return F.coalesce(_get(v, "string", tool, "status") == "success", F.lit(False))
-
-
 #: What evidence reads of each tool's result. VARIANT parts hold values whose kind matters.
 _RESULTS = {
     "quality_assess": {k: "variant" for k in QUALITY_KEYS},
     "DR_Grading": {
-        "prediction": {"class_name": "string", "class_id": "string", "confidence": "double"},
+        "prediction": "map<string,variant>",
         "results": {"DEEPDR": {"diagnosis": {"probabilities": "array<variant>", "predicted_class": "int", "class_label": "string"}}},
     },
     "detect_lesions": {
@@ -111,29 +107,30 @@ def quality_score(r: Column) -> Column:
 def dr_features(r: Column) -> Column:
     """Signs of DR with their numbers: lesions over their thresholds, else a positive grade with a DR name."""
     m, p = r["detect_lesions"]["result"][METRICS], r["DR_Grading"]["result"]["prediction"]
+    given = lambda key, kind: F.try_variant_get(p[key], "$", kind)
+    name = F.coalesce(given("class_name", "string"), F.lit(""))
     null = lambda kind: F.lit(None).cast(kind)
     lesions = F.struct(
         F.lit("detect_lesions").alias("source"), *[_or_zero(m[k]).alias(n) for n, k in (("hard", HARD), ("aneurysms", ANEURYSMS), ("bleeding", BLEED), ("soft", SOFT))],
         null("string").alias("grade"), null("int").alias("predicted_class"), null("double").alias("confidence"),
     )
-    ident = p["class_id"].try_cast("double")
+    ident = given("class_id", "double")
     grade = F.struct(
         F.lit("DR_Grading").alias("source"), *[null("double").alias(n) for n in ("hard", "aneurysms", "bleeding", "soft")],
-        F.coalesce(p["class_name"], F.lit("")).alias("grade"), ident.cast("int").alias("predicted_class"), _or_zero(p["confidence"]).alias("confidence"),
+        name.alias("grade"), ident.cast("int").alias("predicted_class"), _or_zero(given("confidence", "double")).alias("confidence"),
     )
-    graded = (F.coalesce(ident, F.lit(-1.0)) > 0) & contains_any(F.lower(F.coalesce(p["class_name"], F.lit(""))), GRADE_WORDS)
+    graded = (F.coalesce(ident, F.lit(-1.0)) > 0) & contains_any(F.lower(name), GRADE_WORDS)
     return F.when(_done(r, "detect_lesions") & _any_over(m, DR_THRESHOLDS), lesions).when(_done(r, "DR_Grading") & graded, grade)
 
 
-def dr_grade(results: str | Column) -> Column:
+def dr_grade(r: Column) -> Column:
     """Grade name by the first of 1-4 that occurs in the id's text: an id of -1 counts as mild, 0 as none."""
-    v = col(results)
-    present = F.try_variant_get(v, _path("DR_Grading", "result", "prediction"), "map<string,variant>")
+    present = r["DR_Grading"]["result"]["prediction"]
     ident = F.coalesce(F.try_variant_get(present["class_id"], "$", "string"), F.lit("-1"))
     chain = None
     for digit, grade in GRADE_NAMES.items():
         chain = F.when(ident.contains(digit), grade) if chain is None else chain.when(ident.contains(digit), grade)
-    return F.when(_ok(v, "DR_Grading") & (F.size(present) > 0), chain)
+    return F.when(_done(r, "DR_Grading") & (F.size(present) > 0), chain)
 
 
 def _entries(tasks: Column, order: Column | None) -> Column:
@@ -234,15 +231,15 @@ def low_confidence_tool(r: Column) -> Column:
     )
 
 
-def evidence(results: str | Column, read: str | Column, text: str | Column | None = None) -> Column:
-    """All evidence of one row as a struct, a struct with its numbers per finding. ``read`` is a column made by
-    ``read_results`` from ``results``; ``text``, the results as JSON text, gives the order of tasks."""
+def findings(read: str | Column, text: str | Column | None = None) -> dict[str, Column]:
+    """All evidence of one row by name, a struct with its numbers per finding. ``read`` is a column made by
+    ``read_results``; ``text``, the results as JSON text, gives the order of tasks."""
     r = col(read)
-    return F.struct(
-        quality_score(r).alias("quality"), dr_features(r).alias("dr_features"), dr_grade(results).alias("dr_grade"),
-        amd_features(r, key_order(text, "detect_lesions", "result", ANALYSIS)).alias("amd_features"), dme_signs(r).alias("dme_signs"),
-        borderline_cdr(r).alias("borderline_cdr"), artefact_lesions(r).alias("artefact"), low_confidence_tool(r).alias("low_confidence"),
-    )
+    return {
+        "quality": quality_score(r), "dr_features": dr_features(r), "dr_grade": dr_grade(r),
+        "amd_features": amd_features(r, key_order(text, "detect_lesions", "result", ANALYSIS)), "dme_signs": dme_signs(r),
+        "borderline_cdr": borderline_cdr(r), "artefact": artefact_lesions(r), "low_confidence": low_confidence_tool(r),
+    }
 
 
 # Type, subtype, confidence and description given by each relabelling rule.

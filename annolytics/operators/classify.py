@@ -137,10 +137,13 @@ def distribution_gap(df: DataFrame, target: dict[str, float] = R.TARGET_SHARES,
 def extract_evidence(df: DataFrame, results: str = "tool_results", name: str = "evidence", text: str | None = None) -> DataFrame:
     """``results`` is a VARIANT column (use ``parse_json`` on text); ``text``, the same as JSON text, keeps the
     order of tasks, which VARIANT sorts by name."""
-    from ..functions.evidence import evidence, read_results
+    from ..functions.evidence import findings, read_results
 
     read = once(df, __read=read_results(results))
-    return once(read, **{name: evidence(results, "__read", text)}).drop("__read")
+    found = findings("__read", text)
+    for finding, value in found.items():  # one step each: the code of all in one is too long to be compiled well
+        read = once(read, **{f"__{finding}": value})
+    return read.select(*df.columns, F.struct(*[F.col(f"__{n}").alias(n) for n in found]).alias(name))
 
 
 def adjust_labels(

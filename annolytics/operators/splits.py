@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordering import HASH_BUCKET_DIGITS, _null_safe, hash_order, with_cuts
 
 
@@ -87,3 +88,38 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: Sequence[str]) -> Da
     both = old.withColumn("__batch", F.lit(0)).unionByName(new.select(*old.columns).withColumn("__batch", F.lit(1)))
     last = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("__batch", *order)).alias("r"))
     return last.select(key, "r.*").select(*old.columns)
+
+
+BUCKET = "key_bucket"
+
+
+def _key_bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int").alias(BUCKET)
+
+
+def write_keyed(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Store ``df`` by hash buckets of ``key``, one folder each, for ``upsert_stored``. Choose ``buckets`` so that
+    one holds a few files' worth of rows."""
+    df.withColumn(BUCKET, _key_bucket(key, buckets)).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
+
+
+def upsert_stored(new: DataFrame, path: str, key: str, order: Sequence[str], buckets: int = 64) -> None:
+    """Upsert ``new`` into a table that ``write_keyed`` stored with as many ``buckets``. Only buckets that hold a
+    key of ``new`` are read and written again; the files of all others stay as they are.
+
+    The merged buckets are first kept in the shared folder, as a folder cannot be read and replaced at once; a job
+    that fails before the last write leaves the table as it was.
+    """
+    spark = new.sparkSession
+    keyed = new.withColumn(BUCKET, _key_bucket(key, buckets))
+    touched = [r[0] for r in keyed.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return
+    old = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
+    merged = upsert(old.drop(BUCKET), keyed.drop(BUCKET), key, order)
+    merged = materialize(merged.withColumn(BUCKET, _key_bucket(key, buckets)))
+    merged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)

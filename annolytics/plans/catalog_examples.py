@@ -32,6 +32,36 @@ def p1(t: Tables) -> DataFrame:
     return P.normalize_examples(rec, keep=["conv_id"])
 
 
+# Whole conversations as records, and the three ways to pick a question and an answer among their turns.
+CONV_SQL = "conv AS (SELECT conv_id, list(struct_pack(r := role, t := nullif(text, '')) ORDER BY turn) AS turns FROM conversations GROUP BY conv_id)"
+
+
+def whole_conversations(t: Tables) -> DataFrame:
+    """Records with all turns of a conversation, in order; a conversation is one record and must fit a row."""
+    speaker = F.when(F.col("role") == "user", "human").otherwise(F.col("role"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", speaker.alias("from"), F.col("text").alias("value"))))
+    rec = t.conversations.groupBy("conv_id").agg(turns.alias("t"))
+    shown = F.transform("t", lambda x: F.struct(x["from"].alias("from"), x["value"].alias("value")))
+    return rec.select("conv_id", F.col("conv_id").cast("string").alias("id"), shown.alias("conversations"), F.concat(F.lit("img/"), F.col("conv_id"), F.lit(".png")).alias("image"))
+
+
+def _pick_sql(pick: str) -> str:
+    said = lambda role: f"list_transform(list_filter(turns, lambda x: x.r = '{role}'), lambda x: x.t)"
+    one = {
+        "first": lambda role, i: f"list_filter({said(role)}, lambda x: x IS NOT NULL)[1]",
+        "last": lambda role, i: f"{said(role)}[-1]",
+        "positional": lambda role, i: f"turns[{i}].t",
+    }[pick]
+    return f"""SELECT * FROM (SELECT conv_id, {one('user', 1)} AS question, 'img/' || conv_id || '.png' AS image_path, {one('assistant', 2)} AS ground_truth_answer FROM conv)
+WHERE question IS NOT NULL AND ground_truth_answer IS NOT NULL"""
+
+
+for _pick in ("first", "last", "positional"):
+    @query(f"p1_pick_{_pick}", f"WITH {CONV_SQL} {_pick_sql(_pick)}")
+    def _picked(t: Tables, pick: str = _pick) -> DataFrame:
+        return P.normalize_examples(whole_conversations(t), pick, keep=["conv_id"])
+
+
 @query("p2_slice_rows", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 def p2(t: Tables) -> DataFrame:
     return P.slice_rows(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"], 100, 400, 50)
@@ -309,6 +339,22 @@ def c6(t: Tables) -> DataFrame:
     return planned.select("doc_id", F.array_join("steps", ",").alias("steps"))
 
 
+# The shipped plans and dependencies: each document asks for one (type, subtype) by its number, one of them unknown.
+_kinds = [*RULES.TOOL_PLANS, ("Z", "unknown")]
+_plans_sql = ", ".join(f"({i}, {[*RULES.TOOL_PLANS.get(k, RULES.DEFAULT_PLAN)]!r}::VARCHAR[])" for i, k in enumerate(_kinds))
+_needs_sql = "MAP {" + ", ".join(f"'{k}': {list(v)!r}" for k, v in RULES.TOOL_DEPENDENCIES.items()) + "}"
+
+
+@query("c6_shipped_plans", f"""WITH p(i, plan) AS (VALUES {_plans_sql}), d AS (SELECT doc_id, plan FROM documents JOIN p ON doc_id % {len(_kinds)} = i),
+s AS (SELECT doc_id, plan, flatten(list_transform(plan, lambda x: list_append(list_filter(coalesce({_needs_sql}[x], []::VARCHAR[]), lambda y: NOT list_contains(plan, y)), x))) AS f FROM d),
+o AS (SELECT doc_id, plan, list_filter(f, lambda x, i: list_position(f, x) = i) AS steps FROM s)
+SELECT doc_id, array_to_string(plan, ',') AS plan, array_to_string(steps, ',') AS steps FROM o""")
+def c6_shipped(t: Tables) -> DataFrame:
+    kind = F.get(F.array(*[F.struct(F.lit(a).alias("type"), F.lit(b).alias("subtype")) for a, b in _kinds]), (F.col("doc_id") % len(_kinds)).cast("int"))
+    planned = C.plan_tools(t.documents.select("doc_id", kind.alias("label")))
+    return planned.select("doc_id", F.array_join("plan", ",").alias("plan"), F.array_join("steps", ",").alias("steps"))
+
+
 @query("c7_missing_steps", """WITH done AS (SELECT user_id, list(DISTINCT event_type) AS d FROM events WHERE value > 40 GROUP BY user_id),
 u AS (SELECT DISTINCT user_id FROM events) SELECT u.user_id, array_to_string(list_filter(['view', 'click', 'view', 'error'], lambda s: NOT list_contains(coalesce(d, []), s)), ',') AS missing
 FROM u LEFT JOIN done USING (user_id)""")
@@ -352,6 +398,12 @@ def g11(t: Tables) -> DataFrame:
     return S.top_answers(B.classified_documents(t), 20, answer="answer_text")
 
 
+@query("g11_frequent_answers", "SELECT event_type || ' ' || props AS answer, count(*) AS n FROM events WHERE user_id % 3 > 0 GROUP BY 1 ORDER BY n DESC, answer LIMIT 20")
+def g11_frequent(t: Tables) -> DataFrame:
+    rows = t.events.select(F.concat_ws(" ", "event_type", "props").alias("answer"), F.when(F.col("user_id") % 3 == 0, "known").alias("label"))
+    return S.frequent_answers(rows, 20, answer="answer")
+
+
 RUN_SQL = """r AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 3 THEN NULL ELSE text END AS trajectory, CASE WHEN role = 'user' THEN 'A' ELSE 'B' END AS type, role AS subtype FROM conversations)"""
 
 

@@ -9,6 +9,7 @@ from ..operators import joins as J
 from ..operators import splits as D
 from ..operators import stats as S
 from ..operators import windows as N
+from ..session import scratch_path
 from . import catalog as B
 from . import catalog_examples as X
 from . import catalog_measures as Y
@@ -235,12 +236,30 @@ def d6(t: Tables) -> DataFrame:
     return D.append_results(o.where("o_orderstatus = 'F'").select("o_orderkey"), o.where("o_orderstatus != 'P'").select("o_orderkey"))
 
 
-@query("d7_upsert", """WITH nw AS (SELECT o_orderkey AS k, o_totalprice * 2 AS v, 1 AS s FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_totalprice * 3, 2 FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT -1 - o_orderkey, 0, 1 FROM orders WHERE o_orderkey % 11 = 0)
-SELECT coalesce(n.k, o.o_orderkey) AS o_orderkey, round(coalesce(n.v, o.o_totalprice), 4) AS o_totalprice FROM orders o FULL JOIN (SELECT k, arg_max(v, s) AS v FROM nw GROUP BY k) n ON n.k = o.o_orderkey""")
-def d7(t: Tables) -> DataFrame:
+D7_SQL = """WITH nw AS (SELECT o_orderkey AS k, o_totalprice * 2 AS v, 1 AS s FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_totalprice * 3, 2 FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT -1 - o_orderkey, 0, 1 FROM orders WHERE o_orderkey % 11 = 0)
+SELECT coalesce(n.k, o.o_orderkey) AS o_orderkey, round(coalesce(n.v, o.o_totalprice), 4) AS o_totalprice FROM orders o FULL JOIN (SELECT k, arg_max(v, s) AS v FROM nw GROUP BY k) n ON n.k = o.o_orderkey"""
+
+
+def changed_orders(t: Tables) -> tuple[DataFrame, DataFrame]:
     old = t.orders.select("o_orderkey", "o_totalprice", F.lit(0).alias("seq"))
     k, v = F.col("o_orderkey"), F.col("o_totalprice")
     new = old.where(k % 3 == 0).select(k, (v * 2).alias("o_totalprice"), F.lit(1).alias("seq")).unionByName(
         old.where(k % 9 == 0).select(k, (v * 3).alias("o_totalprice"), F.lit(2).alias("seq"))
     ).unionByName(old.where(k % 11 == 0).select((-1 - k).alias("o_orderkey"), F.lit(0.0).alias("o_totalprice"), F.lit(1).alias("seq")))
+    return old, new
+
+
+@query("d7_upsert", D7_SQL)
+def d7(t: Tables) -> DataFrame:
+    old, new = changed_orders(t)
     return D.upsert(old, new, "o_orderkey", ["seq"]).select("o_orderkey", r6("o_totalprice", 4).alias("o_totalprice"))
+
+
+@query("d7_upsert_stored", D7_SQL)
+def d7_stored(t: Tables) -> DataFrame:
+    old, new = changed_orders(t)
+    path = scratch_path(t.spark, "keyed")
+    D.write_keyed(old, path, "o_orderkey", 16)
+    for seq in (1, 2):  # one upsert after the other
+        D.upsert_stored(new.where(F.col("seq") == seq), path, "o_orderkey", ["seq"], 16)
+    return D.read_keyed(t.spark, path).select("o_orderkey", r6("o_totalprice", 4).alias("o_totalprice"))

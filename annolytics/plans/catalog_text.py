@@ -287,6 +287,16 @@ def s2(t: Tables) -> DataFrame:
     return normalize_examples(readers.read_examples_json(t.spark, written_records(t, "array", "array")), keep=["id"])
 
 
+@query("s2_large_array", f"""WITH {X.CONV_SQL} {X._pick_sql('last').replace("conv_id, ", "CAST(conv_id AS VARCHAR) AS id, ", 1)}""")
+def s2_large(t: Tables) -> DataFrame:
+    """Whole conversations in array files, each read by as many tasks as it has byte ranges."""
+    from ..operators.examples import normalize_examples
+
+    path = scratch_path(t.spark, "large-array")
+    readers.convert_json_layout(X.whole_conversations(t).drop("conv_id"), path, "array")
+    return normalize_examples(readers.read_examples_json(t.spark, path, arrays=True), "last", keep=["id"])
+
+
 @query("s3_read_csv", """SELECT 'im' || o_orderkey || '.png' AS image_path, CASE WHEN o_orderkey % 3 = 0 THEN 'What conditions are present in this fundus image?' ELSE 'What is shown in this fundus image?' END AS question,
 CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority || ', it''s ' || o_orderstatus WHEN 1 THEN o_orderpriority ELSE '42' END AS ground_truth_answer FROM orders WHERE o_orderkey % 7 <> 0""")
 def s3(t: Tables) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_one_json, py_strip
+from .json_array import read_array_elements
 
 # The record shape. ``image`` may hold a string or, as JSON text, a list.
 RECORD_SCHEMA = (
@@ -60,11 +61,14 @@ def count_malformed(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA)
     )
 
 
-def read_examples_json(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
+def read_examples_json(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, arrays: bool = False) -> DataFrame:
     """A top-level array, an object with data / examples / items, or one bare record per file.
 
-    A file is one task; turn big array files into JSONL first (``convert_json_layout``).
+    A file is one task, and one that is not JSON as a whole has no records. With ``arrays`` all files are arrays of
+    any size: many tasks read each one, and elements that are not JSON are skipped one by one.
     """
+    if arrays:
+        return _records(_parsed(read_array_elements(spark, path).select("value"), schema))
     v = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     wrapped = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ("data", "examples", "items")])
     items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), wrapped, F.array("v"))

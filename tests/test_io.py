@@ -1,11 +1,14 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from annolytics.operators import splits
 from annolytics.operators.examples import normalize_examples
 from annolytics.operators.validation import validate
 from annolytics.sources import readers
+from annolytics.sources.json_array import read_array_elements
 from annolytics.streaming import incremental
 
 
@@ -27,6 +30,43 @@ def test_json_documents(spark, tmp_path, rows):
     assert [r[0] for r in rows(df)] == ["q1", "q2", "q3", "q4", "q5"]
 
 
+@pytest.fixture
+def small_ranges(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "64", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_large_array_is_read_by_many_tasks(spark, tmp_path, small_ranges):
+    rng = random.Random(3)
+    odd = ['a, b', 'quote " and \\ back', "[{", "}],[", 'long ' * 30, "", "é漢,", '\\",']
+    made = [{"id": i, "t": rng.choice(odd), "n": [rng.choice(odd), {"k": [1, 2, {"x": rng.choice(odd)}]}]} for i in range(60)] + [7, "text, [", None, True, [1, [2]], {}]
+    (tmp_path / "one_line.json").write_text(json.dumps(made))
+    (tmp_path / "indented.json").write_text("  \n" + json.dumps(made, indent=2, ensure_ascii=False) + "\n")
+    (tmp_path / "empty.json").write_text(" [ ] ")
+    (tmp_path / "cut.json").write_text(json.dumps(made)[:-40])
+    (tmp_path / "single.json").write_text('[{"only": "one, element"}]')
+    found = {}
+    for r in read_array_elements(spark, str(tmp_path)).collect():
+        if r.value.strip():
+            found.setdefault(r.path.rsplit("/", 1)[1], []).append(json.dumps(json.loads(r.value)))
+    want = sorted(json.dumps(x) for x in made)
+    assert sorted(found.pop("one_line.json")) == want and sorted(found.pop("indented.json")) == want
+    assert found == {"single.json": ['{"only": "one, element"}']}
+    assert spark.read.option("lineSep", ",").text(str(tmp_path / "one_line.json")).rdd.getNumPartitions() > 20
+
+
+def test_large_array_of_records(spark, tmp_path, rows, small_ranges):
+    items = [{"question": f"q, {i}", "image": f"{i}.png", "answer": "a" * i} for i in range(1, 30)]
+    (tmp_path / "a.json").write_text(json.dumps(items)[:-1] + ", {broken}]")
+    df = normalize_examples(readers.read_examples_json(spark, str(tmp_path), arrays=True))
+    assert rows(df) == sorted((x["question"], x["image"], x["answer"]) for x in items)
+
+
 def test_csv(spark, tmp_path, rows):
     (tmp_path / "x.csv").write_text(
         ",image,atributes,categories\n0,a.png,[],\"['x']\"\n1,b.png,[],\"['x', \"\"it's\"\"]\"\n2,,[],\"['x']\"\n3,c.png,[],[]\n4,d.png,[],not a literal\n5,e.png,[],7\n6,f.png,[],'quoted'\n")

@@ -81,6 +81,22 @@ def test_upsert_last_write_wins(spark, rows):
     assert rows(D.upsert(old, new, "k", ["o"]).select("k", "v")) == [("a", 1), ("b", 4), ("c", 5)]
 
 
+def test_upsert_stored_touches_only_its_buckets(spark, rows, tmp_path):
+    path = str(tmp_path / "keyed")
+    old = spark.range(200).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"), F.lit(0).alias("o"))
+    D.write_keyed(old, path, "k", 16)
+    files = lambda: {str(f.relative_to(path)): f.read_bytes() for f in (tmp_path / "keyed").glob("key_bucket=*/*.parquet")}
+    before = files()
+    new = spark.createDataFrame([(5, 1, 1), (5, 2, 2), (500, 3, 1)], "k long, v long, o int")
+    D.upsert_stored(new, path, "k", ["o"], 16)
+    D.upsert_stored(spark.createDataFrame([(5, 7, 3), (None, 9, 1)], "k long, v long, o int"), path, "k", ["o"], 16)
+    D.upsert_stored(new.where("false"), path, "k", ["o"], 16)
+    assert rows(D.read_keyed(spark, path).select("k", "v")) == rows(spark.createDataFrame([(i, 7 if i == 5 else i * 10) for i in range(200)] + [(500, 3), (None, 9)], "k long, v long"))
+    after = files()
+    same = {name for name in before if after.get(name) == before[name]}
+    assert len(same) >= 13 and {n.split("/")[0] for n in before} - {n.split("/")[0] for n in same} != set()
+
+
 @pytest.mark.parametrize("buckets", [2, 9])
 def test_ranks_and_sums_with_a_hot_group(spark, buckets):
     rng = np.random.default_rng(0)

@@ -1,3 +1,4 @@
+import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -203,3 +204,34 @@ def test_tools(spark):
     seen = []
     value, tries = with_retry(lambda: seen.append(1) or (1 / (len(seen) - 1)), 3)()
     assert value == 1.0 and [t["success"] for t in tries] == [False, True]
+
+
+def test_phrases_in_one_pass(spark):
+    from annolytics.functions.phrases import Phrases
+    from annolytics.functions.text import rule_phrases
+    from annolytics.plans import rules as R
+
+    words = rule_phrases([*R.MEDICAL_RULES, *R.CORRECTION_RULES])
+    assert len(words) == len(set(words)) > 62
+    rng = random.Random(1)
+    texts = ["".join(rng.choice([*words, " ", "x", "macular ", "age-", "dr"]) for _ in range(rng.randint(0, 6))) for _ in range(200)] + ["", None, "macular degeneration", "x" * 100_000]
+    phrases = Phrases(words)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("b", phrases.find("t"))
+    hits = phrases.hits({"a": "b"})
+    got = df.select("i", *[hits("a", [w]).alias(f"w{k}") for k, w in enumerate(words)], hits("a", words).alias("any"), hits("a", []).alias("none")).collect()
+    for r in got:
+        t = texts[r.i]
+        want = [None if t is None else w in t for w in words]
+        assert list(r)[1:-2] == want and r.none is False and r.any == (None if t is None else any(want))
+
+
+def test_frequent_answers(spark):
+    from annolytics.operators import stats as S
+
+    rng = random.Random(2)
+    data = [(f"answer {min(int(rng.expovariate(0.2)), 60)}", "A" if i % 5 == 0 else None) for i in range(3000)] + [(None, None)] * 50 + [(f"once {i}", None) for i in range(500)]
+    df = spark.createDataFrame(data, "ground_truth_answer string, label string")
+    exact = {(r.answer, r.n) for r in S.top_answers(df.where("ground_truth_answer is not null"), 8).collect()}
+    assert {(r.answer, r.n) for r in S.frequent_answers(df, 8).collect()} == exact
+    assert {(r.answer, r.n) for r in S.frequent_answers(df, 8, tracked=100).collect()} == exact  # fewer tracked than there are
+    assert S.frequent_answers(df.where("false")).count() == 0
