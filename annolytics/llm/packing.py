@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 
 from annolytics.session import materialize
 
+from .recent import Recent
 from .words import add_columns, map_batches, text_bytes
 
-CACHED_WORDS = 500_000  # in each Python worker, about 90 MB
+CACHED_WORDS = 400_000  # recent words, in each of two generations; about 75 MB for each in a Python worker
 LONGEST_CACHED = 64
 TEXTS_AT_ONCE = 64
 #: Punctuation at the end of a word is always a token of its own; no apostrophes, as these may start one.
@@ -43,7 +44,7 @@ class WordTokenizer:
     """Token ids of texts, encoded word by word.
 
     For a tokenizer that lowers case, splits at white space and drops it, the ids of a text are those of its
-    words in order, so a word is encoded once as long as it stays in the cache.
+    words in order, so a word is encoded once as long as it stays among the recent ones.
     """
 
     def __init__(self, path: str):
@@ -51,7 +52,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.recent: Recent[bytes, bytes] = Recent(CACHED_WORDS)
 
     @staticmethod
     def words(raw: bytes | None) -> list[bytes]:
@@ -75,16 +76,11 @@ class WordTokenizer:
         """Little-endian 32-bit ids of each text."""
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             split = [self.words(raw) for raw in texts[at : at + TEXTS_AT_ONCE]]
-            if len(self.cache) > CACHED_WORDS:
-                self.cache.clear()
-            cache = self.cache
-            missing = list({w for words in split for w in words if w not in cache})
-            cache.update(self._encode(missing) if missing else ())
+            distinct = set().union(*split)
+            known = self.recent.with_all(distinct, self._encode)
             for words in split:
-                yield b"".join([cache[w] for w in words])
-            for w in missing:
-                if len(w) > LONGEST_CACHED:
-                    del cache[w]
+                yield b"".join(map(known.__getitem__, words))
+            self.recent.drop(w for w in distinct if len(w) > LONGEST_CACHED)
 
 
 def tokenize_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, ids: bool = False) -> DataFrame:
