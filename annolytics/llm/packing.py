@@ -36,8 +36,9 @@ from .words import add_columns, map_batches, text_bytes
 CACHED_WORDS = 400_000  # recent words, in each of two generations; about 75 MB for each in a Python worker
 LONGEST_CACHED = 64
 TEXTS_AT_ONCE = 64
-#: Punctuation at the end of a word is always a token of its own; no apostrophes, as these may start one.
-_TAIL = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=\s|$)")
+#: One punctuation mark behind a word's last letter is always a token of its own; no apostrophes, as these may
+#: start one. The mark comes first in the pattern, so that the search runs from mark to mark.
+_TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)(?=\s|$)")
 
 
 class WordTokenizer:
@@ -59,7 +60,7 @@ class WordTokenizer:
         if not raw:
             return []
         # a text that may hold a special token in its exact case stays as it is
-        return raw.split() if b"<|" in raw else _TAIL.sub(rb" \1", raw.lower()).split()
+        return raw.split() if b"<|" in raw else _TAIL.sub(rb" \g<0>", raw.lower()).split()
 
     def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids of each word, encoded together as one text."""
