@@ -10,7 +10,8 @@ The benchmark reaches executors in blocks of bounded size, one pass over the doc
 block is broadcast, and hits of a pass are merged with those of earlier passes, so no document is shuffled.
 
 Defined results: a null or empty text has no words, no spans and no items; an item without words has no
-window; repeated items count once for each id; rows in are rows out, whatever their ids.
+window; repeated items count once for each id; an item without an id has spans, but is not among the items;
+rows in are rows out, whatever their ids; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def find_hits(words: list[bytes], tables: list[WindowTables], spans: list, items
     for t in tables:
         reach = -1
         for start, names in t.search(words):
-            known.update(names)
+            known.update(x for x in names if x is not None)
             if found and start <= reach:
                 found[-1] = (found[-1][0], start + t.length)
             else:
@@ -114,7 +115,7 @@ def decontaminate(
     (ids as text, sorted). Columns of these names in ``docs`` are replaced."""
     spark = docs.sparkSession
     windows = materialize(item_windows(items, item_id, item_text, size))
-    total = windows.agg(F.coalesce(F.sum(F.length("window") + F.length("item")), F.lit(0))).first()[0]
+    total = windows.agg(F.coalesce(F.sum(F.length("window") + F.coalesce(F.length("item"), F.lit(0))), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / block_bytes))
     out = docs
     for block in range(blocks):

@@ -50,7 +50,7 @@ def plain_hits(text, items, size):
             for at in range(len(w) - n + 1):
                 if w[at : at + n] == b[k : k + n]:
                     hit.update(range(at, at + n))
-                    found.add(str(name))
+                    found |= {str(name)} if name is not None else set()
     return len(w), sorted(hit), sorted(found)
 
 
@@ -58,7 +58,7 @@ def plain_hits(text, items, size):
 def test_decontaminate(spark, block_bytes):
     rows = [r for r in cases.texts() if r[0] not in (90, 91, 92)]
     base = rows[0][1].split()
-    items = [(1, " ".join(base[5:30])), (2, "Two WORDS"), (3, "one"), (4, None), (5, ""), (6, "..."), (10, " ".join(base[20:26])), (10, " ".join(base[20:26])), (11, " ".join(base[90:100]))]
+    items = [(1, " ".join(base[5:30])), (2, "Two WORDS"), (3, "one"), (4, None), (5, ""), (6, "..."), (10, " ".join(base[20:26])), (10, " ".join(base[20:26])), (11, " ".join(base[90:100])), (None, " ".join(base[24:40])), (None, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("spans", F.lit(1))
     got = decontaminate.decontaminate(cases.documents(spark, rows), bench, block_bytes=block_bytes)
     assert set(cases.CLASHES) <= set(got.columns)
