@@ -17,7 +17,8 @@ ids can be in a result, so the others of a hot vector leave before any score is
 
 Defined results: null vectors, and vectors with a null or non-finite component, are neither queries nor
 candidates, as are rows with a null id. Vectors meet only those of the same length. Rows that repeat id and
-vector are one candidate; a query's own id is no candidate. Scores are exact integers.
+vector are one candidate, and one id with several vectors is as many candidates and queries, whose results are
+ranked together; a query's own id is no candidate. An empty table has no results. Scores are exact integers.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ def floored(vector: str, scale: int = 256) -> Column:
 
 
 def _blocks(rows: DataFrame, name: str, buckets: int) -> DataFrame:
-    """Blocks of vectors of one length: ids and their matrix as bytes."""
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets))).repartition("dim", "bucket")
+    """Blocks of vectors of one length: ids with row numbers, and their matrix, as bytes."""
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets))).repartition("dim", "bucket")
 
     def build(batches):
         for batch in batches:
@@ -56,13 +57,18 @@ def _blocks(rows: DataFrame, name: str, buckets: int) -> DataFrame:
                     part = batch.take(pa.array(at[i : i + most]))
                     matrix = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(d)], pa.int32()), pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())],
+                        [pa.array([int(d)], pa.int32()), pa.array([part.column("id").to_numpy().tobytes() + part.column("row").to_numpy().tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())],
                         names=["dim", f"{name}_ids", f"{name}_matrix"],
                     )
 
     return dealt.mapInArrow(build, f"dim int, {name}_ids binary, {name}_matrix binary")
 
 
+def _names(raw: bytes) -> np.ndarray:
+    """Ids and row numbers."""
+    return np.frombuffer(raw, dtype=np.int64).reshape(2, -1)
+
+
 def _matrix(raw: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.int64).reshape(-1, dim)
 
@@ -95,8 +101,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector
         return rows.where("id IS NOT NULL AND v IS NOT NULL").distinct().withColumn("dim", F.size("v"))
 
     same = Window.partitionBy("dim", "v").orderBy("id")
-    rows = materialize(usable(vectors).withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n"))
-    asked = materialize(usable(queries))
+    # an id may have several vectors, so rows go by numbers until the end
+    rows = materialize(usable(vectors).withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n").withColumn("row", F.monotonically_increasing_id()))
+    asked = materialize(usable(queries).withColumn("row", F.monotonically_increasing_id()))
     size = F.coalesce(F.sum("dim"), F.lit(0)).cast("long")
     row_blocks = materialize(_blocks(rows, "row", 1 + 2 * rows.agg(size).first()[0] // BLOCK_VALUES))
     asked_blocks = materialize(_blocks(asked, "ask", 1 + 2 * asked.agg(size).first()[0] // BLOCK_VALUES).withColumn("ask_block", F.monotonically_increasing_id()))
@@ -106,13 +113,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector
 
     def parts_of(batch: pa.RecordBatch):
         for r in batch.to_pylist():
-            ids, asks = np.frombuffer(r["row_ids"], np.int64), np.frombuffer(r["ask_ids"], np.int64)
+            (ids, at), (asks, ask_at) = _names(r["row_ids"]), _names(r["ask_ids"])
             a, b, cut = _matrix(r["row_matrix"], r["dim"]), _matrix(r["ask_matrix"], r["dim"]), _cuts(r["dim"])
             own = ids[:, None] == asks[None, :]
-            yield r, ids, asks, own, [products(a[:, i:j], b[:, i:j]) for i, j in zip(cut, cut[1:])]
+            yield r, at, ask_at, own, [products(a[:, i:j], b[:, i:j]) for i, j in zip(cut, cut[1:])]
 
     def local_lists(batch: pa.RecordBatch):
-        for _, ids, asks, own, parts in parts_of(batch):
+        for _, numbers, asks, own, parts in parts_of(batch):
             for part, p in enumerate(parts):
                 low = p.min(axis=0)
                 at = _best(np.where(own, low, p), k)
@@ -120,25 +127,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector
                 keep = ~own[at, col]
                 n = int(keep.sum())
                 full = sum(x[at, col] for x in parts)[keep]
-                yield {"query_id": asks[col[keep]], "part": np.full(n, part), "vec_id": ids[at[keep]], "p": p[at, col][keep], "full": full, "low": low[col[keep]]}
+                yield {"ask": asks[col[keep]], "part": np.full(n, part), "row": numbers[at[keep]], "p": p[at, col][keep], "full": full, "low": low[col[keep]]}
 
-    lists = map_batches(meet, local_lists, "query_id long, part int, vec_id long, p long, full long, low long")
+    lists = map_batches(meet, local_lists, "ask long, part int, row long, p long, full long, low long")
     lists = materialize(lists)
-    lows = lists.groupBy("query_id", "part").agg(F.min("low").alias("low"))
-    order = Window.partitionBy("query_id", "part").orderBy(F.desc("p"), "vec_id")
+    lows = lists.groupBy("ask", "part").agg(F.min("low").alias("low"))
+    order = Window.partitionBy("ask", "part").orderBy(F.desc("p"), "row")
     heads = lists.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    by_part = lows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("part", "low"))).alias("lows"), F.sum("low").alias("base"))
-    sums = heads.groupBy("query_id", "vec_id").agg(F.max("full").alias("s"))
-    kth = Window.partitionBy("query_id").orderBy(F.desc("s"))
-    first = sums.withColumn("n", F.row_number().over(kth)).where(F.col("n") == k).select("query_id", F.col("s").alias("tau"))
+    by_part = lows.groupBy("ask").agg(F.sort_array(F.collect_list(F.struct("part", "low"))).alias("lows"), F.sum("low").alias("base"))
+    sums = heads.groupBy("ask", "row").agg(F.max("full").alias("s"))
+    kth = Window.partitionBy("ask").orderBy(F.desc("s"))
+    first = sums.withColumn("n", F.row_number().over(kth)).where(F.col("n") == k).select("ask", F.col("s").alias("tau"))
     tau = F.coalesce(F.col("tau") - F.col("base"), F.lit(0))
-    cutoffs = by_part.join(first, "query_id", "left").select("query_id", tau.alias("tau"), F.ceil(tau / PARTS).cast("long").alias("cutoff"), "lows.low")
+    cutoffs = by_part.join(first, "ask", "left").select("ask", tau.alias("tau"), F.ceil(tau / PARTS).cast("long").alias("cutoff"), "lows.low")
 
-    ask_ids = map_batches(asked_blocks, lambda b: ({"ask_block": np.full(len(q), n), "query_id": q, "place": np.arange(len(q))} for n, q in zip(b.column("ask_block").to_pylist(), (np.frombuffer(x, np.int64) for x in b.column("ask_ids").to_pylist()))), "ask_block long, query_id long, place int")
-    packed = ask_ids.join(cutoffs, "query_id", "left").groupBy("ask_block").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("tau", F.lit(0)).alias("tau"), F.coalesce("cutoff", F.lit(0)).alias("cutoff"), "low"))).alias("limits"))
+    ask_ids = map_batches(asked_blocks, lambda b: ({"ask_block": np.full(len(q), n), "ask": q, "place": np.arange(len(q))} for n, q in zip(b.column("ask_block").to_pylist(), (_names(x)[1] for x in b.column("ask_ids").to_pylist()))), "ask_block long, ask long, place int")
+    packed = ask_ids.join(cutoffs, "ask", "left").groupBy("ask_block").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("tau", F.lit(0)).alias("tau"), F.coalesce("cutoff", F.lit(0)).alias("cutoff"), "low"))).alias("limits"))
 
     def sufficient(batch: pa.RecordBatch):
-        for r, ids, asks, own, parts in parts_of(batch):
+        for r, numbers, asks, own, parts in parts_of(batch):
             cutoff, tau = (np.array([x[c] for x in r["limits"]], dtype=np.int64) for c in ("cutoff", "tau"))
             low = np.array([x["low"] or [0] * PARTS for x in r["limits"]], dtype=np.int64)
             moved = [p - low[:, i] for i, p in enumerate(parts)]
@@ -146,14 +153,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector
             upper = sum(np.where(s, m, cutoff) for s, m in zip(sent, moved))
             at, col = np.nonzero(np.logical_or.reduce(sent) & (upper >= tau))
             known = sum(np.where(s, m, 0)[at, col] for s, m in zip(sent, moved))
-            yield {"query_id": asks[col], "vec_id": ids[at], "known": known, "upper": upper[at, col]}
+            yield {"ask": asks[col], "row": numbers[at], "known": known, "upper": upper[at, col]}
 
-    entries = materialize(map_batches(meet.join(packed, "ask_block"), sufficient, "query_id long, vec_id long, known long, upper long"))
-    better = Window.partitionBy("query_id").orderBy(F.desc("known"))
-    second = entries.withColumn("n", F.row_number().over(better)).where(F.col("n") == k).select("query_id", F.col("known").alias("tau"))
-    left = entries.join(second, "query_id", "left").where(F.col("upper") >= F.coalesce("tau", F.lit(0))).select("query_id", "vec_id")
+    entries = materialize(map_batches(meet.join(packed, "ask_block"), sufficient, "ask long, row long, known long, upper long"))
+    better = Window.partitionBy("ask").orderBy(F.desc("known"))
+    second = entries.withColumn("n", F.row_number().over(better)).where(F.col("n") == k).select("ask", F.col("known").alias("tau"))
+    left = entries.join(second, "ask", "left").where(F.col("upper") >= F.coalesce("tau", F.lit(0))).select("ask", "row")
 
-    full = left.join(rows.select(F.col("id").alias("vec_id"), F.col("v").alias("a")), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("b")), "query_id")
+    full = left.join(rows.select("row", F.col("id").alias("vec_id"), F.col("v").alias("a")), "row").join(asked.select(F.col("row").alias("ask"), F.col("id").alias("query_id"), F.col("v").alias("b")), "ask")
     scored = full.where(F.size("a") == F.size("b")).select(
         "query_id", "vec_id", F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x).alias("score")
     )

@@ -70,6 +70,19 @@ def test_top_k(spark, monkeypatch, values):
     assert topk.top_k(df, df.limit(0), k=5).count() == 0 == topk.top_k(df.limit(0), df, k=5).count()
 
 
+def test_top_k_with_several_vectors_of_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (2, [0.25, 0.0]), (10, [0.0, 1.0]), (10, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id % 10 = 0"), k=4).orderBy("query_id", "rank").collect()
+    vectors = {(i, tuple(int(256 * x) for x in v)) for i, v in rows}
+    want = []
+    for q in (0, 10):
+        scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for j, a in vectors if j == q for i, b in vectors if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:4])]
+    assert [tuple(r) for r in got] == want
+    assert want[:3] == [(0, 1, 1, 65536), (0, 2, 1, 32768), (0, 3, 10, 32768)]
+
+
 # -- chat
 
 
@@ -125,6 +138,26 @@ def test_chat_format(spark, monkeypatch):
     assert chat.parse(df.limit(0), model).count() == 0
 
 
+def test_chat_turns_of_one_line(spark):
+    rng = random.Random(3)
+    rows = []
+    for c in range(80):
+        for t in range(8):
+            role = ("user", "assistant")[t % 2]
+            body = "\n".join(cases.sentence(rng, 5, ["so", "then", "why"]) + ("?" if role == "user" else ".") for _ in range(1 if role == "user" else 2))
+            rows.append((c, t, ("" if t % 3 == 1 else f"{role.title()}: ") + body, role))
+    rows += [(90, 0, "Narrator: once upon a time", "narrator"), (90, 1, "User: x?", "user")]
+    df = spark.createDataFrame(rows, "transcript long, part long, text string, role string")
+    for borders in (True, False):
+        model = chat.fit_on(df.where("transcript % 2 = 1 OR transcript = 90"), borders=borders)
+        user, goes_on = (chat.STATES.index((1, opens)) for opens in (1, 0))
+        assert np.exp(model.move[user, chat.STATES.index((2, 1))]) > 0.9  # the state after a line of its own
+        assert np.exp(model.move[user, goes_on]) < 0.1
+        found = {(r["transcript"], r["turn"], r["role"], r["text"]) for r in chat.parse(df.where("transcript < 90"), model, borders=borders).collect()}
+        want = {(c, t, role, text.removeprefix(f"{role.title()}: ")) for c, t, text, role in rows if c < 90}
+        assert len(found & want) > 0.98 * len(want)
+
+
 # -- pipeline
 
 
