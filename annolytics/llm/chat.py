@@ -13,7 +13,7 @@ block) give the best state at each block's end; each block is then solved betwee
 
 Defined results: a null text, and lines of white space alone, are left out; rows that repeat transcript, part
 and text count once; parts with the same number are ordered by text; a transcript's first line opens a turn;
-equal probabilities go to the first state; a transcript of no lines has no turns.
+labelled parts whose role is none of the three are no examples; equal probabilities go to the first state; a transcript of no lines has no turns.
 """
 
 from __future__ import annotations
@@ -129,9 +129,9 @@ def join_paths(matrices: list[np.ndarray], after: int | None) -> list[int]:
     return ends[::-1]
 
 
-def part_lines(text: str | None) -> list[tuple[str, int, int]]:
-    """Lines of a part with marker kind and feature number."""
-    out, blank = [], True
+def part_lines(text: str | None, borders: bool = True) -> list[tuple[str, int, int]]:
+    """Lines of a part with marker kind and feature number; ``borders``: a part's start counts as a blank line."""
+    out, blank = [], borders
     for line in (text or "").split("\n"):
         if line.strip():
             out.append((line, *observe(line, blank)))
@@ -139,21 +139,24 @@ def part_lines(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def fit_on(parts: DataFrame, role: str = "role") -> Model:
+def fit_on(parts: DataFrame, role: str = "role", borders: bool = True) -> Model:
     """Model from labelled parts (``transcript``, ``part``, ``text`` and the column ``role``), one turn each. The
-    state before a part's first line is that of the part before it."""
+    state before a part's first line is that of the last line before it: where the part before has one line, it
+    opens a turn, else it goes on with one. Without ``borders`` the start of a part is not observed."""
     numbers = F.create_map(*[F.lit(x) for i, r in enumerate(ROLES) for x in (r, i)])
     known = parts.select("transcript", "part", F.col("text").cast("string").alias("text"), numbers[F.col(role)].alias("role")).where("role IS NOT NULL").distinct()
     # the part before is found by its number; where that is missing the part counts as a start
-    before = known.select("transcript", (F.col("part") + 1).alias("part"), F.col("role").alias("last")).groupBy("transcript", "part").agg(F.max("last").alias("last"))
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"(?U)[^\s\x1c-\x1f]")))
+    ends = F.struct(F.col("role").alias("role"), (lines == 1).cast("int").alias("opens"))
+    before = known.where(lines > 0).select("transcript", (F.col("part") + 1).alias("part"), "text", ends.alias("last"))
+    before = before.groupBy("transcript", "part").agg(F.max_by("last", "text").alias("last"))
     rows = known.join(before, ["transcript", "part"], "left")
 
     def states(batch: pa.RecordBatch):
         out = {"state": [], "before": [], "marker": [], "feature": []}
         for text, role_no, last in zip(*(batch.column(c).to_pylist() for c in ("text", "role", "last"))):
-            # a part before may have one line, which opens, or more; the last state is then a kept role
-            state = None if last is None else STATES.index((last, 0))
-            for i, (_, marker, feature) in enumerate(part_lines(text)):
+            state = None if last is None else STATES.index((last["role"], last["opens"]))
+            for i, (_, marker, feature) in enumerate(part_lines(text, borders)):
                 now = STATES.index((role_no, int(i == 0)))
                 for name, value in zip(out, (now, state, marker, feature)):
                     out[name].append(value)
@@ -167,12 +170,12 @@ def _ordered(df: DataFrame, *more: str) -> DataFrame:
     return df.repartition("transcript", "block").sortWithinPartitions("transcript", "block", *more)
 
 
-def _observed(rows: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray]:
-    lines = [x for t in rows.column("text").to_pylist() for x in part_lines(t)]
+def _observed(rows: pa.Table, borders: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    lines = [x for t in rows.column("text").to_pylist() for x in part_lines(t, borders)]
     return [x[0] for x in lines], np.array([x[1] for x in lines], dtype=np.int64), np.array([x[2] for x in lines], dtype=np.int64)
 
 
-def parse(parts: DataFrame, model: Model, transcript: str = "transcript", part: str = "part", text: str = "text") -> DataFrame:
+def parse(parts: DataFrame, model: Model, transcript: str = "transcript", part: str = "part", text: str = "text", borders: bool = True) -> DataFrame:
     """Recovered turns: ``transcript``, ``turn`` from 0, ``role``, ``text`` without the marker, ``rendered``."""
     rows = parts.select(F.col(transcript).alias("transcript"), F.col(part).cast("long").alias("part"), F.col(text).cast("string").alias("text"))
     rows = rows.where("transcript IS NOT NULL AND part IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"\S")).distinct()
@@ -181,7 +184,7 @@ def parse(parts: DataFrame, model: Model, transcript: str = "transcript", part:
 
     def matrices(batches):
         for (name, block), group in grouped(batches, ["transcript", "block"]):
-            _, marker, feature = _observed(group)
+            _, marker, feature = _observed(group, borders)
             if len(marker):
                 e = model.emission(marker, feature)
                 both = [block_matrix(model, e, first).tobytes() for first in (True, False)]
@@ -199,7 +202,7 @@ def parse(parts: DataFrame, model: Model, transcript: str = "transcript", part:
 
     def pieces(batches):
         for (name, block), group in grouped(batches, ["transcript", "block"]):
-            lines, marker, feature = _observed(group)
+            lines, marker, feature = _observed(group, borders)
             before, after = group.column("before")[0].as_py(), group.column("after")[0].as_py()
             path = block_path(model, model.emission(marker, feature), before, after)
             got: list[tuple[int, int, list[str]]] = []
