@@ -184,6 +184,16 @@ def t14(t: Tables) -> DataFrame:
     return out.select("query_id", "vec_id", r6("original_score").alias("original_score"), r6("score").alias("score"), "rank")
 
 
+# texts stored by buckets of ids; only folders with hits are read
+@query("t14_retrieve_stored", f"WITH {RERANK_SQL.format(n=15, w='WHERE cosine >= 0.35')} SELECT query_id, vec_id, round(cosine, 6) AS original_score, round(rs, 6) AS score, CAST(new_rank AS INTEGER) AS rank FROM rk WHERE new_rank <= 5")
+def t14_stored(t: Tables) -> DataFrame:
+    idx, q = texted(t)
+    path = scratch_path(t.spark, "texts")
+    index_store.save_index(idx, path)
+    out = R.retrieve(index_store.load_index(t.spark, path), q, 5, threshold=0.35, rerank_with=True)
+    return out.select("query_id", "vec_id", r6("original_score").alias("original_score"), r6("score").alias("score"), "rank")
+
+
 @query("t14_retrieve_many", f"WITH {RERANK_SQL.format(n=450, w='')} SELECT query_id, vec_id, round(cosine, 6) AS original_score, round(rs, 6) AS score, CAST(new_rank AS INTEGER) AS rank FROM rk WHERE new_rank <= 150")
 def t14b(t: Tables) -> DataFrame:
     idx, q = texted(t)

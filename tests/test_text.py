@@ -1,5 +1,6 @@
 import random
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,60 @@ def test_search_equals_brute_force(vectors, metric):
     assert R.search(index, queries, 500).count() == 9 * 120
 
 
+@pytest.mark.parametrize("metric", ["cosine", "ip", "l2"])
+def test_blocks_out_of_reach_are_skipped(metric):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(900, 4)) * np.geomspace(20, 0.01, 900)[:, None]
+    v[300:600] = v[7]  # a third of all vectors is equal
+    if metric == "cosine":
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+    q, k = v[[7, 0, 850]] + 0.001, 5
+    ids = pa.array(rng.permutation(900))
+    rows, place = R._in_order(v, ids, np.arange(900), k)
+    assert len(rows) <= 600 + k
+    best = R.BestRows(metric, q, pa.array(["a", "b", "c"]), k)
+    for at in range(0, len(rows), 60):
+        part = rows[at:at + 60]
+        part = part[np.argsort(place[part])]
+        best.add(v[part], ids.take(pa.array(part)), R.Ball.unpack(R.Ball.around(v[part]).pack()))
+    (got,) = best.batch(["q", "id", "score"])
+    s = R._scores(metric, v, q).round(12)
+    want = {("abc"[i], int(ids[int(j)].as_py())) for i in range(3) for j in sorted(range(900), key=lambda j: (-s[i, j], ids[j].as_py()))[:k]}
+    assert set(zip(got["q"].to_pylist(), got["id"].to_pylist())) == want and got.num_rows == 3 * k
+    assert metric == "cosine" or best.skipped > 5
+
+
+def test_texts_are_read_where_hits_are(spark, vectors):
+    v, q, vec, queries = vectors
+    texts = vec.withColumn("text", F.concat(F.lit("text "), "vec_id"))
+    index = R.build_index(texts, 8)
+    path = scratch_path(spark, "rows")
+    store.save_index(index, path, buckets=40)
+    back = store.load_index(spark, path)
+    want = {(q_, j, f"text {j}") for (q_, _), j in expected(v, q, 2, "cosine").items() if q_ == "q0"}
+    one = queries.where("query_id = 'q0'")
+    for each in (index, back, R.add_vectors(back, texts.limit(0))):
+        got = R.retrieve(each, one, 2)
+        assert {(r.query_id, r.vec_id, r.text) for r in got.collect()} == want
+    # folders without a hit are not opened: a broken file in them does no harm
+    bucket = {r.vec_id: r.id_bucket for r in back.rows.collect()}
+    without = sorted(set(bucket.values()) - {bucket[j] for _, j, _ in want})[-8:]
+    for b in without:
+        with open(f"{path}/rows/id_bucket={b}/part-broken.parquet", "wb") as f:
+            f.write(b"no parquet")
+    back = store.load_index(spark, path)
+    got = R.retrieve(back, one, 2)
+    assert {(r.query_id, r.vec_id, r.text) for r in got.collect()} == want
+    with pytest.raises(Exception, match="part-broken"):
+        back.rows.collect()
+    assert got._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 2  # one search
+    assert R.retrieve(back, queries.limit(0), 2).count() == 0
+    again = scratch_path(spark, "again")
+    store.save_index(R.build_index(vec, 8), again)  # no other columns
+    assert R.retrieve(store.load_index(spark, again), one, 2).count() == 2
+    store.clear_index(spark, path)
+
+
 def test_ivf_and_store(spark, vectors):
     v, q, vec, queries = vectors
     flat = R.build_index(vec, 8)
