@@ -159,29 +159,3 @@ def recursive_chunks(text: str | Column, size: int = 512, overlap: int = 50, sep
         return texts.map(lambda t: None if t is None else recursive_pieces(t, size, overlap, seps))
 
     return split(col(text))
-
-
-def semantic_ranges(lengths: Column, similarities: Column, threshold: float, min_size: int, max_size: int) -> Column:
-    """Sentence ranges: cut where neighbours are dissimilar or the chunk would grow too long, once it is long enough.
-
-    ``lengths`` are the sentence lengths, one more than there are similarities.
-    """
-    start = F.struct(
-        F.array().cast("array<struct<first:int,last:int>>").alias("done"), F.lit(0).alias("first"),
-        F.get(lengths, F.lit(0)).alias("used"), F.lit(0).alias("at"),
-    )
-    following = F.slice(lengths, F.lit(2), F.greatest(F.size(lengths) - 1, F.lit(0)))
-    joints = F.zip_with(similarities, following, lambda sim, n: F.struct(sim.alias("sim"), n.alias("n")))
-
-    def step(acc: Column, x: Column) -> Column:
-        cut = (F.coalesce(x["sim"] < threshold, F.lit(False)) | (acc["used"] + x["n"] > max_size)) & (acc["used"] >= min_size)
-        closed = F.array_append(acc["done"], F.struct(acc["first"].alias("first"), acc["at"].alias("last")))
-        return F.struct(
-            F.when(cut, closed).otherwise(acc["done"]).alias("done"),
-            F.when(cut, acc["at"] + 1).otherwise(acc["first"]).alias("first"),
-            F.when(cut, x["n"]).otherwise(acc["used"] + x["n"]).alias("used"), (acc["at"] + 1).alias("at"),
-        )
-
-    return F.aggregate(joints, start, step, lambda acc: F.array_append(
-        acc["done"], F.struct(acc["first"].alias("first"), acc["at"].alias("last"))
-    ))

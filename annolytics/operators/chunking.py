@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,50 +52,92 @@ def chunk_recursive(
     return _rows(df, keep, pieces, "recursive")
 
 
+def in_slices(lengths: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours with at most ``most`` characters in all, or one text that is longer."""
+    first = used = 0
+    for i, n in enumerate(lengths):
+        if i > first and used + n > most:
+            yield first, i
+            first, used = i, 0
+        used += n
+    if first < len(lengths):
+        yield first, len(lengths)
+
+
+class SemanticFold:
+    """Cuts a stream of sentences: where neighbours are dissimilar or the chunk would grow too long, once it is
+    long enough. It keeps the open chunk and the last sentence's vector, so a document may be of any length."""
+
+    def __init__(self, threshold: float, min_size: int, max_size: int):
+        self.threshold, self.min_size, self.max_size = threshold, min_size, max_size
+        self.last: np.ndarray | None = None
+        self._open()
+
+    def _open(self) -> None:
+        self.chunk, self.parts, self.used, self.total, self.joints = 0, [], 0, 0.0, 0
+
+    def similarities(self, vectors: np.ndarray) -> list[float]:
+        """Cosine of each sentence and the one before it, NaN where there is none or a vector is zero."""
+        rows = vectors if self.last is None else np.vstack([self.last, vectors])
+        self.last = rows[-1:]
+        norms = np.linalg.norm(rows, axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            found = np.einsum("ij,ij->i", rows[:-1], rows[1:]) / (norms[:-1] * norms[1:])
+        return [float("nan")] * (len(vectors) - len(found)) + found.tolist()
+
+    def take(self, place: int, count: int, sentence: str, similarity: float) -> Iterator[tuple[int | None, str, float | None]]:
+        """(chunk number, text, mean similarity) of the chunks that end with or before this sentence."""
+        if place == 0:
+            self._open()
+        else:
+            self.total += similarity
+            self.joints += 1
+            if (similarity < self.threshold or self.used + len(sentence) > self.max_size) and self.used >= self.min_size:
+                mean = self.total / self.joints  # the cut takes part
+                yield self.chunk, "".join(self.parts), None if np.isnan(mean) else mean
+                self.chunk, self.parts, self.used, self.total, self.joints = self.chunk + 1, [], 0, 0.0, 0
+        self.parts.append(sentence)
+        self.used += len(sentence)
+        if place == count - 1:
+            yield None if count == 1 else self.chunk, "".join(self.parts), None
+
+
 def chunk_semantic(
     df: DataFrame, keep: Sequence[str], threshold: float = 0.5, min_size: int = 100, max_size: int = 1000,
-    embed: Callable[[list[str]], np.ndarray] | None = None, text: str = "text",
+    embed: Callable[[list[str]], np.ndarray] | None = None, text: str = "text", embed_chars: int = 1 << 20,
 ) -> DataFrame:
-    """Cut between dissimilar neighbouring sentences. ``embed`` maps a list of sentences to a matrix.
+    """Cut between dissimilar neighbouring sentences. ``embed`` maps a list of sentences to a matrix; it gets at
+    most ``embed_chars`` characters at a time, or one longer sentence.
 
-    Mean similarity is given for all chunks but the last; a text of one sentence is one chunk without id.
+    Sentences are rows that pass once, in order, without a shuffle. Mean similarity is given for all chunks but
+    the last; a text of one sentence is one chunk without id; a null text or one without sentences has no chunk.
     """
     fn = embed or hashed_words(64)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def neighbour_similarity(lists: pd.Series) -> pd.Series:
-        flat = [s for row in lists for s in row]
-        vectors = np.asarray(fn(flat), dtype="float64") if flat else np.zeros((0, 1))
-        norms = np.linalg.norm(vectors, axis=1)
-        out, at = [], 0
-        for row in lists:
-            v, n = vectors[at:at + len(row)], norms[at:at + len(row)]
-            at += len(row)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out.append(np.einsum("ij,ij->i", v[:-1], v[1:]) / (n[:-1] * n[1:]) if len(row) > 1 else np.zeros(0))
-        return pd.Series(out)
-
     split = once(df.select(*keep, F.col(text).alias("__t")), __s=C.split_sentences("__t"))
-    scored = split.withColumn("__raw", neighbour_similarity("__s"))
-    sized = once(scored, __l=F.transform("__s", lambda x: F.length(x)), __sim=F.transform("__raw", lambda v: F.when(~F.isnan(v), v)))
-    ranges = once(sized, __r=C.semantic_ranges(F.col("__l"), F.col("__sim"), threshold, min_size, max_size))
-
-    def build(r: Column, i: Column) -> Column:
-        # the cut between `last` and the next sentence takes part in the mean
-        span = F.slice("__sim", r["first"] + 1, r["last"] - r["first"] + 1)
-        total = F.aggregate(span, F.lit(0.0), lambda a, v: a + v)
-        last = i == F.size("__r") - 1
-        return F.struct(
-            i.alias("chunk_id"),
-            F.array_join(F.slice("__s", r["first"] + 1, r["last"] - r["first"] + 1), "").alias("text"),
-            F.when(~last, F.try_divide(total, F.size(span))).alias("avg_similarity"),
-        )
-
-    whole = F.array(F.struct(
-        F.lit(None).cast("int").alias("chunk_id"), F.col("__t").alias("text"), F.lit(None).cast("double").alias("avg_similarity")
-    ))
-    chunks = F.when(F.size("__s") > 1, F.transform("__r", build)).when(F.size("__s") == 1, whole)
-    return _rows(ranges, keep, chunks, "semantic")
+    whole = F.when(F.size("__s") == 1, F.array("__t")).otherwise(F.col("__s"))
+    sentences = split.select(*keep, F.size("__s").alias("__n"), F.posexplode(whole).alias("__i", "__x"))
+    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("chunk_id", T.IntegerType()),
+                           T.StructField("text", T.StringType()), T.StructField("avg_similarity", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = SemanticFold(threshold, min_size, max_size)
+        for b in batches:
+            texts, places, counts = (b.column(c).to_pylist() for c in ("__x", "__i", "__n"))
+            rows, out = [], []
+            for first, end in in_slices([len(x) for x in texts], embed_chars):
+                near = fold.similarities(np.asarray(fn(texts[first:end]), dtype="float64"))
+                for i in range(first, end):
+                    for chunk in fold.take(places[i], counts[i], texts[i], near[i - first]):
+                        rows.append(i)
+                        out.append(chunk)
+            if rows:
+                kept = [b.column(j).take(pa.array(rows)) for j in range(len(keep))]
+                ids, parts, means = zip(*out)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.int32()), pa.array(parts, pa.string()), pa.array(means, pa.float64())], names=schema.names)
+
+    made = sentences.mapInArrow(run, schema)
+    rest = {c: F.lit("semantic" if c == "chunking_strategy" else None).cast(KINDS[c]) for c in CHUNK_COLUMNS if c not in made.columns}
+    return made.withColumns(rest).select(*keep, *CHUNK_COLUMNS)
 
 
 def chunk_hybrid(parts: Sequence[DataFrame], weights: Sequence[float] | None = None) -> DataFrame:

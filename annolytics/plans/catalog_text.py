@@ -69,7 +69,23 @@ def t4(t: Tables) -> DataFrame:
     return K.chunk_recursive(t.texts.select("doc_id", "text"), ["doc_id"]).select("doc_id", "chunk_id", "text")
 
 
-@query("t5_chunk_semantic")
+SEMANTIC_SQL = rf"""{SENT_SQL}, sx AS (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS x FROM sn),
+sw AS (SELECT doc_id, i, slot, count(*) AS n FROM (SELECT doc_id, i, CAST('0x' || substring(md5(w), 1, 8) AS BIGINT) % 64 AS slot FROM (SELECT doc_id, i, unnest(regexp_extract_all(lower(x), '[\pL\pN_]+')) AS w FROM sx)) GROUP BY ALL),
+sq AS (SELECT doc_id, i, sqrt(sum(n * n)) AS norm FROM sw GROUP BY ALL),
+dt AS (SELECT a.doc_id, a.i, sum(a.n * b.n) AS dot FROM sw a JOIN sw b ON a.doc_id = b.doc_id AND a.i = b.i + 1 AND a.slot = b.slot GROUP BY ALL),
+sm AS (SELECT sx.doc_id, sx.i, coalesce(dot, 0) / (p.norm * q.norm) AS sim FROM sx LEFT JOIN sq p ON p.doc_id = sx.doc_id AND p.i = sx.i LEFT JOIN sq q ON q.doc_id = sx.doc_id AND q.i = sx.i - 1 LEFT JOIN dt ON dt.doc_id = sx.doc_id AND dt.i = sx.i WHERE sx.i > 0),
+ml AS (SELECT doc_id, list(sim ORDER BY i) AS m FROM sm GROUP BY 1),
+ln AS (SELECT doc_id, s, list_transform(s, lambda x: length(x)) AS l, m FROM sn LEFT JOIN ml USING (doc_id)),
+fold AS (SELECT doc_id, 1 AS pos, 0 AS lo, l[1] AS used, -1 AS cf, -1 AS cl FROM ln WHERE len(l) > 1
+UNION ALL SELECT doc_id, pos + 1, CASE WHEN cut THEN pos ELSE lo END, CASE WHEN cut THEN 0 ELSE used END + l[pos + 1], CASE WHEN cut THEN lo ELSE -1 END, CASE WHEN cut THEN pos - 1 ELSE -1 END
+FROM (SELECT fold.*, ln.l, (coalesce(m[pos] < 0.2, false) OR used + l[pos + 1] > 1000) AND used >= 100 AS cut FROM fold JOIN ln USING (doc_id) WHERE pos < len(l))),
+rg AS (SELECT doc_id, cf AS f, cl AS l, true AS inner_ FROM fold WHERE cf >= 0 UNION ALL SELECT doc_id, lo, pos - 1, false FROM fold JOIN ln USING (doc_id) WHERE pos = len(ln.l)),
+js AS (SELECT rg.*, ln.s, m[f + 1 : rg.l + 1] AS j FROM rg JOIN ln USING (doc_id))"""
+
+
+@query("t5_chunk_semantic", f"""WITH RECURSIVE {SEMANTIC_SQL} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY f) - 1 AS INTEGER) AS chunk_id, array_to_string(s[f + 1 : l + 1], '') AS text,
+CASE WHEN inner_ AND len(list_filter(j, lambda x: x IS NULL)) = 0 THEN round(list_sum(j) / len(j), 6) END AS avg_similarity FROM js
+UNION ALL SELECT doc_id, NULL, text, NULL FROM documents JOIN sn USING (doc_id) WHERE len(s) = 1""")
 def t5(t: Tables) -> DataFrame:
     out = K.chunk_semantic(t.texts.select("doc_id", "text"), ["doc_id"], threshold=0.2)
     return out.select("doc_id", "chunk_id", "text", r6("avg_similarity").alias("avg_similarity"))

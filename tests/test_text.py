@@ -90,6 +90,55 @@ def test_semantic(spark):
     assert K.chunk_semantic(one(spark, "Cat sat. Cat sat. "), ["doc_id"], 0.5, 5, 12).count() == 2
 
 
+def plain_semantic(sentences, whole, fn, threshold, low, high):
+    if len(sentences) < 2:
+        return [(None, whole, None)] if sentences else []
+    v = fn(sentences)
+    norm = np.linalg.norm(v, axis=1)
+    sims = [float(a @ b / (x * y)) if x and y else None for a, b, x, y in zip(v, v[1:], norm, norm[1:])]
+    out, first = [], 0
+    for i, sim in enumerate(sims):
+        used = sum(map(len, sentences[first:i + 1]))
+        if used >= low and ((sim is not None and sim < threshold) or used + len(sentences[i + 1]) > high):
+            joints = sims[first:i + 1]
+            out.append((len(out), "".join(sentences[first:i + 1]), None if None in joints else round(sum(joints) / len(joints), 9)))
+            first = i + 1
+    return [*out, (len(out), "".join(sentences[first:]), None)]
+
+
+def test_semantic_over_batches(spark):
+    rng = random.Random(4)
+    words = ["eye", "disc", "cup", "vein", "...", "#"]
+    docs = [(i, "".join(" ".join(rng.choices(words, k=rng.randint(1, 5))) + rng.choice([". ", "! ", "\n\n"]) for _ in range(rng.randint(0, 40)))) for i in range(30)]
+    docs += [(40, None), (41, ""), (42, " \n "), (43, "one  "), docs[0]]
+    df = spark.createDataFrame(docs, "doc_id int, text string").withColumn("chunk", F.lit("x"))
+    fn = hashed_words(16)
+    cut = {r.doc_id: r.s for r in df.select("doc_id", C.split_sentences("text").alias("s")).collect()}
+    want = sorted((d, *c) for d, t in docs for c in plain_semantic(cut[d] or [], t, fn, 0.4, 10, 60))
+    rows = lambda d: sorted((r.doc_id, r.chunk_id, r.text, r.avg_similarity and round(r.avg_similarity, 9)) for r in d.collect())
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch, chars in ((before, 1 << 20), ("3", 1 << 20), ("50", 30)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = rows(K.chunk_semantic(df, ["doc_id", "chunk"], 0.4, 10, 60, fn, embed_chars=chars))
+            assert [(d, -1 if n is None else n, t, s) for d, n, t, s in got] == [(d, -1 if n is None else n, t, s) for d, n, t, s in want]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert list(K.in_slices([5, 5, 5, 90, 1], 10)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+
+
+def test_a_long_document_is_embedded_in_parts(spark):
+    def fn(texts):
+        if sum(map(len, texts)) > 50_000:
+            raise ValueError("too many at a time")
+        return np.ones((len(texts), 2))
+
+    long = spark.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("Eye and disc. "), 300_000).alias("text"))
+    got = K.chunk_semantic(long, ["doc_id"], 0.5, 100, 1000, fn, embed_chars=50_000)
+    r = got.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("most")).first()
+    assert (r.n, r.chars, r.most) == (-(-300_000 // 71), 300_000 * 14, 71 * 14)
+
+
 def test_hybrid_weights(spark):
     d = one(spark, TEXT)
     parts = [K.chunk_fixed(d, ["doc_id"], 20, 0), K.chunk_semantic(d, ["doc_id"])]
