@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import col
-from .text import py_strip
 
 # Default separators.
 SENTENCE_SEPARATORS = ["。", "！", "？", ". ", "! ", "? ", "\n\n"]
@@ -19,7 +18,8 @@ RECURSIVE_SEPARATORS = ["\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", " "
 
 
 def _is_blank(c: Column) -> Column:
-    return py_strip(c) == ""
+    """Whether there is white space only; the search ends at the first other character."""
+    return ~c.rlike(r"(?U)\S")
 
 
 def fixed_chunks(text: str | Column, size: int = 512, overlap: int = 50) -> Column:
@@ -38,6 +38,13 @@ def fixed_chunks(text: str | Column, size: int = 512, overlap: int = 50) -> Colu
     ))
 
 
+def _apart(separators: Sequence[str]) -> bool:
+    """Whether no two separators can overlap in a text, so that they may be marked one after the other."""
+    return not any(
+        a in b or any(a.endswith(b[:n]) for n in range(1, len(b))) for a in separators for b in separators if a != b
+    )
+
+
 def split_sentences(text: str | Column, separators: Sequence[str] = SENTENCE_SEPARATORS) -> Column:
     """Sentences with their separators, blank ones dropped; together they are the text without blanks.
 
@@ -49,7 +56,13 @@ def split_sentences(text: str | Column, separators: Sequence[str] = SENTENCE_SEP
     t = col(text)
     odd = t.contains("\u0001")
     safe = F.when(odd, F.replace(t, F.lit("\u0001"), F.lit(esc))).otherwise(t)
-    parts = F.split(F.regexp_replace(safe, f"({either})", f"$1{mark}"), mark)
+    marked = safe
+    if _apart(separators):  # plain replacement, without a pattern, takes half the time
+        for s in separators:
+            marked = F.replace(marked, F.lit(s), F.lit(s + mark))
+    else:
+        marked = F.regexp_replace(safe, f"({either})", f"$1{mark}")
+    parts = F.split(marked, mark)
     restored = F.when(odd, F.transform(parts, lambda p: F.replace(p, F.lit(esc), F.lit("\u0001")))).otherwise(parts)
     return F.filter(restored, lambda s: ~_is_blank(s))
 

@@ -1,4 +1,5 @@
 import random
+import re
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -90,6 +91,19 @@ def test_semantic(spark):
     assert K.chunk_semantic(one(spark, "Cat sat. Cat sat. "), ["doc_id"], 0.5, 5, 12).count() == 2
 
 
+def test_separators_that_overlap(spark):
+    assert C._apart(C.SENTENCE_SEPARATORS) and not C._apart([". ", " -"]) and not C._apart(["ab", "b"])
+    rng = random.Random(6)
+    texts = ["".join(rng.choices([". ", " ", "-", "a", "\n", "\n\n", "! ", "\u0001", "\u0001\u0003", "。"], k=30)) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for separators in (C.SENTENCE_SEPARATORS, [". ", " -", "-"]):
+        either = "|".join(map(re.escape, separators))
+        for r in df.select("text", C.split_sentences("text", separators).alias("s")).collect():
+            ends = [m.end() for m in re.finditer(either, r.text)]
+            want = [r.text[a:b] for a, b in zip([0, *ends], [*ends, len(r.text)])]
+            assert r.s == [x for x in want if x.strip()]
+
+
 def plain_semantic(sentences, whole, fn, threshold, low, high):
     if len(sentences) < 2:
         return [(None, whole, None)] if sentences else []
