@@ -155,6 +155,16 @@ def _sum_rows(sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: in
         yield from dealt((mix(doc.view(np.uint64)) % _U(buckets)).astype(np.int64), [doc, total, n], SUMS)
 
 
+def _gather(held: list, sums: list, buckets: int, at_end: bool = False) -> list[tuple[int, int, bytes]]:
+    """Keep a bucket's sums with those of the task's other buckets; all of them as rows once they are many."""
+    held.extend(x for x in sums if len(x[0]))
+    if not held or not at_end and sum(len(x[0]) for x in held) < AT_ONCE:
+        return []
+    rows = list(_sum_rows(held, buckets))
+    held.clear()
+    return rows
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_count: int = 2) -> DataFrame:
     """``doc_id``, ``n_words``, ``logprob_micro`` (sum of ln S in millionths) and ``score`` (mean ln S)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
@@ -214,6 +224,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_count
             yield flush()
 
     def pairs_step(batches):
+        held = []
         for batch in _by_bucket(batches):
             out, sums = list(batch[1]), []
             if batch[0].get(PAIRS):
@@ -236,18 +247,21 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_count
                 ask = rare & (count == 0)
                 (w1, d1), (m1,) = summed([w[ask], doc[ask]], [m[ask]])
                 out.extend(dealt((mix(w1) % _U(buckets)).astype(np.int64), [w1, d1, m1, np.ones(len(w1), np.int64)], ASKS))
-            out.extend(_sum_rows(sums, buckets))
+            out.extend(_gather(held, sums, buckets))
             yield _batch(out)
+        yield _batch(_gather(held, [], buckets, at_end=True))
 
     def words_step(batches):
+        held = []
         for batch in _by_bucket(batches):
             out, sums = [r for r in batch[1] if r[1] == SUMS], []
             if batch[0].get(ASKS):
                 table = Lookup(*unpack_columns(batch[0].get(COUNTS, []), [np.uint64, np.int64]))
                 w, doc, m, backed = unpack_columns(batch[0][ASKS], [np.uint64, np.int64, np.int64, np.int64])
                 sums.append((doc, m * micro(np.where(backed > 0, ALPHA * table(w), table(w)) / total), m))
-            out.extend(_sum_rows(sums, buckets))
+            out.extend(_gather(held, sums, buckets))
             yield _batch(out)
+        yield _batch(_gather(held, [], buckets, at_end=True))
 
     def _by_bucket(batches):
         for _, rows in grouped(batches, ["bucket"]):
