@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from annolytics.operators import components as U
 from annolytics.operators import joins as J
 from annolytics.operators import ordering as O
 from annolytics.operators import splits as D
+from annolytics.operators.graph import connected_components
 
 
 def test_null_keys_match_in_zone_merge(spark):
@@ -199,3 +202,22 @@ def test_report_of_later_epochs(spark):
     df = spark.createDataFrame(rows, "task string, method string, epoch int, score double")
     got = {(r.task, r.method): (r["rank"], r.delta, r.text) for r in W.report_top_n(df, ["task"], "method", "score", "epoch", "identity").collect()}
     assert got == {("t", "a"): (1, 0.25, "0.750 (0.250)"), ("t", "identity"): (2, 0.0, "0.500 (0.000)"), ("u", "a"): (1, None, None)}
+
+
+# -- components of a graph
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(None, 1), (2, 2)]
+    least = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
+    for _ in least:
+        for a, b in edges:
+            if a in least and b in least and a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    ids = spark.createDataFrame(edges, "src long, dst long")
+    names = ids.select(*[F.when(F.col(c).isNotNull(), F.struct(F.lit("é").alias("image"), F.lit(None).cast("string").alias("of"), F.col(c).alias("node"))).alias(c) for c in ids.columns])
+    for one_task in (0, 30, 1 << 10):
+        assert {r["node"]: r["component"] for r in connected_components(ids, one_task=one_task).collect()} == least
+        assert {r["node"]["node"]: r["component"]["node"] for r in connected_components(names, one_task=one_task).collect()} == least
+        assert connected_components(ids.where("src < 0"), one_task=one_task).count() == 0
