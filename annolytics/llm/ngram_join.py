@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from annolytics.operators.graph import connected_components
 from annolytics.session import materialize
 
-from .url_filter import bloom, maybe_listed
+from .url_filter import bloom, with_maybe_listed
 from .words import BLANKS, batches_of_groups, grouped, hashed_words, map_batches, mix, shingles, text_bytes
 
 _U = np.uint64
@@ -456,7 +456,7 @@ def member_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """``members`` (``rep``, ``d1``, ``d2`` and more) with the sorted shingles of their texts as ``set``."""
     extra = [c for c in members.columns if c not in ("d1", "d2")]
     table = materialize(bloom(members.select(F.col("rep").cast("string").alias("key")).distinct()))
-    possible = docs.where(maybe_listed(F.col("doc_id").cast("string"), table))
+    possible = with_maybe_listed(docs, F.col("doc_id").cast("string"), table).where("__maybe").drop("__maybe")
     joined = possible.join(members, F.col("doc_id") == F.col("rep")).drop("doc_id")
 
     def rows(batch: pa.RecordBatch):
@@ -478,7 +478,8 @@ def links(docs: DataFrame, keys: DataFrame, words: int, percent: int, block: int
     classes = keys.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     members = materialize(classes.join(clusters, "d1").join(shared, "d1"))
     heads = members.groupBy("cluster").agg(F.max_by("rep", F.struct("shared", -F.col("rep"))).alias("leader"), F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    placed = members.join(heads, "cluster").withColumn("lead", F.col("rep") == F.col("leader"))
+    heads = materialize(heads)
+    placed = materialize(members.join(heads, "cluster").withColumn("lead", F.col("rep") == F.col("leader")))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     every = F.when(F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
     dealt = member_sets(docs, placed.select("rep", "d1", "d2", "cluster", "lead", "blocks"), words).select("cluster", F.explode(every).alias("block"), "rep", "lead", "set")
@@ -493,7 +494,7 @@ def links(docs: DataFrame, keys: DataFrame, words: int, percent: int, block: int
     left = open_sets.select("rep", "d1", "d2", "cluster", F.explode(seek).alias("block"), F.col("block").alias("other"), F.lit(0).alias("side"), F.lit(False).alias("closed"))
     flagged = members.join(wide, "cluster").join(opened.withColumn("open", F.lit(True)), "rep", "left").select("rep", "d1", "d2", "cluster", own.alias("block"), F.col("open").isNull().alias("closed"))
     right = flagged.join(asks, "cluster").where("block != other").select("rep", "d1", "d2", "cluster", "block", "other", F.lit(1).alias("side"), "closed")
-    far = member_sets(docs, left.unionByName(right), words).repartition("cluster", "block", "other").sortWithinPartitions("cluster", "block", "other", "side", "rep")
+    far = member_sets(docs, materialize(left.unionByName(right)), words).repartition("cluster", "block", "other").sortWithinPartitions("cluster", "block", "other", "side", "rep")
     return found.where("kind = 0").select("src", "dst").unionByName(far.mapInArrow(cross_links(percent), "src long, dst long"))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from annolytics.session import materialize
 
-from .url_filter import bloom, maybe_listed
+from .url_filter import bloom, with_maybe_listed
 from .words import ALNUM, add_columns, hashed_words, map_batches, mix, runs, shingles, text_bytes
 
 _U = np.uint64
@@ -208,7 +208,7 @@ def repeated_starts(docs: DataFrame, size: int = 50, hot_rows: int = HOT_ROWS) -
     found = keys.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot"))
     found = materialize(found)
     table = materialize(bloom(found.select(F.col("doc_id").cast("string").alias("key"))))
-    texts = rows.where(maybe_listed(F.col("doc_id").cast("string"), table)).join(found, "doc_id")
+    texts = with_maybe_listed(rows, F.col("doc_id").cast("string"), table).where("__maybe").drop("__maybe").join(found, "doc_id")
     sent = passages(texts.select("doc_id", "text", "keys", "hot"), size)
     together = sent.repartition("key").sortWithinPartitions("key")
     return together.mapInArrow(compare, "doc_id long, start long, end long, later boolean")

@@ -17,6 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annolytics.operators.ordering import attach_row
+from annolytics.session import materialize
+
 WORDS = 8  # 64-bit words in a block
 PROBES = 6
 KEYS_PER_BLOCK = 32  # 16 bits a key
@@ -61,9 +64,7 @@ def canonical_list(entries: DataFrame) -> DataFrame:
     return rows.select(F.concat("host", F.lit("\n"), "path").alias("key"), "host", "path", "verdict").groupBy("key", "host", "path").agg(F.min("verdict").alias("verdict"))
 
 
-def maybe_listed(key: Column, table: DataFrame) -> Column:
-    """Whether all probes of a key are set in a filter made by ``bloom``."""
-    blocks, words = table.select("blocks").scalar(), table.select("words").scalar()
+def _all_set(key: Column, blocks: Column, words: Column) -> Column:
     base = F.pmod(F.xxhash64(key), blocks).cast("int") * WORDS
     mixed = F.xxhash64(key, F.lit(1))
     found = F.lit(True)
@@ -73,6 +74,17 @@ def maybe_listed(key: Column, table: DataFrame) -> Column:
     return found
 
 
+def maybe_listed(key: Column, table: DataFrame) -> Column:
+    """Whether all probes of a key are set in a filter made by ``bloom``."""
+    return _all_set(key, table.select("blocks").scalar(), table.select("words").scalar())
+
+
+def with_maybe_listed(rows: DataFrame, key: Column, table: DataFrame, name: str = "__maybe") -> DataFrame:
+    """``rows`` with ``maybe_listed`` as column ``name``. The filter is one subquery of the plan, which all probes share."""
+    filled = attach_row(rows, table.select(F.col("blocks").alias("__blocks"), F.col("words").alias("__words")))
+    return filled.withColumn(name, _all_set(key, F.col("__blocks"), F.col("__words"))).select(*rows.columns, name)
+
+
 def judge_urls(pages: DataFrame, entries: DataFrame, url: str = "url", otherwise: str = "allow") -> DataFrame:
     """``pages`` plus ``host``, ``path``, ``rule`` (listed host and path, or null) and ``verdict``.
     Columns of these names in ``pages`` are replaced."""
@@ -88,7 +100,7 @@ def judge_urls(pages: DataFrame, entries: DataFrame, url: str = "url", otherwise
     fitting = F.filter("lengths", lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.concat(s, F.lit("\n"), F.substring(F.col("path"), F.lit(1), n)))))
     keyed = parts.where("host != ''").select("host", "path", lengths.alias("lengths")).select("host", "path", F.explode(keys).alias("key"))
-    possible = keyed.where(maybe_listed(F.col("key"), bloom(listed))).distinct()
+    possible = with_maybe_listed(keyed, F.col("key"), materialize(bloom(listed))).where("__maybe").drop("__maybe").distinct()
     exact = possible.join(listed.select("key", F.struct(F.concat("host", "path").alias("rule"), F.length("host").alias("n"), "verdict").alias("hit")), "key")
     best = exact.groupBy("host", "path").agg(F.max_by("hit", F.struct(F.length("hit.rule"), "hit.n")).alias("__hit"))
     return parts.join(best, ["host", "path"], "left").select(
