@@ -7,7 +7,8 @@ millionths, so that sums do not depend on their order.
 It is computed as joins on hash partitions. Documents are exploded to their distinct pairs with counts, dealt
 by the hash of the pair's first word; there the pairs and their first words are counted and each pair is
 scored. Pairs that are too rare are dealt again, by their second word, and meet the word counts there. What
-both steps find is summed per document. On the way rows travel in packed columns, one for each bucket.
+both steps find is summed per document. On the way rows travel in packed columns, one for each bucket. The size
+of the table bounds the number of buckets, so more tasks over the same table don't send more rows each.
 
 Frequent keys never meet in one task. Words with more than 1 / ``HOT`` of all words are at most ``HOT`` words;
 pairs with more than 1 / ``HOT_PAIRS`` are as few, and both their words are at least as frequent. Their counts are broadcast: hot pairs are scored where the document is read, rare pairs with a
@@ -36,7 +37,9 @@ HOT = 1 << 16
 HOT_PAIRS = 1 << 12
 ALPHA = 0.4
 AT_ONCE = 1 << 20  # pairs that a task combines at a time
-BUCKETS_PER_PARTITION = 8
+BUCKETS_PER_PARTITION = 8  # at most; fewer where a bucket would get less than this of the table:
+BUCKET_BYTES = 1 << 18
+BUCKET_DOCS = 1 << 10
 _U = np.uint64
 _END = np.uint64(0)  # stands for "no word follows"
 
@@ -149,6 +152,13 @@ def _collected(df: DataFrame) -> Lookup:
     return Lookup(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64), np.array([r[1] for r in rows], dtype=np.int64))
 
 
+def _buckets(rows: DataFrame) -> tuple[int, int]:
+    """Into how many buckets pairs and words are dealt, and sums of documents."""
+    most = BUCKETS_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    return min(most, 1 + size // BUCKET_BYTES), min(most, 1 + n // BUCKET_DOCS)
+
+
 def _sum_rows(sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[tuple[int, int, bytes]]:
     if sums:
         (doc,), (total, n) = summed([np.concatenate([s[0] for s in sums])], [np.concatenate([s[i] for s in sums]) for i in (1, 2)])
@@ -169,7 +179,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_count
     """``doc_id``, ``n_words``, ``logprob_micro`` (sum of ln S in millionths) and ``score`` (mean ln S)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
     spark = rows.sparkSession
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, sum_buckets = _buckets(rows)
 
     def count_rows(batch: pa.RecordBatch):
         k = batch.column("key").to_numpy().view(np.uint64)
@@ -206,7 +216,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_count
             (v2, w2, d2), (m2,) = summed([v[rest], w[rest], doc[rest]], [np.ones(rest.sum(), np.int64)])
             key = np.where(hot_words.value(v2) > 0, pair_key(v2, w2), mix(v2))
             out.extend(dealt((key % _U(buckets)).astype(np.int64), [v2, w2, d2, m2], PAIRS))
-            out.extend(_sum_rows(sums, buckets))
+            out.extend(_sum_rows(sums, sum_buckets))
             return _batch(out)
 
         held, size = [], 0
@@ -247,9 +257,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_count
                 ask = rare & (count == 0)
                 (w1, d1), (m1,) = summed([w[ask], doc[ask]], [m[ask]])
                 out.extend(dealt((mix(w1) % _U(buckets)).astype(np.int64), [w1, d1, m1, np.ones(len(w1), np.int64)], ASKS))
-            out.extend(_gather(held, sums, buckets))
+            out.extend(_gather(held, sums, sum_buckets))
             yield _batch(out)
-        yield _batch(_gather(held, [], buckets, at_end=True))
+        yield _batch(_gather(held, [], sum_buckets, at_end=True))
 
     def words_step(batches):
         held = []
@@ -259,9 +269,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_count
                 table = Lookup(*unpack_columns(batch[0].get(COUNTS, []), [np.uint64, np.int64]))
                 w, doc, m, backed = unpack_columns(batch[0][ASKS], [np.uint64, np.int64, np.int64, np.int64])
                 sums.append((doc, m * micro(np.where(backed > 0, ALPHA * table(w), table(w)) / total), m))
-            out.extend(_gather(held, sums, buckets))
+            out.extend(_gather(held, sums, sum_buckets))
             yield _batch(out)
-        yield _batch(_gather(held, [], buckets, at_end=True))
+        yield _batch(_gather(held, [], sum_buckets, at_end=True))
 
     def _by_bucket(batches):
         for _, rows in grouped(batches, ["bucket"]):

@@ -187,6 +187,22 @@ def test_lm_score(spark, monkeypatch):
     assert lm_score.score(cases.documents(spark, [])).count() == 0
 
 
+def test_lm_score_deals_small_tables_to_few_buckets(spark):
+    rows = cases.documents(spark, cases.texts()).select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        got = []
+        for partitions in ("3", "97"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            words, sums = lm_score._buckets(rows)
+            assert words <= 1 + size / lm_score.BUCKET_BYTES and sums <= 1 + rows.count() / lm_score.BUCKET_DOCS
+            got.append(sorted(map(tuple, lm_score.score(rows).collect())))
+        assert got[0] == got[1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     stocks = {k: ["".join(rng.choice(p) for _ in range(rng.randint(1, 4))) for _ in range(300)] for k, p in {"aa": ["ba", "ko", "lu"], "bb": ["sti", "ren", "é"]}.items()}
