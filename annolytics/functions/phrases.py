@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
 from .columns import col
 
 BITS = 62  # phrases per number of a bit set
@@ -27,8 +28,10 @@ class Phrases:
         """Bit set (array of long) of the phrases that occur in ``text``, overlapping ones included.
 
         One automaton reads each text once, however many phrases there are. The column is marked as not
-        deterministic only so that the optimizer doesn't copy it into every condition on it.
+        deterministic only so that the optimizer doesn't copy it into every condition on it. A Python worker
+        holds a few MB of texts at a time.
         """
+        bound_batches(SparkSession.active())
         place, numbers = self.place, self.numbers
 
         def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
