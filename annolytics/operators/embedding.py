@@ -7,10 +7,14 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import bound_batches
+
+SLICE_ROWS = 1024
+
 
 def hashed_words(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """Deterministic bag of words: each lower-cased word adds 1 to the slot given by its md5."""
@@ -39,20 +43,31 @@ def embed(
     df: DataFrame, text: str = "text", fn: Callable[[list[str]], np.ndarray] | None = None,
     dim: int = 64, batch: int = 32, name: str = "embedding",
 ) -> DataFrame:
-    """Adds ``name``; ``fn`` is called on at most ``batch`` texts at a time and must return ``dim`` columns."""
+    """Adds ``name``; ``fn`` is called on at most ``batch`` texts at a time and must return ``dim`` columns.
+
+    A Python worker holds a few MB of texts and the vectors of ``SLICE_ROWS`` rows at a time.
+    """
     call = fn or hashed_words(dim)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t or "" for t in pdf[text]]
-            rows: list[np.ndarray] = []
-            for at in range(0, len(texts), batch):
-                part = np.asarray(call(texts[at:at + batch]), dtype="float64")
-                if part.shape != (len(texts[at:at + batch]), dim):
-                    raise ValueError(f"embedding function returned shape {part.shape}, expected dimension {dim}")
-                rows.extend(part)
-            pdf[name] = rows
-            yield pdf
-
-    return df.mapInPandas(run, schema)
+    def vectors(texts: list[str]) -> np.ndarray:
+        out = np.empty((len(texts), dim))
+        for at in range(0, len(texts), batch):
+            part = np.asarray(call(texts[at:at + batch]), dtype="float64")
+            if part.shape != (len(texts[at:at + batch]), dim):
+                raise ValueError(f"embedding function returned shape {part.shape}, expected dimension {dim}")
+            out[at:at + batch] = part
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = -(-SLICE_ROWS // batch) * batch  # so that slices don't part what fn gets together
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                part = whole.slice(at, rows)
+                made = vectors([t or "" for t in part.column(text).to_pylist()])
+                bounds = np.arange(0, made.size + 1, dim, dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(made.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, name])
+
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)

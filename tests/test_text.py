@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from annolytics.functions import chunks as C
+from annolytics.functions.phrases import Phrases
 from annolytics.operators import chunking as K
 from annolytics.operators import retrieval as R
 from annolytics.operators.embedding import embed, hashed_words
 from annolytics.operators.tools import run_tools, with_retry
-from annolytics.session import scratch_path
+from annolytics.session import BATCH_BYTES, scratch_path
 from annolytics.sources import index_store as store
 
 TEXT = "One two. Three four! Five?\n\nSix 七。八！" + "x" * 30 + ". " + "tail words here " * 5
@@ -180,6 +181,33 @@ def test_embedding_contract(spark):
         embed(d, fn=lambda t: np.zeros((len(t), 3)), dim=4).collect()
 
 
+def sizes_of_batches(df):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    return [r.n for r in df.coalesce(1).mapInArrow(run, "n long").collect()]
+
+
+@pytest.mark.parametrize("step", ["embed", "phrases"])
+def test_python_workers_get_a_few_mb_at_a_time(spark, step):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    long_texts = spark.range(2500).select(F.concat(F.col("id").cast("string"), F.lit(" ab" * 3000)).alias("text"))
+    try:
+        for given, left in (("64m", BATCH_BYTES), ("1g", BATCH_BYTES), ("300k", 300 << 10)):
+            spark.conf.set(name, given)
+            made = embed(long_texts) if step == "embed" else long_texts.select("text", Phrases(["9 ab"]).find("text").alias("f"))
+            assert max(sizes_of_batches(long_texts)) * 9000 < 1.5 * left
+        if step == "embed":
+            got = {r.text: r.embedding for r in made.collect()}
+            assert all((hashed_words(64)([t])[0] == v).all() for t, v in got.items()) and len(got) == 2500
+        else:
+            assert all((r.f == [1]) == ("9 ab" in r.text) for r in made.collect())
+    finally:
+        spark.conf.set(name, before)
+
+
 @pytest.fixture
 def vectors(spark):
     rng = np.random.default_rng(7)
