@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from typing import Generic, TypeVar
 
 K = TypeVar("K")
@@ -18,21 +18,16 @@ class Recent(Generic[K, V]):
         self.young: dict[K, V] = {}
         self.old: dict[K, V] = {}
 
-    def with_all(self, keys: set[K], make: Callable[[list[K]], Iterable[tuple[K, V]]]) -> dict[K, V]:
+    def with_all(self, keys: set[K], make: Callable[[list[K]], Mapping[K, V] | Iterable[tuple[K, V]]]) -> dict[K, V]:
         """A dict that has at least ``keys``; ``make`` gives the values of those that neither generation has."""
         if len(self.young) > self.size:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        missing = [k for k in keys if k not in young]
-        if missing:
-            new = []
-            for k in missing:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    new.append(k)
+        if missing := keys.difference(young):
+            new = missing.difference(old)
+            young.update((k, old[k]) for k in missing.difference(new))
             if new:
-                young.update(make(new))
+                young.update(make(list(new)))
         return young
 
     def drop(self, keys: Iterable[K]) -> None:

@@ -264,6 +264,29 @@ def test_pack(spark):
     assert packing.pack(packing.tokenize_pieces(cases.documents(spark, []), path)).count() == 0
 
 
+def test_words_of_letters_need_no_places(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    places = []
+    any_words = packing.WordTokenizer._encode_any
+    monkeypatch.setattr(packing.WordTokenizer, "_encode_any", lambda self, words: places.extend(words) or any_words(self, words))
+    letters = "The straße Ungachschstkeit élève naïve ÿ ß zzqqxv" + " ÀÉ".lower()
+    odd = "don't 's we'll e\u0301t\u0301 a\u0300 \u0300a \u00bd x</w>y </w> w> 12a ÷ a÷b ç\u0327 \u0130x \u01c4 a\u00a0b ﬁ 漢字 😀 $$$ é!! a.b \x01 <|endoftext|> <|ENDOFTEXT|>"
+    texts = [letters, odd, f"{letters} {odd}", "", None, "é", odd + letters, "\u0301e e\u0301"]
+    for batch in ([letters], texts):
+        tokenizer = packing.WordTokenizer(path)
+        got = [np.frombuffer(x, "<u4").tolist() for x in tokenizer.encode([t and t.encode() for t in batch])]
+        assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in batch]
+        if batch == [letters]:
+            assert not places
+    tokenizer = packing.WordTokenizer(path)
+    tokenizer.ends = None  # a vocabulary that doesn't tell
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokenizer.encode([letters.encode()])] == [plain.encode(letters, add_special_tokens=False).ids]
+
+
 def test_plan_uses_each_piece_once():
     rng = np.random.default_rng(7)
     for _ in range(60):
