@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from .words import add_columns, map_batches, text_bytes
 
 CACHED_WORDS = 400_000  # recent words, in each of two generations; about 75 MB for each in a Python worker
 LONGEST_CACHED = 64
-TEXTS_AT_ONCE = 64
+SLICE_BYTES = 4 << 20  # texts are encoded together in slices of about this size
 #: Punctuation from a word's last letter to its end is always a token run of its own; no apostrophes, as these may
 #: start one. The first mark comes first in the pattern, so that the search runs from mark to mark.
 _TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-&(-/:-@\[-`{-~]*(?=\s|$)")
@@ -43,6 +44,23 @@ _TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\x
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
+def _dictionary(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Parts between blanks of all texts as a dictionary, and their bounds; empty parts may be among them."""
+    split = pc.ascii_split_whitespace(texts)
+    return split.offsets.to_numpy(), split.values.dictionary_encode()
+
+
+def _lines(parts: pa.Array) -> bytes:
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(parts)], parts.cast(pa.string())), "\n")[0].as_buffer().to_pybytes()
+
+
+def _copied(values: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values[bounds[i]:bounds[i + 1]]`` of each ``i`` of ``which``, one after the other, and their bounds."""
+    first, n = bounds[:-1][which], np.diff(bounds)[which]
+    ends = np.append(0, np.cumsum(n))
+    return values[np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)], ends
+
+
 class WordTokenizer:
     """Token ids of texts, encoded word by word.
 
@@ -56,6 +74,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.recent: Recent[bytes, bytes] = Recent(CACHED_WORDS)
+        self.long: list[bytes] = []  # words too long to stay among the recent ones
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends: np.ndarray | None = None  # whether an id ends a part of the text, if the vocabulary tells
         if suffix:
@@ -63,18 +82,12 @@ class WordTokenizer:
             self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
-    @staticmethod
-    def words(raw: bytes | None) -> list[bytes]:
-        if not raw:
-            return []
-        # a text that may hold a special token in its exact case stays as it is
-        return raw.split() if b"<|" in raw else _TAIL.sub(rb" \g<0>", raw.lower()).split()
-
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each word."""
         known = self._encode_letters([w for w in words if _LETTERS.fullmatch(w)])
         if others := [w for w in words if w not in known]:
             known.update(self._encode_any(others))
+        self.long = [w for w in words if len(w) > LONGEST_CACHED]
         return known
 
     def _encode_letters(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -100,16 +113,41 @@ class WordTokenizer:
         for i, word in enumerate(words):
             yield word, ids[4 * bounds[i] : 4 * bounds[i + 1]]
 
+    def _encode_slice(self, texts: list[bytes], whole: bool) -> Iterator[bytes]:
+        """Each distinct part between blanks is looked at once, and each distinct word of them: the parts as they
+        are, or words and tails. Ids are copied from words to parts, and from parts to all their places."""
+        split, parts = _dictionary(pa.array(texts, pa.large_string()))
+        if not whole and len(parts.dictionary):
+            spaced = _TAIL.sub(rb" \g<0>", _lines(parts.dictionary)).split(b"\n")
+            lists, words = _dictionary(pa.array(spaced, pa.large_string()))
+        else:
+            lists, words = _dictionary(parts.dictionary)
+        distinct = _lines(words.dictionary).split(b"\n")
+        known = self.recent.with_all(set(filter(None, distinct)), self._encode)
+        values = [known[w] if w else b"" for w in distinct]
+        self.recent.drop(self.long)
+        self.long = []
+        bounds = np.append(0, np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) // 4))
+        ids, bounds = _copied(np.frombuffer(b"".join(values), dtype="<u4"), bounds, words.indices.to_numpy())
+        ids, bounds = _copied(ids, bounds[lists], parts.indices.to_numpy())
+        raw, at = ids.tobytes(), (4 * bounds[split]).tolist()
+        return (raw[i:j] for i, j in zip(at, at[1:]))
+
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            split = [self.words(raw) for raw in texts[at : at + TEXTS_AT_ONCE]]
-            distinct = set().union(*split)
-            known = self.recent.with_all(distinct, self._encode)
-            for words in split:
-                yield b"".join(map(known.__getitem__, words))
-            if max(map(len, distinct), default=0) > LONGEST_CACHED:
-                self.recent.drop(w for w in distinct if len(w) > LONGEST_CACHED)
+        at = 0
+        while at < len(texts):
+            upto, size = at, 0
+            while upto < len(texts) and (upto == at or size < SLICE_BYTES):
+                size += len(texts[upto] or b"")
+                upto += 1
+            part = [t or b"" for t in texts[at:upto]]
+            # a text that may hold a special token in its exact case stays as it is
+            whole = [b"<|" in t for t in part]
+            as_is = self._encode_slice([t for t, w in zip(part, whole) if w], True)
+            lowered = self._encode_slice([t.lower() for t, w in zip(part, whole) if not w], False)
+            yield from (next(as_is if w else lowered) for w in whole)
+            at = upto
 
 
 def tokenize_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, ids: bool = False) -> DataFrame:

@@ -287,6 +287,28 @@ def test_words_of_letters_need_no_places(monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in tokenizer.encode([letters.encode()])] == [plain.encode(letters, add_special_tokens=False).ids]
 
 
+def test_words_of_many_texts_are_looked_up_together(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    letters = [*"aB é.\n9—'\x0b\x1c", "the", "The", "and***", "ß,", "<|endoftext|>", "  "]
+    texts = [None, "", " ", "\n", "x" * 300, *("".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(900))]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    asked = []
+    with_all = packing.Recent.with_all
+    monkeypatch.setattr(packing.Recent, "with_all", lambda self, keys, make: asked.append(len(keys)) or with_all(self, keys, make))
+    tokenizer = packing.WordTokenizer(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokenizer.encode([t and t.encode() for t in texts])] == want
+    assert len(asked) == 2  # once for texts that stay as they are, once for the others
+    assert max(map(len, tokenizer.recent.young)) <= packing.LONGEST_CACHED and list(tokenizer.encode([])) == []
+    monkeypatch.setattr(packing, "SLICE_BYTES", 100)
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokenizer.encode([t and t.encode() for t in texts])] == want
+    assert len(asked) > 20
+
+
 def test_plan_uses_each_piece_once():
     rng = np.random.default_rng(7)
     for _ in range(60):
