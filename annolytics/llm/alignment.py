@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -43,7 +42,12 @@ HOT_PAIRS = 1 << 19
 ID_BITS = 20
 BLANK = "▁"
 #: A blank between these characters is the front of a token on both sides.
-_CUT = re.compile("(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
+_CUT = re.compile(" (?<=[!-~¡-ɏ] )(?=[!-~¡-ɏ])")  # the blank first, so that the search runs from blank to blank
+#: A chunk that can stand between others in one text: a cut is at both of its ends.
+_BETWEEN = re.compile("[!-~¡-ɏ](?:.*[!-~¡-ɏ])?", re.DOTALL)
+SIDE_B = 1 << 31  # marks an id of B among those of a chunk
+UNLIKE_ID = np.uint32(0xFFFFFFFF)
+UNLIKE = UNLIKE_ID.tobytes()  # stands for a chunk whose bytes a side does not give back
 
 
 def _byte_of() -> dict[str, int]:
@@ -73,40 +77,74 @@ class Sides:
         if max(len(self.a_bytes), len(self.b_bytes)) > 1 << ID_BITS:
             raise ValueError(f"ids of more than {ID_BITS} bits")
         self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        #: decimal digits of each id in the bytes of a number from the lowest on, the highest byte free; and how many
+        shown = [str(i).encode() for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.numerals = np.array([int.from_bytes(d, "little") for d in shown], np.int64), np.array([len(d) for d in shown])
         #: a piece over the front of a word would make a chunk's pieces depend on its neighbours
         self.by_chunk = not any(BLANK in self.b.id_to_piece(i).lstrip(BLANK) for i in pieces)
-        self.recent: Recent[str, tuple[bytes, bytes] | None] = Recent(CHUNKS)
+        self.recent: Recent[str, bytes] = Recent(CHUNKS)
+
+    def _encode_a(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of A of each chunk. Those that can stand in one text are encoded together and cut by their bytes."""
+        out: list[list[int]] = [[]] * len(chunks)
+        joint, alone = [], []
+        for i, c in enumerate(chunks):
+            (joint if self.by_chunk and _BETWEEN.fullmatch(c) else alone).append(i)
+        if joint:
+            ids = self.a.encode_batch_fast([f" {' '.join([chunks[i] for i in joint])}"], add_special_tokens=False)[0].ids
+            ends = np.cumsum(self.a_size[ids])
+            upto = np.cumsum([len(chunks[i].encode()) + 1 for i in joint])
+            bounds = np.searchsorted(ends, upto)
+            if bounds[-1] < len(ends) and (ends[bounds] == upto).all():
+                for i, j, k in zip(joint, [0, *(bounds[:-1] + 1).tolist()], (bounds + 1).tolist()):
+                    out[i] = ids[j:k]
+            else:
+                alone += joint
+        for i, e in zip(alone, self.a.encode_batch_fast([f" {chunks[i]}" for i in alone], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
 
-    def _encode(self, chunks: list[str]) -> Iterator[tuple[str, tuple[bytes, bytes] | None]]:
-        """Ids of both sides per chunk, or None if their bytes are not those of the chunk."""
+    def _encode(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of both sides per chunk, those of B marked, or ``UNLIKE`` if their bytes are not those of the chunk."""
         for at in range(0, len(chunks), 4096):
             part = chunks[at : at + 4096]
-            first = self.a.encode_batch([" " + c for c in part], add_special_tokens=False)
-            for chunk, a, b in zip(part, [e.ids for e in first], self.b.encode(part, num_threads=1)):
-                raw = f" {chunk}".encode()
-                same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-                yield chunk, (array("I", a).tobytes(), array("I", b).tobytes()) if same else None
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """32-bit ids of both sides of each text, both empty if the text cannot be aligned."""
+            raw = [f" {c}".encode() for c in part]
+            sides, like = [], np.ones(len(part), dtype=bool)
+            for ids, spelled, size, mark in ((self._encode_a(part), self.a_bytes, self.a_size, 0), (self.b.encode(part, num_threads=1), self.b_bytes, self.b_size, SIDE_B)):
+                n = np.fromiter(map(len, ids), np.int64, len(part))
+                flat = np.fromiter(chain.from_iterable(ids), np.int64, n.sum())
+                ends = np.append(0, np.cumsum(size[flat]))[np.cumsum(n)]
+                together = b"".join(map(spelled.__getitem__, flat.tolist()))
+                if together != b"".join(raw) or (ends != np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))).any():
+                    like &= [b"".join(map(spelled.__getitem__, i)) == r for i, r in zip(ids, raw)]
+                sides.append((np.repeat(np.arange(len(part)), n), flat | mark))
+            chunk, ids = (np.concatenate(c) for c in zip(*sides))
+            bounds = (4 * np.append(0, np.cumsum(np.bincount(chunk, minlength=len(part))))).tolist()
+            both = ids[np.argsort(chunk, kind="stable")].astype(np.uint32).tobytes()
+            for c, i, j, same in zip(part, bounds, bounds[1:], like.tolist()):
+                yield c, both[i:j] if same else UNLIKE
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of both sides of each text, those of B marked; none if the text cannot be aligned."""
         split = [(_CUT.split(t) if self.by_chunk else [t]) if t else [] for t in texts]
-        known = self.recent.with_all(set(chain.from_iterable(split)), self._encode)
+        distinct = set(chain.from_iterable(split))
+        known = self.recent.with_all(distinct, self._encode)
         for chunks in split:
-            found = [known[c] for c in chunks]
-            if None in found:
-                yield b"", b""
-            else:
-                yield b"".join([a for a, _ in found]), b"".join([b for _, b in found])
-        self.recent.drop(c for c in set(chain.from_iterable(split)) if len(c) > LONGEST_KEPT)
+            ids = np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32)
+            yield ids if UNLIKE_ID not in ids else ids[:0]
+        self.recent.drop(c for c in distinct if len(c) > LONGEST_KEPT)
 
 
 class Lot:
     """Tokens of several documents, their links and groups."""
 
     def __init__(self, sides: Sides, texts: list[str | None]):
-        ids = list(sides.encode(texts))
-        self.n_a, self.n_b = (np.fromiter((len(x) // 4 for x in side), np.int64, len(texts)) for side in (list(zip(*ids)) or [(), ()]))
-        self.a, self.b = (np.frombuffer(b"".join(side), np.uint32).astype(np.int64) for side in (list(zip(*ids)) or [(), ()]))
+        texts_ids = list(sides.encode(texts))
+        ids = np.concatenate([*texts_ids, np.empty(0, np.uint32)]).astype(np.int64)
+        of_b = ids >= SIDE_B
+        doc = np.repeat(np.arange(len(texts)), [len(x) for x in texts_ids])
+        self.n_a, self.n_b = (np.bincount(doc[side], minlength=len(texts)) for side in (~of_b, of_b))
+        self.a, self.b = ids[~of_b], ids[of_b] - SIDE_B
         starts = [np.cumsum(size[side]) - size[side] for size, side in ((sides.a_size, self.a), (sides.b_size, self.b))]
         first, second = (pd.DataFrame({"at": s, "start": s, "token": np.arange(len(s))}) for s in starts)
         covering_b = pd.merge_asof(first[["at"]], second, on="at")
@@ -116,6 +154,7 @@ class Lot:
         inner = ~self.opens_b  # the other links of this direction are there already
         self.links_a = np.concatenate([np.arange(len(self.a)), covering_a["token"].to_numpy()[inner]]).astype(np.int64)
         self.links_b = np.concatenate([covering_b["token"].to_numpy(), np.flatnonzero(inner)]).astype(np.int64)
+        self.numerals = sides.numerals
         self.doc_of_a = np.repeat(np.arange(len(texts)), self.n_a)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,18 +173,16 @@ class Lot:
             return [""] * len(self.n_a)
         first_a, first_b = np.flatnonzero(self.opens_a), np.flatnonzero(self.opens_b)
         next_a = np.append(first_a[1:], len(self.a))
-        ids, ends = np.empty(n, dtype=np.int64), np.full(n, ord(","), dtype=np.uint8)
+        ids, ends = np.empty(n, dtype=np.int64), np.full(n, ord(","), dtype=np.int64)
         at_a = np.arange(len(self.a)) + first_b[np.cumsum(self.opens_a) - 1]
         at_b = np.arange(len(self.b)) + next_a[np.cumsum(self.opens_b) - 1]
         ids[at_a], ids[at_b] = self.a, self.b
         ends[at_a[next_a - 1]] = ord("|")
         ends[at_b[np.append(first_b[1:], len(self.b)) - 1]] = ord(";")
-        width = len(str(int(ids.max())))
-        digits = ids[:, None] // 10 ** np.arange(width - 1, -1, -1) % 10
-        shown = ids[:, None] >= np.append(10 ** np.arange(width - 1, 0, -1), 0)  # no leading zeros
-        letters = np.column_stack([(digits + ord("0")).astype(np.uint8), ends])[np.column_stack([shown, np.ones(n, dtype=bool)])].tobytes().decode()
-        size = np.concatenate([[0], np.cumsum(shown.sum(axis=1) + 1)])
-        bound = size[np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])].tolist()
+        spelled, digits = self.numerals
+        letters = (spelled[ids] | ends << 56).astype("<i8").tobytes().translate(None, b"\0").decode()
+        size = np.append(0, np.cumsum(digits[ids] + 1))
+        bound = size[np.append(0, np.cumsum(self.n_a + self.n_b))].tolist()
         return [letters[i : max(i, j - 1)] for i, j in zip(bound, bound[1:])]
 
 

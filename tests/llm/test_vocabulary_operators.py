@@ -178,6 +178,34 @@ def test_alignment_of_lots_and_pairs(spark, monkeypatch):
     assert alignment.count_links(alignment.align(empty, BYTES, PIECES)).count() == 0
 
 
+def test_chunks_are_encoded_together():
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+        encode_batch = encode_batch_fast
+
+    sides = alignment.Sides(BYTES, PIECES)
+    sides.a = Counting(sides.a)
+    plain = PlainAlignment()
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeinorst.,é") for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(50)]
+    lot = alignment.Lot(sides, texts)
+    assert sides.a.texts == 1 and lot.groups() == [plain.one(t)[3] for t in texts]
+    texts = [*strange_texts(200, seed=11), None, "", "▁ a b", " a  b c ", "\u00ada b", *texts]
+    lot = alignment.Lot(sides, texts)
+    made = [plain.one(t) for t in texts]
+    assert lot.groups() == [m[3] for m in made] and "" in lot.groups()
+    assert (lot.n_a.tolist(), lot.n_b.tolist()) == ([len(m[0]) for m in made], [len(m[1]) for m in made])
+    sides.by_chunk = False
+    assert alignment.Lot(sides, texts).groups() == lot.groups()
+
+
 def test_query_digest(spark, tmp_path):
     from annolytics.llm import catalog
 
