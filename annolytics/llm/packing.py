@@ -34,9 +34,10 @@ from annolytics.session import materialize
 from .recent import Recent
 from .words import add_columns, map_batches, text_bytes
 
-CACHED_WORDS = 400_000  # recent words, in each of two generations; about 75 MB for each in a Python worker
+CACHED_WORDS = 200_000  # recent words, in each of two generations; about 40 MB for each in a Python worker
 LONGEST_CACHED = 64
-SLICE_BYTES = 4 << 20  # texts are encoded together in slices of about this size
+SLICE_BYTES = 2 << 20  # texts are encoded together in slices of about this size
+ENCODED_BYTES = 128 << 10  # of words that the library encodes at once, as it holds a hundred bytes and more for each token
 #: Punctuation from a word's last letter to its end is always a token run of its own; no apostrophes, as these may
 #: start one. The first mark comes first in the pattern, so that the search runs from mark to mark.
 _TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-&(-/:-@\[-`{-~]*(?=\s|$)")
@@ -54,11 +55,20 @@ def _lines(parts: pa.Array) -> bytes:
     return pc.binary_join(pa.ListArray.from_arrays([0, len(parts)], parts.cast(pa.string())), "\n")[0].as_buffer().to_pybytes()
 
 
-def _copied(values: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``values[bounds[i]:bounds[i + 1]]`` of each ``i`` of ``which``, one after the other, and their bounds."""
-    first, n = bounds[:-1][which], np.diff(bounds)[which]
-    ends = np.append(0, np.cumsum(n))
-    return values[np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)], ends
+def _joined(ids: pa.LargeBinaryArray, bounds: np.ndarray) -> pa.LargeBinaryArray:
+    """``ids[bounds[i]:bounds[i + 1]]`` joined to one value for each ``i``, over the same bytes; ``ids`` are not sliced."""
+    ends = np.append(0, np.cumsum(pc.binary_length(ids).to_numpy(), dtype=np.int64))[bounds]
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(ends), ids.buffers()[2] or pa.py_buffer(b"")])
+
+
+def _portions(words: list[bytes], size: int) -> Iterator[list[bytes]]:
+    """The words in lists of about ``size`` bytes."""
+    start = held = 0
+    for i, word in enumerate(words):
+        held += len(word)
+        if held >= size or i == len(words) - 1:
+            yield words[start : i + 1]
+            start, held = i + 1, 0
 
 
 class WordTokenizer:
@@ -84,9 +94,11 @@ class WordTokenizer:
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each word."""
-        known = self._encode_letters([w for w in words if _LETTERS.fullmatch(w)])
-        if others := [w for w in words if w not in known]:
-            known.update(self._encode_any(others))
+        known: dict[bytes, bytes] = {}
+        for portion in _portions(words, ENCODED_BYTES):
+            known.update(self._encode_letters([w for w in portion if _LETTERS.fullmatch(w)]))
+            if others := [w for w in portion if w not in known]:
+                known.update(self._encode_any(others))
         self.long = [w for w in words if len(w) > LONGEST_CACHED]
         return known
 
@@ -124,14 +136,11 @@ class WordTokenizer:
             lists, words = _dictionary(parts.dictionary)
         distinct = _lines(words.dictionary).split(b"\n")
         known = self.recent.with_all(set(filter(None, distinct)), self._encode)
-        values = [known[w] if w else b"" for w in distinct]
+        ids = pa.array([known[w] if w else b"" for w in distinct], pa.large_binary())
         self.recent.drop(self.long)
         self.long = []
-        bounds = np.append(0, np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) // 4))
-        ids, bounds = _copied(np.frombuffer(b"".join(values), dtype="<u4"), bounds, words.indices.to_numpy())
-        ids, bounds = _copied(ids, bounds[lists], parts.indices.to_numpy())
-        raw, at = ids.tobytes(), (4 * bounds[split]).tolist()
-        return (raw[i:j] for i, j in zip(at, at[1:]))
+        of_parts = _joined(ids.take(words.indices), lists)
+        return iter(_joined(of_parts.take(parts.indices), split).to_pylist())
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""

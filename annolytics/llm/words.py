@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from annolytics.session import bound_batches
+
 BATCH_ROWS = 2000  # of texts in an Arrow batch
 SLICE_BYTES = 1 << 20  # texts are hashed together in slices of about this size
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -113,8 +115,9 @@ def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after making sure that the session's Arrow batches have at most ``BATCH_ROWS`` rows: a batch of
-    texts is held by the executor and by its Python worker at once."""
+    """``df``, after making sure that the session's Arrow batches have at most ``BATCH_ROWS`` rows and a few MB: a
+    batch of texts is held by the executor and by its Python worker at once."""
+    bound_batches(df.sparkSession)
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from annolytics.llm import decontaminate, langid, lm_score, ngram_join, packing, quality, suffix_dedup
-from annolytics.llm.words import ALNUM, BLANKS, hashed_words, runs, shingles
+from annolytics.llm.words import ALNUM, BLANKS, hashed_words, map_batches, runs, shingles
+from annolytics.session import BATCH_BYTES
 
 
 def test_word_hashes_follow_words():
@@ -28,6 +29,18 @@ def test_word_hashes_follow_words():
         assert len(set(seen.values())) == len(seen)
 
 
+def test_texts_reach_workers_a_few_mb_at_a_time(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    long_texts = spark.range(2000).select(F.concat(F.col("id").cast("string"), F.lit(" ab" * 3000)).alias("text")).coalesce(1)
+    spark.conf.set(name, "64m")
+    try:
+        sizes = [r.n for r in map_batches(long_texts, lambda batch: iter([{"n": [batch.num_rows]}]), "n long").collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(sizes) == 2000 and max(sizes) * 9000 < 1.5 * BATCH_BYTES
+
+
 def test_runs_tell_runs_apart():
     h = np.random.default_rng(0).integers(0, 3, 500).astype(np.uint64)
     by_hash = defaultdict(set)
@@ -287,6 +300,25 @@ def test_words_of_letters_need_no_places(monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in tokenizer.encode([letters.encode()])] == [plain.encode(letters, add_special_tokens=False).ids]
 
 
+def test_library_gets_a_bounded_part_of_the_words(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeé1") for _ in range(rng.randint(1, 12))) for _ in range(50_000)]
+    words[77] = "ab1" * 60_000  # more than one part by itself
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)] + [None, ""]
+    sizes = []
+    for name in ("_encode_letters", "_encode_any"):
+        one = getattr(packing.WordTokenizer, name)
+        monkeypatch.setattr(packing.WordTokenizer, name, lambda self, part, one=one: sizes.append(sum(map(len, part)) - max(map(len, part), default=0)) or one(self, part))
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.WordTokenizer(path).encode([t and t.encode() for t in texts])]
+    assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert max(sizes) <= 128 << 10 and sum(sizes) > 256 << 10
+
+
 def test_words_of_many_texts_are_looked_up_together(monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
