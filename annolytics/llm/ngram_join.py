@@ -6,14 +6,19 @@ when ``100 * |a & b| >= percent * |a | b|``.
 **Upper levels of the tree** are laid out by the shuffle. Sets that link differ in at most d shingles, so
 with the hash range cut into m segments they agree in at least m - d of them. A set has a key for each
 segment that is not empty, for its own size class and for the next one if it may link there. If more than d
-of a set's segments are filled, every set it links with shares a key; if not, the set also has keys of a
-finer cut, so a pair always shares one where the first of the two stops. Pairs of sets without a common key
+of a set's segments are filled, every set it links with shares a key, and the smallest key of both is among
+the d + 1 smallest of each, so only these are kept; if not, the set also has keys of a finer cut, so a pair
+always shares one where the first of the two stops. Pairs of sets without a common key
 can't have the overlap that a link needs, whatever they hold. Sets with a common key are then compared by their
 bitmaps, once for each group of sets that keys have in common, and only those that can have the overlap stay
 joined. Sets that are joined, directly or through others, form a cluster. Keys with many sets are combined
 within each map task first, so a key that a third of all sets share reaches the shuffle a bounded number of
 times per task.
 
+What goes through the shuffle is small: nearly all keys belong to one set, so keys and sets travel in sorted
+packs of about ten bytes a key (``packed``). Groups of sets that look alike share most of their sets; they meet
+at the smallest set of each, and a set's bitmap goes there once for all of them.
+
 **Lower levels** are trees in tasks. A cluster is dealt to blocks of bounded size. Leaves hold sets that are
 alike; a node holds the OR of the bitmaps below it, the range of set sizes and the largest number of shingles
 that a bitmap hides by collision. Two nodes are visited together only if the largest overlap that any pair
@@ -41,7 +46,7 @@ from annolytics.operators.graph import connected_components
 from annolytics.session import materialize
 
 from .url_filter import bloom, with_maybe_listed
-from .words import BLANKS, batches_of_groups, grouped, hashed_words, map_batches, mix, shingles, text_bytes
+from .words import BLANKS, batches_of_groups, grouped, hashed_words, map_batches, mix, shingles, small_batches, text_bytes
 
 _U = np.uint64
 CLASS_RATIO = 1.5
@@ -51,6 +56,10 @@ FEW = 32  # sets of a key that one map task passes on one by one
 MANY = 1024  # sets of a key that are compared with each other; more stay joined without
 ODD, SURE = 1, 2  # marks in the last bits of a key: narrow bitmaps; sets are joined without comparison
 COMBINED_KEYS = 1 << 19  # keys that a map task combines at a time
+CODE_BITS = 46  # of a key in a pack, with its marks
+NODE_BYTES = 6  # of a digest ``d1``
+BUCKET_SHINGLES = 1 << 18  # shingles of sets whose keys share a bucket; keys are fewer
+HOME_ROWS = 1 << 15  # sets of groups, each as often as groups have it, that meet at one place
 BLOCK_SHINGLES = 1 << 21  # shingles in a block: 16 MB
 LEAF = 16
 FINEST = 1 << 31
@@ -109,8 +118,12 @@ def segment_keys(ordered: np.ndarray, percent: int) -> np.ndarray:
             starts = np.flatnonzero(np.diff(segment, prepend=segment[:1] + _U(1)))
             place = mix(segment[starts] + _U((k << 40) + (m << 1)))
             keys = mix(np.add.reduceat(spread, starts) ^ place)
-            out.append((keys & ~_U(3)) | _U(ODD if top <= SMALL else 0))
-            if len(starts) > most or m >= FINEST:  # so fine that no two shingles share a segment
+            keys = (keys & ~_U(3)) | _U(ODD if top <= SMALL else 0)
+            if len(starts) > most:
+                out.append(np.partition(keys, most)[: most + 1])
+                break
+            out.append(keys)
+            if m >= FINEST:  # so fine that no two shingles share a segment
                 break
             m = min(4 * m, FINEST)
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
@@ -124,9 +137,10 @@ def each_set(texts: list[bytes | None], words: int) -> Iterator[np.ndarray]:
 
 
 def digest(ordered: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed numbers."""
+    """112 bits of a set, as a number of 48 bits and a signed one of 64."""
     n = _U(len(ordered))
-    return tuple(int(mix((mix(ordered + _U(c))).sum(dtype=np.uint64) + n).astype(np.int64)) for c in (11, 13))
+    d1, d2 = (mix((mix(ordered + _U(c))).sum(dtype=np.uint64) + n) for c in (11, 13))
+    return int(d1 >> _U(64 - 8 * NODE_BYTES)), int(d2.astype(np.int64))
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
@@ -141,17 +155,18 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
 
 
 def bitmap_rows(docs: DataFrame, words: int) -> DataFrame:
-    """``d1``, size ``n`` and both bitmaps of each row's set."""
+    """Digest ``d1``, ``d2``, size ``n`` and both bitmaps of the sets of each batch of rows, equal sets once."""
 
     def rows(batch: pa.RecordBatch):
-        sets = [s for s in each_set(text_bytes(batch, "text"), words) if len(s)]
+        distinct = {digest(s): s for s in each_set(text_bytes(batch, "text"), words) if len(s)}
+        sets, (d1, d2) = list(distinct.values()), zip(*distinct) if distinct else ((), ())
         yield {
-            "d1": [digest(s)[0] for s in sets], "n": [len(s) for s in sets],
+            "d1": d1, "d2": d2, "n": [len(s) for s in sets],
             "narrow": [bitmaps([s], NARROW_BITS)[0].tobytes() if len(s) <= SMALL else None for s in sets],
             "wide": [bitmaps([s], WIDE_BITS)[0].tobytes() if len(s) > SMALL // 2 else None for s in sets],
         }
 
-    return map_batches(docs, rows, "d1 long, n long, narrow binary, wide binary")
+    return map_batches(docs, rows, "d1 long, d2 long, n long, narrow binary, wide binary")
 
 
 def bitmaps(sets: list[np.ndarray], size: int) -> np.ndarray:
@@ -162,11 +177,15 @@ def bitmaps(sets: list[np.ndarray], size: int) -> np.ndarray:
     return np.packbits(marks, axis=1).view(np.uint64)
 
 
-def can_link(n: np.ndarray, bits: np.ndarray, a, b, percent: int) -> np.ndarray:
+def hidden_by(n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """How many shingles of sets of sizes ``n`` their bitmaps hide by collision."""
+    return n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+
+
+def can_link(n: np.ndarray, bits: np.ndarray, hidden: np.ndarray, a, b, percent: int) -> np.ndarray:
     """Whether sets ``a`` and ``b`` (row numbers that broadcast) can have the overlap of a link: their common bits
     and the shingles that collide inside the set where fewer do are enough."""
-    ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-    common = np.bitwise_count(bits[a] & bits[b]).sum(axis=-1, dtype=np.int64) + np.minimum((n - ones)[a], (n - ones)[b])
+    common = np.bitwise_count(bits[a] & bits[b]).sum(axis=-1, dtype=np.int64) + np.minimum(hidden[a], hidden[b])
     return (common >= least_overlap(n[a], n[b], percent)) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
 
 
@@ -186,7 +205,46 @@ def _combined(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([keys[~rest], link, link]), np.concatenate([nodes[~rest], pairs[0], pairs[1]])
 
 
-def key_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def packed(keys: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row for each ``bucket`` of the key range: ``pairs`` has, by key, the distance from the key before (from
+    the bucket's start for the first) in ``width`` bytes and the node in ``NODE_BYTES``. Of a key, its first bits and
+    its marks are kept; keys that only differ in the rest join sets that are then told apart by their bitmaps."""
+    code = (keys >> _U(64 - CODE_BITS + 2) << _U(2)) | (keys & _U(3))
+    order = np.argsort(code, kind="stable")
+    code, nodes = code[order], nodes[order]
+    bucket = (code * _U(buckets)) >> _U(CODE_BITS)
+    new = np.append(True, bucket[1:] != bucket[:-1])
+    gap = code - np.where(new, (bucket << _U(CODE_BITS)) // _U(buckets), np.append(_U(0), code[:-1]))
+    width = max(1, (int(gap.max()).bit_length() + 7) // 8)
+    pairs = np.empty((len(code), width + NODE_BYTES), dtype=np.uint8)
+    pairs[:, :width] = gap.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    pairs[:, width:] = nodes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NODE_BYTES]
+    at = np.flatnonzero(new)
+    ends = (np.append(at, len(code)) * (width + NODE_BYTES)).astype(np.int32)
+    blobs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(pairs)])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int64)), pa.array(np.full(len(at), width, dtype=np.int32)), blobs], names=["bucket", "width", "pairs"])
+
+
+def unpacked(batch: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (first bits and marks) and nodes of rows made by ``packed``."""
+    bucket, widths = batch.column("bucket").to_numpy().view(np.uint64), batch.column("width").to_numpy()
+    keys, nodes = [], []
+    for width in np.unique(widths):
+        rows = np.flatnonzero(widths == width)
+        blobs = batch.column("pairs").take(pa.array(rows)).to_pylist()
+        pairs = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, width + NODE_BYTES)
+        whole = np.zeros((2, len(pairs), 8), dtype=np.uint8)
+        whole[0, :, :width], whole[1, :, :NODE_BYTES] = pairs[:, :width], pairs[:, width:]
+        gap, node = whole.view("<u8")[..., 0]
+        size = np.array([len(b) for b in blobs]) // (width + NODE_BYTES)
+        first = np.cumsum(size) - size
+        start = (bucket[rows] << _U(CODE_BITS)) // _U(buckets)
+        sums = np.cumsum(gap, dtype=np.uint64)
+        keys.append(sums + np.repeat(start + gap[first] - sums[first], size)), nodes.append(node)
+    return np.concatenate(keys), np.concatenate(nodes)
+
+
+def key_groups(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
     """Groups of sets with a common key: ``group`` (hash of its sets), ``mark`` and ``nodes`` (their ``d1``). A
     group comes once for each key that has just these sets."""
 
@@ -194,14 +252,13 @@ def key_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
         keys, nodes, held = [], [], 0
 
         def flush():
-            k, v = _combined(np.concatenate(keys), np.concatenate(nodes))
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(v.view(np.int64))], names=["key", "node"])
+            return packed(*_combined(np.concatenate(keys), np.concatenate(nodes)), buckets)
 
         for batch in batches:
             for s in each_set(text_bytes(batch, "text"), words):
                 if len(s):
                     k = segment_keys(s, percent)
-                    keys.append(k), nodes.append(np.full(len(k), digest(s)[0], dtype=np.int64).view(np.uint64))
+                    keys.append(k), nodes.append(np.full(len(k), digest(s)[0], dtype=np.uint64))
                     held += len(k)
                 if held >= COMBINED_KEYS:
                     yield flush()
@@ -210,13 +267,15 @@ def key_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield flush()
 
     def meet(batches):
-        for batch in batches_of_groups(batches, "key"):
-            k, v = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+        for batch in batches_of_groups(batches, "bucket", 1):
+            k, v = unpacked(batch, buckets)
+            order = np.lexsort((v, k))
+            k, v = k[order], v[order].view(np.int64)
             fresh = np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1]))
             k, v = k[fresh], v[fresh]
             at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
             size = np.diff(at, append=len(k))
-            mark = k[at] & 3
+            mark = (k[at] & _U(3)).astype(np.int64)
             mark[size > MANY] = SURE
             keep = size > 1
             inside = np.repeat(keep & (mark < SURE), size)
@@ -235,58 +294,102 @@ def key_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 names=["group", "mark", "nodes"],
             )
 
-    keyed = docs.select("text").mapInArrow(emit, "key long, node long")
-    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "group long, mark int, nodes array<long>")
+    keyed = small_batches(docs.select("text")).mapInArrow(emit, "bucket long, width int, pairs binary")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "group long, mark int, nodes array<long>")
 
 
 def joined_sets(percent: int):
-    """Edges between sets of a group that can link, as far as they join sets; from rows sorted by group."""
+    """Edges between sets of a group that can link, as far as they join sets; from rows sorted by ``home``, where
+    those of its sets (``node``, ``n``, ``bits``) precede those of its groups (``nodes``)."""
 
-    def forest(n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int]]:
+    def forest(n: np.ndarray, bits: np.ndarray, hidden: np.ndarray) -> Iterator[tuple[int, int]]:
         left = np.arange(len(n))
         while len(left) > 1:
             open_, left = [left[0]], left[1:]
             while open_ and len(left):
                 x = open_.pop()
-                near = can_link(n, bits, np.array([x]), left, percent)
+                near = can_link(n, bits, hidden, np.array([x]), left, percent)
                 yield from ((int(x), int(y)) for y in left[near])
                 open_.extend(left[near])
                 left = left[~near]
 
+    def places(home: np.ndarray, node: np.ndarray, wanted_home: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of each wanted set among rows of sets, and how many there are: one, or more of equal digests ``d1``."""
+        order = np.lexsort((node, home))
+        homes, at = np.unique(home[order], return_index=True)
+        ends, low, high = np.append(at, len(home)), np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=np.int64)
+        cuts = np.searchsorted(wanted_home, homes), np.searchsorted(wanted_home, homes, "right")
+        for a, b, x, y in zip(ends[:-1], ends[1:], *cuts):
+            there = node[order[a:b]]
+            low[x:y], high[x:y] = a + np.searchsorted(there, wanted[x:y]), a + np.searchsorted(there, wanted[x:y], "right")
+        found = high - low
+        return order[np.repeat(low - (np.cumsum(found) - found), found) + np.arange(found.sum())], found
+
     def run(batches):
-        for batch in batches_of_groups(batches, "group", 1 << 13):
-            group, node, n = (batch.column(c).to_numpy() for c in ("group", "node", "n"))
-            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
-            at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            size = np.diff(at, append=len(group))
+        for batch in batches_of_groups(batches, "home", 1 << 13):
+            home, lists = batch.column("home").to_numpy(), batch.column("nodes")
+            are_groups = lists.is_valid().to_numpy(zero_copy_only=False)
+            sets, lists = batch.filter(pa.array(~are_groups)), lists.filter(pa.array(are_groups))
+            size = lists.value_lengths().to_numpy()
+            members = np.repeat(home[are_groups], size)
+            node, n = sets.column("node").to_numpy(), sets.column("n").to_numpy()
+            bits = np.frombuffer(b"".join(sets.column("bits").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
+            hidden = hidden_by(n, bits)
+            row, found = places(home[~are_groups], node, members, lists.flatten().to_numpy())
+            group = np.repeat(np.repeat(np.arange(len(size)), size), found)
+            size = np.bincount(group, minlength=len(size))
+            at = np.cumsum(size) - size
             src, dst = [], []
             few = np.flatnonzero(np.repeat(size <= 4, size))
             for lag in (1, 2, 3):  # groups of up to four, all at once
                 a = few[few + lag < len(group)]
                 a = a[group[a] == group[a + lag]]
-                a = a[can_link(n, bits, a, a + lag, percent)] if len(a) else a
-                src.append(node[a]), dst.append(node[a + lag])
+                a = a[can_link(n, bits, hidden, row[a], row[a + lag], percent)] if len(a) else a
+                src.append(node[row[a]]), dst.append(node[row[a + lag]])
+            known = Components(len(n))
             for i in np.flatnonzero(size > 4):
-                g = slice(at[i], at[i] + size[i])
-                for x, y in forest(n[g], bits[g]):
-                    src.append(node[g][[x]]), dst.append(node[g][[y]])
+                g = row[at[i] : at[i] + size[i]]
+                if len({known.find(x) for x in g.tolist()}) == 1:
+                    continue
+                for x, y in forest(n[g], bits[g], hidden[g]):
+                    known.join(int(g[x]), int(g[y]))
+                    src.append(node[g[[x]]]), dst.append(node[g[[y]]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
 
     return run
 
 
-def common_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges ``src``, ``dst`` between the digests ``d1`` of sets that have a common key and may link; ``n`` groups."""
-    groups = materialize(key_groups(docs, words, percent).groupBy("group", "mark").agg(F.first("nodes").alias("nodes")))
+def at_homes(groups: DataFrame, rows: int = HOME_ROWS) -> DataFrame:
+    """``groups`` with ``home``, the place where they meet: one for those with the same smallest set, or several
+    where their sets are more than ``rows``."""
+    named = groups.withColumn("least", F.element_at("nodes", 1))
+    parts = named.groupBy("mark", "least").agg(F.ceil(F.sum(F.size("nodes")) / rows).alias("parts")).where("parts > 1")
+    dealt = named.join(parts, ["mark", "least"], "left")
+    return dealt.select("group", "mark", "nodes", F.xxhash64("least", F.pmod("group", F.coalesce("parts", F.lit(1)))).alias("home"))
+
+
+def sets_at_homes(groups: DataFrame) -> DataFrame:
+    """Which sets are to come to which home: ``mark``, ``home`` and ``node``, each once."""
+    return groups.select("mark", "home", F.explode("nodes").alias("node")).distinct()
+
+
+def common_keys(docs: DataFrame, words: int, percent: int, shingles: int = 0) -> DataFrame:
+    """Edges ``src``, ``dst`` between the digests ``d1`` of sets that have a common key and may link; ``n`` groups.
+    ``shingles``: of all sets, for the number of buckets."""
+    buckets = min(1 << (64 - CODE_BITS), max(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shingles // BUCKET_SHINGLES))
+    groups = materialize(key_groups(docs, words, percent, buckets).groupBy("group", "mark").agg(F.first("nodes").alias("nodes")))
     sure = groups.where(F.col("mark") >= SURE).select(F.element_at("nodes", 1).alias("src"), F.element_at("nodes", 2).alias("dst"))
-    member = groups.where(F.col("mark") < SURE).select("group", "mark", F.explode("nodes").alias("node"))
-    wanted = member.select("node").distinct()
-    sets = bitmap_rows(docs, words).groupBy("d1").agg(F.min("n").alias("n"), F.min("narrow").alias("narrow"), F.min("wide").alias("wide"))
+    dealt = materialize(at_homes(groups.where(F.col("mark") < SURE)))
+    asked = materialize(sets_at_homes(dealt))
+    wanted = asked.select("node").distinct()
+    sets = bitmap_rows(docs, words).repartition("d1").groupBy("d1", "d2").agg(F.min("n").alias("n"), F.min("narrow").alias("narrow"), F.min("wide").alias("wide"))
     sets = materialize(sets.join(wanted, F.col("d1") == F.col("node"), "left_semi"))
     edges = sure
     for mark, bits in ((ODD, "narrow"), (0, "wide")):
-        rows = member.where(F.col("mark") == mark).join(sets.select("d1", "n", F.col(bits).alias("bits")), F.col("node") == F.col("d1")).select("group", "node", "n", "bits")
-        together = rows.repartition("group").sortWithinPartitions("group", "node")
+        come = asked.where(F.col("mark") == mark).join(sets.select("d1", "n", F.col(bits).alias("bits")), F.col("node") == F.col("d1"))
+        rows = come.select("home", "node", "n", "bits", F.lit(None).cast("array<long>").alias("nodes"))
+        meet = dealt.where(F.col("mark") == mark).select("home", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("bits"), "nodes")
+        together = rows.unionByName(meet).repartition("home").sortWithinPartitions("home")
         edges = edges.unionByName(together.mapInArrow(joined_sets(percent), "src long, dst long"))
     return edges.where("src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -472,7 +575,7 @@ def member_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
 
 def links(docs: DataFrame, keys: DataFrame, words: int, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
     """Links ``src``, ``dst`` between class representatives that give the components of all links."""
-    edges = materialize(common_keys(docs, words, percent))
+    edges = materialize(common_keys(docs, words, percent, keys.agg(F.sum("n")).first()[0] or 0))
     clusters = connected_components(edges).select(F.col("node").alias("d1"), F.col("component").alias("cluster"))
     shared = edges.select(F.col("src").alias("d1"), "n").unionByName(edges.select(F.col("dst").alias("d1"), "n")).groupBy("d1").agg(F.sum("n").alias("shared"))
     classes = keys.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))

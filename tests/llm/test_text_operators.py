@@ -7,12 +7,13 @@ from collections import Counter, defaultdict
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from annolytics.llm import decontaminate, langid, lm_score, ngram_join, packing, quality, suffix_dedup
 from annolytics.llm.words import ALNUM, BLANKS, hashed_words, map_batches, runs, shingles
-from annolytics.session import BATCH_BYTES
+from annolytics.session import BATCH_BYTES, materialize
 
 
 def test_word_hashes_follow_words():
@@ -134,6 +135,69 @@ def test_linked_sets_share_a_key(percent):
             assert np.intersect1d(ngram_join.segment_keys(a, percent), ngram_join.segment_keys(b, percent)).size
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_set_has_one_key_more_than_differences(percent):
+    rng = np.random.default_rng(percent)
+    for n in (3, 40, 333, 1000, 5000):
+        ordered, most = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)), 0
+        for k in ngram_join.classes_of(n, percent):
+            most += 1 + ngram_join.largest_difference(n, min(ngram_join.size_class(k, percent)[1], n * 100 // percent), percent)
+        assert len(ngram_join.segment_keys(ordered, percent)) <= most or n < 40  # the smallest sets need finer cuts
+
+
+@pytest.mark.parametrize("n,buckets", [(1, 1), (50_000, 400), (3000, 1 << 18)])
+def test_packed_keys(n, buckets):
+    rng = np.random.default_rng(n)
+    keys = np.append(rng.integers(0, 2**64, n - 1, dtype=np.uint64), np.uint64(2**64 - 1))
+    nodes = rng.integers(0, 2**48, n, dtype=np.uint64)
+    keys[: n // 3] = keys[n // 3 : 2 * (n // 3)]  # of several sets
+    rows = ngram_join.packed(keys, nodes, buckets)
+    got = set()
+    for batch in (rows.slice(0, rows.num_rows // 2), rows.slice(rows.num_rows // 2)):
+        if batch.num_rows:
+            got |= set(zip(*(x.tolist() for x in ngram_join.unpacked(batch, buckets))))
+    assert got == {(k >> 20 << 2 | k & 3, v) for k, v in zip(keys.tolist(), nodes.tolist())}
+    assert rows.column("bucket").to_pylist() == sorted(set(rows.column("bucket").to_pylist()))
+    assert n < 50_000 or sum(map(len, rows.column("pairs").to_pylist())) <= 11 * n
+
+
+def near_copies(copies, words=300, seed=3):
+    rng = random.Random(seed)
+    text = [f"w{rng.random()}" for _ in range(words)]
+    return [(i, " ".join(w if rng.random() > 0.005 else f"x{rng.random()}" for w in text)) for i in range(copies)]
+
+
+def test_near_copies_meet_with_few_bitmaps(spark):
+    docs = cases.documents(spark, near_copies(30))
+    groups = materialize(ngram_join.key_groups(docs, 5, 80, 16).distinct().where("mark < 2"))
+    shared = groups.selectExpr("sum(size(nodes))").first()[0]
+    asked = ngram_join.sets_at_homes(ngram_join.at_homes(groups))
+    assert asked.groupBy("mark", "home", "node").count().where("count > 1").isEmpty()
+    assert shared > 300 and asked.count() * 3 < shared
+
+
+def test_near_copies_of_many_homes_stay_joined(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join.at_homes, "__defaults__", (40,))
+    rows = near_copies(12, seed=4) + [(i + 100, t) for i, t in near_copies(9, words=40, seed=5)] + [(200, "one two three four five six")]
+    want = cases.jaccard_components(rows, 5, 80)
+    got = ngram_join.similar_groups(cases.documents(spark, rows), 5, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert len({c for _, c in want.values()}) < len(want) - 10
+
+
+def test_sets_of_one_short_digest_are_both_compared():
+    rng = np.random.default_rng(6)
+    sets = [np.sort(rng.integers(0, 2**64, 50, dtype=np.uint64)) for _ in range(2)]
+    sets.append(sets[1].copy())
+    bits = [b.tobytes() for b in ngram_join.bitmaps(sets, ngram_join.NARROW_BITS)]
+    table = {"home": [7, 7, 7, 7], "node": [5, 5, 6, None], "n": [50, 50, 50, None], "bits": [*bits, None], "nodes": [None, None, None, [5, 6]]}
+    schema = pa.schema([("home", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("nodes", pa.list_(pa.int64()))])
+    for order in ([0, 1, 2, 3], [3, 1, 0, 2]):
+        batch = pa.Table.from_pydict(table, schema=schema).take(order).to_batches()[0]
+        edges = [e for out in ngram_join.joined_sets(80)([batch]) for e in out.to_pylist()]
+        assert {"src": 5, "dst": 6} in [e for e in edges if e["src"] != e["dst"]]
+
+
 def test_tree_finds_components_of_all_links():
     rng = np.random.default_rng(2)
     stock = rng.integers(0, 2**64, 400, dtype=np.uint64)
